@@ -1,4 +1,7 @@
 """Registered queries and their SQL oracles."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from . import ingest, retrieval
+
+_PLANS = (retrieval, ingest)
+QUERIES = {k: v for plan in _PLANS for k, v in plan.QUERIES.items()}
+ORACLE_SQL = {k: v for plan in _PLANS for k, v in plan.ORACLE_SQL.items()}
