@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import arrow_map
+
 START, END, GENERATION = "<|im_start|>", "<|im_end|>", "assistant"
 _ESCAPE, _UNESCAPE = re.compile(r"<(\\*)\|"), re.compile(r"<\\(\\*)\|")
 _B, _N = "\\", "\n"
@@ -128,7 +130,7 @@ def format_turns(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", rol
                 refs.append([a[2] for a in attached])
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(4)), pa.array(formatted, pa.string()), pa.array(tokens, pa.int64()), pa.array(refs, pa.list_(pa.string()))], ["conv_id", "turn", "role", "text", "formatted", "tokens", "refs"])
 
-    return rows.select(F.col(conv).cast("long").alias("conv_id"), F.col(turn).cast("long").alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.col(text).alias("text"), content.alias("parts")).mapInArrow(run, TURNS)
+    return arrow_map(rows.select(F.col(conv).cast("long").alias("conv_id"), F.col(turn).cast("long").alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.col(text).alias("text"), content.alias("parts")), run, TURNS)
 
 
 class _Digest:
@@ -178,4 +180,4 @@ def conversation_digests(turns: DataFrame, loss_role: str = GENERATION) -> DataF
 
     # Formatting is injective on (role, text), so it orders equal turns.
     ordered = turns.select("conv_id", "turn", "formatted").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "formatted")
-    return ordered.select("conv_id", "formatted").mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return arrow_map(ordered.select("conv_id", "formatted"), run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

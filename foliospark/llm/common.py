@@ -14,6 +14,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BATCH_ROWS = 1_000
+BATCH_BYTES = 32 << 20
 SLICE_BYTES = 4 << 20
 """Text is handled in slices of about this many characters inside a task."""
 
@@ -47,6 +49,15 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def arrow_map(df: DataFrame, run, schema) -> DataFrame:
+    """``mapInArrow`` with small batches, so a worker holds few texts at a time."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
+
+
 def slices(texts: list, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Index ranges of ``texts`` of about ``limit`` characters, one text at least."""
     start = size = 0

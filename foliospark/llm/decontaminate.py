@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, written
+from .common import arrow_map, slices, written
 
 WINDOW = 10
 ITEM_BLOCK_BYTES = 8 << 20
@@ -77,7 +77,7 @@ def _segments(batches):
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The index segments of ``docs``, all terms and positions of all texts."""
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(_segments, SEGMENT)
+    return arrow_map(docs.select(F.col(id_col).cast("long"), F.col(text_col)), _segments, SEGMENT)
 
 
 class Segment:
@@ -197,10 +197,10 @@ def search_windows(index: DataFrame, items: DataFrame, id_col: str = "item_id",
     block, after = next(blocks), next(blocks, None)
     if after is None:
         sent = spark.sparkContext.broadcast(block)
-        return columns.mapInArrow(_search(lambda: sent.value, width), RESULT).drop("marks", "segment", "row")
+        return arrow_map(columns, _search(lambda: sent.value, width), RESULT).drop("marks", "segment", "row")
     while block is not None:
         sent = spark.sparkContext.broadcast(block)
-        results.append(written(columns.mapInArrow(_search(lambda sent=sent: sent.value, width, keep_marks=True), RESULT), "hits"))
+        results.append(written(arrow_map(columns, _search(lambda sent=sent: sent.value, width, keep_marks=True), RESULT), "hits"))
         sent.unpersist()
         n, block, after = n + 1, after, next(blocks, None)
     union = results[0]
@@ -214,7 +214,7 @@ def search_windows(index: DataFrame, items: DataFrame, id_col: str = "item_id",
             hit = [int(np.unpackbits(np.bitwise_or.reduce([np.frombuffer(m, np.uint8) for m in marks])).sum()) for marks in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(hit, pa.int64()), b.column(3), b.column(4)], ["doc_id", "n_words", "n_hit", "items", "n"])
 
-    out = merged.select("doc_id", "n_words", "marks", "items", "n").mapInArrow(combine, "doc_id long, n_words long, n_hit long, items array<string>, n long")
+    out = arrow_map(merged.select("doc_id", "n_words", "marks", "items", "n"), combine, "doc_id long, n_words long, n_hit long, items array<string>, n long")
     return out.withColumn("copy", F.explode(F.sequence(F.lit(1), (F.col("n") / n).cast("int")))).drop("copy", "n")
 
 
@@ -259,7 +259,7 @@ def search_proximity(index: DataFrame, queries: list[tuple[str, list[str]]], spa
                             o.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), *(pa.array(x, pa.int64()) for x in out[1:])], ["query", "doc_id", "first", "last"])
 
-    return index.select("doc_ids", "row_words", "terms", "post_at", "posts").mapInArrow(run, "query string, doc_id long, first long, last long")
+    return arrow_map(index.select("doc_ids", "row_words", "terms", "post_at", "posts"), run, "query string, doc_id long, first long, last long")
 
 
 def remove_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = WINDOW) -> DataFrame:
@@ -281,4 +281,4 @@ def remove_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id
                     clean += [n == 0 for n in found.column(2).to_pylist()]
             yield b.filter(pa.array(clean, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return arrow_map(docs, run, docs.schema)

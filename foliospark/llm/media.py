@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Bloom, slices, written
+from .common import Bloom, arrow_map, slices, written
 
 BLOCK = 576
 TAIL_PIXELS = 32
@@ -138,7 +138,7 @@ def chunk_names(docs: DataFrame) -> DataFrame:
             names = [_name(d) for t in b.column(0).to_pylist() for d, _ in chunks(payload(t)[0])]
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64())], ["name"])
 
-    return docs.select("text").mapInArrow(run, "name long")
+    return arrow_map(docs.select("text"), run, "name long")
 
 
 PASS = "kind int, row features, doc_id long"
@@ -197,7 +197,7 @@ def media_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             ["kind", *FEATURES, "key", "listed", "bytes"],
         )
 
-    both = written(rows.mapInArrow(split, "kind int, " + FEATURE_SCHEMA + ", key binary, listed binary, bytes binary"), "containers")
+    both = written(arrow_map(rows, split, "kind int, " + FEATURE_SCHEMA + ", key binary, listed binary, bytes binary"), "containers")
     complete = both.filter("kind = 0").select(*FEATURES)
     gapped = both.filter("kind = 1").select("doc_id", "n_bytes", "key", "listed", "bytes")
     # Equal payloads are read back once.
@@ -247,6 +247,6 @@ def media_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], ["key", *FEATURES[2:]])
 
     together = heads.unionByName(fetched).repartition("key").sortWithinPartitions("key", "kind", "a")
-    read = together.mapInArrow(read_back, "key binary, " + FEATURE_SCHEMA.split(", ", 2)[2])
+    read = arrow_map(together, read_back, "key binary, " + FEATURE_SCHEMA.split(", ", 2)[2])
     restored = gapped.select("doc_id", "n_bytes", "key").join(read, "key").select(*FEATURES)
     return complete.unionByName(restored)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import Encoder
-from .common import slices, written
+from .common import arrow_map, slices, written
 
 CAPACITY = 4096
 GRID = 8
@@ -65,7 +65,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, id_col: str = "
                         total.append(n)
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["doc_id", "row_key", "start", "length", "ids_crc32", "doc_tokens"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, PIECES)
+    return arrow_map(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, PIECES)
 
 
 def price(duals: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
@@ -258,7 +258,7 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, grid: int = GRID,
                 slot[at] = (r - rows[k, 0]) % rows[k, 1]
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(2, b.num_columns)), pa.array(seq), pa.array(sizes.astype(np.int64)), pa.array(slot)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "size", "slot"])
 
-    placed = ranked.select("size", (F.col("before") + F.col("local")).alias("rank"), "doc_id", "start", "length", "ids_crc32", "doc_tokens").mapInArrow(place, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, size long, slot long")
+    placed = arrow_map(ranked.select("size", (F.col("before") + F.col("local")).alias("rank"), "doc_id", "start", "length", "ids_crc32", "doc_tokens"), place, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, size long, slot long")
     # A sequence holds `capacity` pieces at most, so these groups are bounded.
     inside = Window.partitionBy("sequence_id").orderBy(F.desc("size"), "slot").rowsBetween(Window.unboundedPreceding, -1)
     rests = placed.withColumn("offset", F.coalesce(F.sum("length").over(inside), F.lit(0)))

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Bloom, slices, written
+from .common import Bloom, arrow_map, slices, written
 from .components import connected_components
 
 SHINGLE = 5
@@ -137,7 +137,7 @@ def occurrences(docs: DataFrame, bands: int, rows: int, min_words: int = MIN_WOR
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * bands), pa.array(sig.ravel()))
                 yield pa.RecordBatch.from_arrays([*(pa.array(o, pa.int64()) for o in out), lists], ["doc_id", "para_no", "span_start", "span_end", "n_words", "key", "bands"])
 
-    return docs.mapInArrow(run, "doc_id long, para_no long, span_start long, span_end long, n_words long, key long, bands array<long>")
+    return arrow_map(docs, run, "doc_id long, para_no long, span_start long, span_end long, n_words long, key long, bands array<long>")
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -160,7 +160,7 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, min_words: int = MIN_WORDS)
                     sent.clear()
                 yield pa.RecordBatch.from_arrays([pa.array(list(first), pa.int64()), pa.array([shingles(found[k]).view(np.int64) for k in first.values()], pa.list_(pa.int64()))], ["key", "hashes"])
 
-    rows = docs.mapInArrow(run, "key long, hashes array<long>")
+    rows = arrow_map(docs, run, "key long, hashes array<long>")
     return rows.join(wanted, "key", "left_semi").dropDuplicates(["key"])
 
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, written
+from .common import arrow_map, slices, written
 from .components import connected_components
 
 RADIUS = 3
@@ -88,7 +88,7 @@ def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             fps = [fingerprints_of(texts[i:j], shingle) for i, j in slices(texts)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.concatenate(fps).view(np.int64) if fps else np.zeros(0, np.int64))], ["doc_id", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return arrow_map(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, "doc_id long, fp long")
 
 
 class Tree:
@@ -201,7 +201,7 @@ def links(fps: DataFrame, leaf_rows: int = LEAF_ROWS, home_rows: int = HOME_ROWS
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(count[used])], ["leaf", "n"])
 
     crowd = np.ones(2 << depth, np.int64)  # parts of each leaf
-    for r in fps.mapInArrow(homes, "leaf long, n long").groupBy("leaf").agg(F.sum("n").alias("n")).collect():
+    for r in arrow_map(fps, homes, "leaf long, n long").groupBy("leaf").agg(F.sum("n").alias("n")).collect():
         crowd[r["leaf"]] = -(-r["n"] // home_rows)
     parts = spark.sparkContext.broadcast(crowd)
 
@@ -229,7 +229,7 @@ def links(fps: DataFrame, leaf_rows: int = LEAF_ROWS, home_rows: int = HOME_ROWS
         src, dst = local_stars(fp[home], fp)
         return pa.table({"src": src.view(np.int64), "dst": dst.view(np.int64)})
 
-    return fps.mapInArrow(route, "leaf long, part long, fp long, home boolean").groupBy("leaf", "part").applyInArrow(search, "src long, dst long")
+    return arrow_map(fps, route, "leaf long, part long, fp long, home boolean").groupBy("leaf", "part").applyInArrow(search, "src long, dst long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:

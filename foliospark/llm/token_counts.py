@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import Encoder, plain
-from .common import slices
+from .common import arrow_map, slices
 
 SAMPLE_ROWS = 4_000
 TABLE_WORDS = 30_000
@@ -51,7 +51,7 @@ def frequent_words(docs: DataFrame, text_col: str = "text", sample_rows: int = S
     rows = docs.count()
     step = max(1, rows // sample_rows)
     sample = docs.select(F.col(text_col).alias("t")).filter(F.pmod(F.xxhash64("t"), F.lit(step)) == 0)
-    top = sample.mapInArrow(_top_words(table_words), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    top = arrow_map(sample, _top_words(table_words), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     return [r["word"] for r in top.orderBy(F.desc("n"), "word").limit(table_words).collect()]
 
 
@@ -72,4 +72,4 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
                 counts += encoder.encode(texts[i:j])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(t.encode()) if t else 0 for t in texts], pa.int64()), pa.array(counts, pa.int64()), pa.array([n > max_tokens for n in counts], pa.bool_())], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return arrow_map(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

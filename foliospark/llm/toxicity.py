@@ -30,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from .common import arrow_map
 
 MAX_TRAIN_ROWS = 20_000
 """Labelled rows used for fitting: about this many at most, chosen by a hash."""
@@ -114,13 +115,13 @@ def learn_lexicon(rows: DataFrame, stem: tuple[int, int] = (4, 6), share: float
     least) and the toxic ones among its holders reach ``purity``, by class
     shares.  A stem replaces the longer entries that begin with it.
     """
-    held = rows.filter("toxic = 1").select("text").mapInArrow(_features(stem), "entry string, grp long").distinct()
+    held = arrow_map(rows.filter("toxic = 1").select("text"), _features(stem), "entry string, grp long").distinct()
     bad = held.agg(F.countDistinct("grp")).first()[0]
     if not bad:
         return {}
     frequent = held.groupBy("entry").count().filter(F.col("count") >= max(2.0, share * bad)).orderBy(F.desc("count"), "entry").limit(MAX_CANDIDATES).collect()
     toxic = {r["entry"]: r["count"] for r in frequent}
-    clean = {r["entry"]: r["n"] for r in rows.filter("toxic = 0").select("text").mapInArrow(_holders(set(toxic), stem), "entry string, n long").groupBy("entry").agg(F.sum("n").alias("n")).collect()}
+    clean = {r["entry"]: r["n"] for r in arrow_map(rows.filter("toxic = 0").select("text"), _holders(set(toxic), stem), "entry string, n long").groupBy("entry").agg(F.sum("n").alias("n")).collect()}
     good = clean.get("", 0)
     if not good:
         return {}
@@ -214,7 +215,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rows = texts.join(known, "doc_id").select("text", "toxic").persist()
     try:
         lexicon = learn_lexicon(rows)
-        x = rows.select(F.col("toxic").alias("key"), "text").mapInArrow(_evidence_of(lambda: (lexicon, exceptions)), "key int, x double")
+        x = arrow_map(rows.select(F.col("toxic").alias("key"), "text"), _evidence_of(lambda: (lexicon, exceptions)), "key int, x double")
         # Evidence is rounded to a grid, so the driver gets a bounded histogram.
         bins = x.groupBy("key", F.least(F.lit(2000.0), F.round("x", 1)).alias("x")).count().collect()
     finally:
@@ -239,7 +240,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             s = [m.score(evidence(t, machine)) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.float64()), pa.array([int(v >= 0.5) for v in s], pa.int32())], ["doc_id", "score", "predicted"])
 
-    scored = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, score double, predicted int")
+    scored = arrow_map(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, "doc_id long, score double, predicted int")
     return scored.select("doc_id", F.coalesce(held_out("doc_id"), F.lit(False)).alias("held_out"), "score", "predicted")
 
 
@@ -254,4 +255,4 @@ def reject_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataF
         for b in batches:
             yield b.filter(pa.array([m.score(evidence(t, machine)) < 0.5 for t in b.column(at).to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return arrow_map(docs, run, docs.schema)
