@@ -15,7 +15,7 @@ from ..operators import chunks, lines
 
 FIXTURE_LINES = (
     "12", "Halaman 7", "hal. 3", "- 14 -", "xiv", "civil", "Halaman depan", "2024 10", "(cid:12)(cid:7)", "see (cid:3) here", "BAB IV KURIKULUM", "Bagian 2 Umum", "LAMPIRAN A", "Pasal 12 Masa studi",
-    "3.2 Beban belajar", "3.2.1 Rincian", "A. Ketentuan", "a. ketentuan", "SISTEM PENILAIAN", "UAJY).", "NO. NAMA MATERI", "JUDUL TERPOTONG /", "KODE 12 ANGKA", "AB", "PENDAHULUAN (UMUM)", "Kalimat biasa saja.",
+    "3.2 Beban belajar", "3.2.1 Rincian", "A. Ketentuan", "a. ketentuan", "SISTEM PENILAIAN", "XYZQ).", "NO. NAMA MATERI", "JUDUL TERPOTONG /", "KODE 12 ANGKA", "AB", "PENDAHULUAN (UMUM)", "Kalimat biasa saja.",
 )
 
 
