@@ -34,6 +34,7 @@ CANDIDATE = r"[A-Za-z0-9+/_=-]{16,}"
 IDENTIFIER = r"[A-Za-z_][A-Za-z0-9_-]{7,}"
 SAMPLE_ROWS = 4_000
 """Documents from which the samples are taken, about this many at most."""
+BACKOFF = 4.0
 THRESHOLD = 0.75
 """Least mean log-likelihood ratio of a transition, in nats."""
 
@@ -102,12 +103,16 @@ def train(samples: DataFrame, alpha: float = 0.5) -> list[float]:
     n = len(ALPHABET)
     pairs = samples.filter("sample is not null and length(sample) > 1").select("random", F.explode(F.expr("transform(sequence(1, length(sample) - 1), i -> substring(sample, i, 2))")).alias("pair"))
     counts = {(r["random"], r["pair"]): r["count"] for r in pairs.filter(F.col("pair").rlike("^[A-Za-z0-9+/_=-]{2}$")).groupBy("random", "pair").count().collect()}
-    table = []
     totals = {(k, a): sum(counts.get((k, a + b), 0) for b in ALPHABET) for k in (0, 1) for a in ALPHABET}
-    for a in ALPHABET:
-        for b in ALPHABET:
-            p, q = ((counts.get((k, a + b), 0) + alpha) / (totals[k, a] + alpha * n) for k in (1, 0))
-            table.append(math.log(p / q))
+    nexts = {(k, b): sum(counts.get((k, a + b), 0) for a in ALPHABET) for k in (0, 1) for b in ALPHABET}
+    every = {k: sum(nexts[k, b] for b in ALPHABET) for k in (0, 1)}
+
+    def chance(k: int, a: str, b: str) -> float:
+        """Transition probability, backed off to the character's own and the uniform one."""
+        own = (nexts[k, b] + alpha) / (every[k] + alpha * n)
+        return (counts.get((k, a + b), 0) + BACKOFF * own) / (totals[k, a] + BACKOFF)
+
+    table = [math.log(chance(1, a, b) / chance(0, a, b)) for a in ALPHABET for b in ALPHABET]
     return table
 
 
@@ -121,11 +126,12 @@ def ratio(token: Column, table: list[float]) -> Column:
 
 
 def added_spans(text: Column, base: Column, table: list[float], threshold: float = THRESHOLD) -> Column:
-    """Candidates whose ratio exceeds ``threshold`` and which overlap no base span."""
+    """Candidates of letters and digits above ``threshold`` that overlap no base span."""
     found = F.zip_with(located(text, CANDIDATE, 3), matches(text, CANDIDATE), lambda s, v: F.struct(s.alias("s"), v.alias("v")))
     free = F.filter(found, lambda x: ~F.exists(base, lambda b: (b["start"] < x["s"]["end"]) & (x["s"]["start"] < b["end"])))
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
-    return F.when(text.rlike(CANDIDATE), F.transform(F.filter(free, lambda x: ratio(x["v"], table) > threshold), lambda x: x["s"])).otherwise(none)
+    mixed = F.filter(free, lambda x: x["v"].rlike("[0-9]") & x["v"].rlike("[A-Za-z]"))
+    return F.when(text.rlike(CANDIDATE), F.transform(F.filter(mixed, lambda x: ratio(x["v"], table) > threshold), lambda x: x["s"])).otherwise(none)
 
 
 def with_spans(docs: DataFrame, table: list[float], text_col: str = "text") -> DataFrame:
