@@ -14,6 +14,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 BATCH_ROWS = 1_000
 BATCH_BYTES = 32 << 20
 SLICE_BYTES = 4 << 20
@@ -51,6 +53,7 @@ def written(df: DataFrame, label: str) -> DataFrame:
 
 def arrow_map(df: DataFrame, run, schema) -> DataFrame:
     """``mapInArrow`` with small batches, so a worker holds few texts at a time."""
+    ship(df.sparkSession)
     conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(conf.get(key)) <= BATCH_ROWS:
         conf.set(key, str(BATCH_ROWS))
