@@ -4,13 +4,12 @@ Paragraphs are lines of at least ``min_words`` words; longer lines are cut at
 content-defined words, so that a passage inside a long line still meets its
 copies.  Equal paragraphs are collapsed by their hash first.  Distinct ones
 get MinHash values of their five-word shingles, grouped in bands that are
-tuned for a given recall at the threshold.  In each band bucket the members
-meet a leader (the most frequent paragraph, or in every other band one chosen
-by a hash); those that fail against it meet the next leader of what is left, so a
-bucket of near copies costs about one pair a member and never all pairs.
-Pairs are verified by exact Jaccard similarity of their shingle sets, and
-connected components of verified pairs are the classes.  A class that spans
-two documents or more is reported; its first occurrence is the one to keep.
+tuned for a given recall at the threshold.  The members of a bucket are joined
+in one place by a prefix filter, exact Jaccard similarity and a union-find, which
+yields a spanning edge for each connected member and never all pairs; a very
+large bucket is dealt out in blocks.  Connected components of the edges are the
+classes.  A class that spans two documents or more is reported; its first
+occurrence is the one to keep.
 
 Defined cases: null and empty texts and lines under ``min_words`` have no
 paragraphs; a line repeated within one document only is not a class; a null id
@@ -24,7 +23,6 @@ from __future__ import annotations
 import math
 import re
 
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,12 +35,12 @@ SHINGLE = 5
 SIMILARITY = 0.8
 MIN_WORDS = 50
 LONG_WORDS = 240
-MAX_LEADERS = 12
+BLOCK, PROBES = 16_384, 65_536
 _WORD = re.compile(r"\S+")
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
-def tune(threshold: float = SIMILARITY, recall: float = 0.995, low: float = 0.3, noise: float = 0.5, most_rows: int = 8) -> tuple[int, int]:
+def tune(threshold: float = SIMILARITY, recall: float = 0.999, low: float = 0.3, noise: float = 0.5, most_rows: int = 8) -> tuple[int, int]:
     """(bands, rows): the fewest bands that reach ``recall`` at ``threshold``.
 
     Chance collisions at similarity ``low`` stay below ``noise``.
@@ -164,44 +162,116 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, min_words: int = MIN_WORDS)
     return rows.join(wanted, "key", "left_semi").dropDuplicates(["key"])
 
 
-def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """``pairs(a, b)`` with ``similar``: exact Jaccard of at least ``threshold``."""
-    left = sets.select(F.col("key").alias("a"), F.col("hashes").alias("x"))
-    right = sets.select(F.col("key").alias("b"), F.col("hashes").alias("y"))
-    both = pairs.join(left, "a").join(right, "b")
-    shared = F.size(F.array_intersect("x", "y"))
-    return both.select("a", "b", (shared >= threshold * (F.size("x") + F.size("y") - shared)).alias("similar"))
+def local_links(keys: np.ndarray, sets: list[np.ndarray], home: np.ndarray, threshold: float = SIMILARITY) -> list[tuple[int, int]]:
+    """Spanning edges of the exact similarity graph between homes and all members.
+
+    Prefix filter: with the rarest shingles first, two sets of the given
+    similarity share one of the first ``n - ceil(threshold * n) + 1`` of each.
+    Only members that do so and are not connected yet are compared in full, so
+    variants that differ from all others cost next to nothing.
+    """
+    n = len(keys)
+    if n == 2:
+        both = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
+        return [(int(keys[0]), int(keys[1]))] if both >= threshold * (len(sets[0]) + len(sets[1]) - both) else []
+    sizes = np.array([len(s) for s in sets], np.int64)
+    ends = np.cumsum(sizes)
+    starts = ends - sizes
+    _, token, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(n), sizes)
+    order = np.lexsort((token, count[token], owner))
+    token = token[order]  # each set's tokens, rarest first
+    prefix = sizes - np.ceil(threshold * sizes - 1e-9).astype(np.int64) + 1
+    inside = np.arange(len(token)) - starts[owner] < prefix[owner]
+    kept = inside & home[owner]
+    by_token = np.argsort(token[kept], kind="stable")
+    listed, holder = token[kept][by_token], owner[kept][by_token]
+    lo = np.searchsorted(listed, np.arange(len(count)))
+    hi = np.searchsorted(listed, np.arange(len(count)), "right")
+    parent = np.arange(n)
+    mark = np.zeros(len(count), np.int64)
+
+    def roots(i: np.ndarray) -> np.ndarray:
+        r = parent[i]
+        while True:
+            up = parent[r]
+            if (up == r).all():
+                parent[i] = r
+                return r
+            r = up
+
+    for i in range(n):
+        own = token[starts[i] : ends[i]]
+        near = [holder[lo[t] : hi[t]] for t in own[: prefix[i]] if hi[t] > lo[t]]
+        if not near:
+            continue
+        c = np.unique(np.concatenate(near))
+        c = c[(c != i) & (sizes[c] >= threshold * sizes[i]) & (sizes[i] >= threshold * sizes[c])]
+        c = c[roots(c) != roots(np.array([i]))[0]]
+        if not len(c):
+            continue
+        mark[own] = 1
+        at = np.cumsum(sizes[c]) - sizes[c]
+        flat = np.repeat(starts[c] - at, sizes[c]) + np.arange(sizes[c].sum())
+        both = np.add.reduceat(mark[token[flat]], at)
+        mark[own] = 0
+        c = c[both >= threshold * (sizes[i] + sizes[c] - both)]
+        if len(c):
+            r = np.unique(roots(np.append(c, i)))
+            parent[r] = r[0]
+    root = roots(np.arange(n))
+    return [(int(keys[i]), int(keys[root[i]])) for i in np.flatnonzero(root != np.arange(n))]
 
 
 def similar_pairs(distinct: DataFrame, docs: DataFrame, threshold: float = SIMILARITY, min_words: int = MIN_WORDS) -> DataFrame:
-    """Verified edges ``(src, dst)`` between distinct paragraphs."""
-    rows = distinct.select("key", "copies", F.posexplode("bands").alias("band", "bucket"))
-    crowded = rows.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
+    """Edges ``(src, dst)`` that connect what exact Jaccard connects within a bucket.
+
+    A bucket is searched in one place; one of over ``BLOCK`` members is dealt
+    out in blocks of homes, each of which meets all members in parts.
+    """
+    rows = distinct.select("key", F.explode("bands").alias("bucket"))
+    crowded = rows.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
     members = written(rows.join(crowded, "bucket"), "buckets")
-    wanted = members.select("key").distinct()
-    sets = written(shingle_sets(docs, wanted, min_words), "shingles")
-    edges = None
-    for _ in range(MAX_LEADERS):
-        rank = F.when(F.col("band") % 2 == 0, F.struct(F.col("copies").alias("r"), F.xxhash64("key").alias("h"), F.col("key").alias("key"))).otherwise(F.struct(F.lit(0).cast("long").alias("r"), F.xxhash64("key", "band").alias("h"), F.col("key").alias("key")))
-        leaders = members.groupBy("bucket").agg(F.max(rank)["key"].alias("leader"), F.count("*").alias("n")).filter("n > 1").select("bucket", "leader")
-        met = members.join(leaders, "bucket").filter("key != leader")
-        pairs = met.select(F.greatest("key", "leader").alias("a"), F.least("key", "leader").alias("b")).distinct()
-        judged = written(verified(pairs, sets, threshold), "judged")
-        good = judged.filter("similar").select(F.col("a").alias("src"), F.col("b").alias("dst"))
-        edges = good if edges is None else edges.union(good)
-        failed = judged.filter("not similar").select("a", "b")
-        if failed.isEmpty():
-            return edges
-        left = met.withColumn("a", F.greatest("key", "leader")).withColumn("b", F.least("key", "leader")).join(failed, ["a", "b"], "left_semi")
-        members = written(left.select("bucket", "key", "copies", "band"), "buckets")
-    # What is left has failed against every leader so far: few rows a bucket.
-    other = members.select("bucket", F.col("key").alias("b"))
-    pairs = members.select("bucket", F.col("key").alias("a")).join(other, "bucket").filter("a > b").select("a", "b").distinct()
-    good = verified(pairs, sets, threshold).filter("similar")
-    return edges.union(good.select(F.col("a").alias("src"), F.col("b").alias("dst")))
-
-
-def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = SIMILARITY, recall: float = 0.995, min_words: int = MIN_WORDS) -> DataFrame:
+    sets = shingle_sets(docs, members.select("key").distinct(), min_words)
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    parts = F.ceil(F.col("n") / PROBES).cast("int")
+    dealt = members.withColumn("own", F.pmod(F.xxhash64("key"), blocks).cast("int")).withColumn("turn", F.pmod(F.xxhash64("key", F.lit(1)), parts).cast("int"))
+    # A member goes to every block in its own part, and to every part in its own block.
+    where = F.when(F.col("n") <= BLOCK, F.array(F.struct(F.lit(0).alias("block"), F.lit(0).alias("part")))).otherwise(
+        F.array_union(
+            F.transform(F.sequence(F.lit(0), blocks - 1), lambda b: F.struct(b.alias("block"), F.col("turn").alias("part"))),
+            F.transform(F.sequence(F.lit(0), parts - 1), lambda p: F.struct(F.col("own").alias("block"), p.alias("part"))),
+        )
+    )
+    placed = dealt.select("bucket", "key", "own", F.explode(where).alias("w")).select("bucket", F.col("w.block").alias("block"), F.col("w.part").alias("part"), "key", (F.col("own") == F.col("w.block")).alias("home"))
+    shards = placed.join(sets, "key").repartition("bucket", "block", "part").sortWithinPartitions("bucket", "block", "part", "key")
+
+    def run(batches):
+        now, group = None, []
+
+        def search():
+            if len(group) < 2:
+                return []
+            return local_links(np.array([g[0] for g in group], np.int64), [g[2] for g in group], np.array([g[1] for g in group], bool), threshold)
+
+        def edges(found):
+            return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["src", "dst"])
+
+        for b in batches:
+            found = []
+            values, offsets = b.column(5).values.to_numpy(), b.column(5).offsets.to_numpy()
+            for k, shard in enumerate(zip(*(b.column(i).to_pylist() for i in range(5)))):
+                if shard[:3] != now:
+                    found += search()
+                    now, group = shard[:3], []
+                group.append((shard[3], shard[4], values[offsets[k] : offsets[k + 1]].copy()))
+            yield edges(found)
+        yield edges(search())
+
+    return arrow_map(shards.select("bucket", "block", "part", "key", "home", "hashes"), run, "src long, dst long").distinct()
+
+
+def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = SIMILARITY, recall: float = 0.999, min_words: int = MIN_WORDS) -> DataFrame:
     """Each paragraph of a class that spans documents: its place, class and whether to keep it."""
     bands, rows = tune(threshold, recall)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
