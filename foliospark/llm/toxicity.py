@@ -108,7 +108,7 @@ def hash_word(word: str) -> int:
     return xxhash.xxh3_64_intdigest(word.encode()) >> 1
 
 
-def learn_lexicon(rows: DataFrame, stem: tuple[int, int] = (4, 6), share: float = 0.02, purity: float = 0.97) -> dict[str, float]:
+def learn_lexicon(rows: DataFrame, stem: tuple[int, int] = (4, 9), share: float = 0.02, purity: float = 0.95) -> dict[str, float]:
     """``rows(text, toxic)`` to ``{entry: weight}``; an entry is ' word ' or ' stem'.
 
     An entry is kept if ``share`` of the toxic copy groups hold it (two at
