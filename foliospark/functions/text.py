@@ -54,10 +54,8 @@ def strip_clitic(token: Column) -> Column:
 
 def canonical(token: Column) -> Column:
     """The canonical form of a token."""
-    out = None
-    for a, b in TOKEN_ALIASES.items():
-        out = F.when(token == a, b) if out is None else out.when(token == a, b)
-    return out.otherwise(token)
+    aliases = F.create_map(*[F.lit(x) for pair in TOKEN_ALIASES.items() for x in pair])
+    return F.coalesce(F.try_element_at(aliases, token), token)
 
 
 def tokens(df: DataFrame, text: str, *keep: str, remove_stopwords: bool = True) -> DataFrame:
@@ -65,19 +63,16 @@ def tokens(df: DataFrame, text: str, *keep: str, remove_stopwords: bool = True)
 
     Digits stay as they are; then stopwords go, Roman numerals stay, clitics
     are cut, aliases are mapped, and single letters and new stopwords go.
-    Exploding keeps set membership and the rules inside generated code.
+    Each rule is one pass over the token array, so its result is computed once;
+    as projections the optimizer would repeat them in every later condition.
     """
-    raw = df.select(*keep, F.posexplode(F.split(normalize(F.col(text)), "[^a-z0-9]+")).alias("pos", "raw"))
-    raw = raw.filter("raw <> ''")
-    digits = F.col("raw").rlike("^[0-9]+$")
-    numeral = F.col("raw").isin(*ROMAN_NUMERALS)
-    if remove_stopwords:
-        raw = raw.filter(digits | ~F.col("raw").isin(*STOPWORDS))
-    out = raw.withColumn("term", F.when(digits | numeral, F.col("raw")).otherwise(canonical(strip_clitic(F.col("raw")))))
-    keep_term = F.length("term") >= 2
-    if remove_stopwords:
-        keep_term = keep_term & ~F.col("term").isin(*STOPWORDS)
-    return out.filter(digits | numeral | keep_term).select(*keep, "pos", "term")
+    known = lambda x: x.isin(*STOPWORDS) if remove_stopwords else F.lit(False)
+    raw = F.transform(F.split(normalize(F.col(text)), "[^a-z0-9]+"), lambda x, i: F.struct(i.alias("pos"), x.alias("raw"), (x.rlike("^[0-9]+$") | x.isin(*ROMAN_NUMERALS)).alias("fixed")))
+    raw = F.filter(raw, lambda t: (t["raw"] != "") & ~known(t["raw"]))
+    stems = F.transform(raw, lambda t: F.struct(t["pos"].alias("pos"), t["fixed"].alias("fixed"), F.when(t["fixed"], t["raw"]).otherwise(strip_clitic(t["raw"])).alias("stem")))
+    terms = F.transform(stems, lambda t: F.struct(t["pos"].alias("pos"), t["fixed"].alias("fixed"), F.when(t["fixed"], t["stem"]).otherwise(canonical(t["stem"])).alias("term")))
+    terms = F.filter(terms, lambda t: t["fixed"] | ((F.length(t["term"]) >= 2) & ~known(t["term"])))
+    return df.select(*keep, F.inline(terms)).select(*keep, "pos", "term")
 
 
 def content_terms(df: DataFrame, text: str, *keep: str) -> DataFrame:
