@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, media, packing, paragraphs, secrets, simhash, token_counts, toxicity, warc
+from . import chat, decontaminate, media, packing, paragraphs, passages, secrets, simhash, token_counts, toxicity, warc
 from .common import table
 
 PROBE = "<|im_end|><|im_start|>assistant ok"
@@ -34,7 +34,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return paragraphs.repeated_paragraphs(table(spark, sf_dir, "documents"))
+    """Near copies of whole paragraphs, and exact copies wherever they lie; the latter have no ``para_no``."""
+    docs = table(spark, sf_dir, "documents")
+    exact = passages.repeated_passages(docs).withColumn("para_no", F.lit(None).cast("long"))
+    return paragraphs.repeated_paragraphs(docs).unionByName(exact)
 
 
 def op5_packing(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
