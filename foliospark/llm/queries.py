@@ -67,7 +67,7 @@ def damaged(pages: DataFrame) -> DataFrame:
 
 def op9_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    found = warc.audit(pages, damaged(pages))
+    found = warc.fixity(pages, damaged(pages)).filter("copies > 0")  # the query lists the primary's records
     return found.select("page_id", "record_bytes", "copies", "record_sha256", "corrupt")
 
 

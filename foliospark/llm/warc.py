@@ -7,15 +7,18 @@ whose hash covers the children's hashes and range.  Replicas are compared from
 the roots down: a level joins only the children of nodes that differ, so a
 sound file costs one comparison and a corrupt one a path for each bad record.
 
+``audit`` compares places in files.  ``fixity`` compares records: its nodes are
+ranges of a hash of the record, so a record that is lost or added shifts no
+other, and what only the replica has is returned.
+
 Digests are taken where the pages are read; only digests, lengths and ids are
 shuffled, and equal records of an id are counted before that.  Everything is
 expressed in DataFrame functions.
 
 Defined cases: null url or html count as empty; a null id is a record of its
-own in file 0; repeated rows are one record with a count, so copies of a
-record take no further leaves; a replica without a record, or with one more,
-differs from that record on; empty tables give empty results; extra columns
-are ignored.
+own in file 0; repeated rows are one record with a count, which its leaf hash
+covers; for ``audit`` a replica without a record, or with one more, differs from
+that record on; empty tables give empty results; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -42,12 +45,17 @@ def record(page_id: Column, url: Column, body: Column) -> Column:
     return F.concat(header.cast("binary"), body, F.lit(CRLF * 2).cast("binary"))
 
 
-def leaves(pages: DataFrame, files: int, id_col: str = "page_id", url_col: str = "url", body_col: str = "html") -> DataFrame:
-    """``(file, page_id, slot, digest, start, length, copies)`` of the records in file order."""
+def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", body_col: str = "html") -> DataFrame:
+    """``(page_id, digest, length, copies)`` of the distinct records."""
     raw = record(F.col(id_col), F.col(url_col), F.col(body_col))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), raw.alias("raw"))
     rows = rows.select("page_id", F.sha2("raw", 256).alias("digest"), F.octet_length("raw").cast("long").alias("length"))
-    rows = rows.groupBy("page_id", "digest", "length").agg(F.count("*").alias("copies"))
+    return rows.groupBy("page_id", "digest", "length").agg(F.count("*").alias("copies"))
+
+
+def leaves(pages: DataFrame, files: int, id_col: str = "page_id", url_col: str = "url", body_col: str = "html") -> DataFrame:
+    """``(file, page_id, slot, digest, start, length, copies)`` of the records in file order."""
+    rows = records(pages, id_col, url_col, body_col)
     rows = rows.withColumn("file", F.coalesce(F.pmod(F.xxhash64("page_id"), F.lit(files)), F.lit(0)).cast("long"))
     order = Window.partitionBy("file").orderBy(F.col("page_id").asc_nulls_first(), "digest")
     rows = rows.withColumn("slot", (F.row_number().over(order) - 1).cast("long"))
@@ -62,15 +70,54 @@ def parents(nodes: DataFrame) -> DataFrame:
     return up.select("file", F.col("up").alias("node"), F.sha2(F.array_join(covered, "|").cast("binary"), 256).alias("hash"), "start", "end")
 
 
-def tree(records: DataFrame, levels: int) -> list[DataFrame]:
+def tree(base: DataFrame, levels: int) -> list[DataFrame]:
     """Levels from the leaves to the roots, each written once."""
-    base = records.select("file", F.col("slot").alias("node"), F.col("digest").alias("hash"), "start", (F.col("start") + F.col("length")).alias("end"))
     out = [base]
     for _ in range(levels):
         out.append(written(parents(out[-1]), "merkle"))
     return out
 
 
+def placed(rows: DataFrame) -> DataFrame:
+    """Leaves by place: digest and number of copies."""
+    return rows.select("file", F.col("slot").alias("node"), F.concat_ws("*", "digest", F.col("copies").cast("string")).alias("hash"), "start", (F.col("start") + F.col("length")).alias("end"))
+
+
+def ranged(rows: DataFrame, levels: int) -> DataFrame:
+    """Leaves by range of the record's hash: ``FANOUT ** levels`` of them, whatever the rows are."""
+    node = F.pmod(F.xxhash64("digest"), F.lit(FANOUT**levels)).cast("long")
+    held = F.array_sort(F.collect_list(F.concat_ws("*", "digest", F.col("copies").cast("string"))))
+    return rows.groupBy(node.alias("node")).agg(F.sha2(F.array_join(held, "|").cast("binary"), 256).alias("hash")).select(F.lit(0).cast("long").alias("file"), "node", "hash", F.col("node").alias("start"), F.col("node").alias("end"))
+
+
+def differences(ours: DataFrame, theirs: DataFrame) -> DataFrame:
+    """``(page_id, digest, length, copies, replica_copies)`` of the records whose number of copies differs, on either side."""
+    levels = max(0, levels_for(max(ours.count(), theirs.count())) - 1)
+    bad = descend(*(tree(written(ranged(x, levels), "ranges"), levels) for x in (ours, theirs))).select("node")
+    inside = lambda x: x.withColumn("node", F.pmod(F.xxhash64("digest"), F.lit(FANOUT**levels)).cast("long")).join(bad, "node", "left_semi").drop("node")
+    # A digest covers the whole record, its id included.
+    a = inside(ours)
+    b = inside(theirs).select(F.col("page_id").alias("__id"), "digest", F.col("length").alias("__length"), F.col("copies").alias("replica_copies"))
+    both = a.join(b, "digest", "full_outer").withColumns({"page_id": F.coalesce("page_id", "__id"), "length": F.coalesce("length", "__length"), "copies": F.coalesce("copies", F.lit(0)), "replica_copies": F.coalesce("replica_copies", F.lit(0))})
+    return both.filter("copies <> replica_copies").select("page_id", "digest", "length", "copies", "replica_copies")
+
+
+def fixity(primary: DataFrame, replica: DataFrame, id_col: str = "page_id", url_col: str = "url", body_col: str = "html", file_records: int = FILE_RECORDS) -> DataFrame:
+    """Every record of either side with its copies there; corrupt where they differ.
+
+    A record of the primary has its place in the files; one that only the
+    replica has no place and 0 copies.
+    """
+    files = max(1, -(-primary.count() // file_records))
+    ours = written(leaves(primary, files, id_col, url_col, body_col), "leaves")
+    theirs = written(records(replica, id_col, url_col, body_col), "records")
+    found = written(differences(ours.select("page_id", "digest", "length", "copies"), theirs), "found")
+    sound = ours.join(found.filter("copies > 0").select("digest", "replica_copies"), "digest", "left").withColumn("corrupt", F.col("replica_copies").isNotNull()).withColumn("replica_copies", F.coalesce("replica_copies", "copies"))
+    added = found.filter("copies = 0").withColumn("corrupt", F.lit(True))
+    out = sound.unionByName(added, allowMissingColumns=True)
+    return out.select("page_id", F.col("file").alias("warc_file"), F.col("slot").alias("record_no"), F.col("start").alias("record_offset"), F.col("length").alias("record_bytes"), "copies", "replica_copies", F.col("digest").alias("record_sha256"), "corrupt")
+
+
 def descend(left: list[DataFrame], right: list[DataFrame]) -> DataFrame:
     """``(file, node, visited)``: the leaves that differ, reached from the roots only."""
     differing = None
@@ -96,6 +143,6 @@ def audit(primary: DataFrame, replica: DataFrame, id_col: str = "page_id", url_c
     ours, theirs = (written(leaves(x, files, id_col, url_col, body_col), "leaves") for x in (primary, replica))
     most = max((x.agg(F.max("slot")).first()[0] or 0) + 1 for x in (ours, theirs))
     levels = levels_for(most)
-    bad = descend(tree(ours, levels), tree(theirs, levels)).select("file", F.col("node").alias("slot"), F.lit(True).alias("bad"))
+    bad = descend(tree(placed(ours), levels), tree(placed(theirs), levels)).select("file", F.col("node").alias("slot"), F.lit(True).alias("bad"))
     out = ours.join(bad, ["file", "slot"], "left")
     return out.select("page_id", F.col("file").alias("warc_file"), F.col("slot").alias("record_no"), F.col("start").alias("record_offset"), F.col("length").alias("record_bytes"), "copies", F.col("digest").alias("record_sha256"), F.coalesce("bad", F.lit(False)).alias("corrupt"))
