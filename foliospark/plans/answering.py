@@ -100,6 +100,21 @@ def history_window(spark, sf):
     return h.select("conv_id", "turn", F.size("history").cast("long").alias("n_history"), F.coalesce(F.get(F.transform("history", lambda m: m["turn"]), F.lit(0)), F.lit(-1)).alias("first_turn"), "has_assistant")
 
 
+def conversation_answers(spark, sf):
+    """The answer rules over every assistant turn; the pages of its context are the turns before it.
+
+    ``n_scores`` is what the text yields when read as a rerank reply of 20 candidates.
+    """
+    talk = answers.history_window(_table(spark, sf, "conversations")).filter("role = 'assistant'")
+    context = F.transform("history", lambda m: m["turn"].cast("int"))
+    rows = talk.select("conv_id", "turn", F.col("text").alias("answer"), context.alias("context"), answers.cited_pages(F.col("text")).alias("cited"))
+    c = answers.citation_check(F.col("cited"), F.col("context"))
+    return rows.select(
+        "conv_id", "turn", F.array_join(F.col("cited").cast("array<string>"), ",").alias("cited"), c["citation_valid"].alias("citation_valid"), F.round(c["citation_precision"], 6).alias("citation_precision"),
+        F.coalesce(answers.diagnosis(F.col("answer"), F.col("context")), F.lit("")).alias("code"), answers.strip_source_lines(F.col("answer")).alias("answer"), F.coalesce(F.size(answers.parse_scores("answer", F.lit(20))), F.lit(0)).cast("long").alias("n_scores"),
+    )
+
+
 def _replies(spark):
     return spark.createDataFrame(list(REPLIES), "q_id long, reply string")
 
@@ -160,7 +175,7 @@ def rate_limit(spark, sf):
     return limiter.rate_limit(_table(spark, sf, "events"), LIMIT, WINDOW)
 
 
-QUERIES = {f.__name__: f for f in (cited_pages, citation_check, answer_diagnosis, strip_sources, refusal_detect, rewrite_needed, history_window, rerank_parse, rerank_apply, source_cards, retrieval_metrics, answer_metrics, index_freshness, index_stale, rate_limit)}
+QUERIES = {f.__name__: f for f in (cited_pages, citation_check, answer_diagnosis, strip_sources, refusal_detect, rewrite_needed, history_window, conversation_answers, rerank_parse, rerank_apply, source_cards, retrieval_metrics, answer_metrics, index_freshness, index_stale, rate_limit)}
 
 
 def _q(value) -> str:

@@ -1,8 +1,9 @@
 """Queries of the line filters, blocks and chunks.
 
 The documents table stands in for page text: a source is a document and its
-rows, in id order, are the pages.  Rules that the table does not exercise run
-over small literal fixtures.
+rows, in id order, are the pages.  ``page_number_lines``, ``glyph_lines`` and
+``heading_detection`` show their rules on literal fixtures, as their oracles do;
+the ``document_`` queries run the same rules over every line of the table.
 """
 
 from __future__ import annotations
@@ -74,6 +75,19 @@ def heading_detection(spark, sf):
     return _fixture(spark).select("n", "line", level.cast("long").alias("level"), structural.alias("structural"))
 
 
+def document_page_numbers(spark, sf):
+    return _lines(spark, sf).filter(lines.is_page_number(F.col("line"))).select("source_document", "page", "line_no", "line")
+
+
+def document_glyph_lines(spark, sf):
+    return _lines(spark, sf).filter(F.col("line").rlike(lines.GLYPH)).select("source_document", "page", "line_no", "line")
+
+
+def document_headings(spark, sf):
+    level, structural = chunks.heading(F.col("line"))
+    return _lines(spark, sf).select("source_document", "page", "line_no", "line", level.cast("long").alias("level"), structural.alias("structural")).filter("level is not null")
+
+
 def paragraph_blocks(spark, sf):
     rows = chunks.paragraph_starts(_lines(spark, sf))
     return rows.groupBy("source_document", "block_no").agg(F.count("*").alias("n_lines"), F.min("page").alias("page_start"), F.max("page").alias("page_end"), F.sum(F.length("line")).alias("n_chars"))
@@ -106,7 +120,7 @@ def page_ranges(spark, sf):
     return chunks.page_ranges(short, "source_document", "pages")
 
 
-QUERIES = {f.__name__: f for f in (line_explode, short_lines, page_number_lines, glyph_lines, gibberish_lines, header_footer_templates, line_filter_report, noisy_pages, clean_pages, short_line_limit, heading_detection, paragraph_blocks, chunk_documents, chunk_noise, corpus_summary, build_stats, page_ranges)}
+QUERIES = {f.__name__: f for f in (line_explode, short_lines, page_number_lines, glyph_lines, gibberish_lines, header_footer_templates, line_filter_report, noisy_pages, clean_pages, short_line_limit, heading_detection, document_page_numbers, document_glyph_lines, document_headings, paragraph_blocks, chunk_documents, chunk_noise, corpus_summary, build_stats, page_ranges)}
 
 _SPACE = r"[\t\n\x0B\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 _LINES = rf"""pg AS (SELECT source AS source_document, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS page, coalesce(text, '') AS text FROM documents),
@@ -177,3 +191,16 @@ ORACLE_SQL = {
         i AS (SELECT source_document, min(page) AS a, max(page) AS z FROM g GROUP BY source_document, g)
         SELECT source_document, string_agg(CASE WHEN a = z THEN CAST(a AS VARCHAR) ELSE a || '–' || z END, ', ' ORDER BY a) AS page_ranges FROM i GROUP BY ALL""",
 }
+
+
+def _over_lines(name: str, where: str) -> str:
+    """The fixture's rule over every line of the table, where it applies."""
+    rule = ORACLE_SQL[name].replace(_VALUES, _LINES).replace("CAST(n AS BIGINT) AS n", "source_document, page, line_no").removesuffix("fx") + "li"
+    return f"SELECT * FROM ({rule}) WHERE {where}"
+
+
+ORACLE_SQL |= {
+    "document_page_numbers": f"WITH {_LINES} SELECT source_document, page, line_no, line FROM li WHERE {_PAGE_NUMBER}",
+    "document_glyph_lines": rf"WITH {_LINES} SELECT source_document, page, line_no, line FROM li WHERE regexp_matches(line, '\(cid:\d+\)')",
+    "document_headings": _over_lines("heading_detection", "level IS NOT NULL"),
+}
