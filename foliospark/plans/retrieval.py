@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.constants import PRESETS, RetrievalConfig
 from ..functions.text import tokens
-from ..operators import dense, fusion, lexical
+from ..operators import answers, dense, fusion, lexical
 from . import duck
 
 # Benchmark ids lie in the range of vector ids, so a vector stands in for its
@@ -138,7 +138,7 @@ def document_filter_topk(spark, sf):
 
 
 def ablation_presets(spark, sf):
-    """Best page of each question under each preset, and the preset's mean reciprocal rank against containment."""
+    """Size of the contexts of the presets that need no reranker; ``preset_metrics`` runs all three."""
     d, lx = _lists(spark, sf)
     fused = fusion.fused_top(fusion.candidates(d, lx, CONFIG), CONFIG.fusion_candidates).select("q_id", "doc_id", F.col("fusion_rank").alias("rank"))
     runs = d.select(F.lit("dense").alias("preset"), "q_id", "doc_id", F.col("dense_rank").alias("rank")).filter(f"rank <= {CONFIG.top_k}")
@@ -148,7 +148,40 @@ def ablation_presets(spark, sf):
     return F.broadcast(names).join(best, "preset", "left").select("preset", "use_hybrid", "use_rerank", F.coalesce("n_questions", F.lit(0)).alias("n_questions"), F.coalesce("n_contexts", F.lit(0)).alias("n_contexts"), F.coalesce("n_documents", F.lit(0)).alias("n_documents"))
 
 
-QUERIES = {f.__name__: f for f in (token_stream, term_frequency, doc_length, doc_frequency, corpus_stats, idf_table, bm25_topk, lexical_coverage, matched_terms, dense_topk, dense_threshold_search, dense_score_lookup, rrf_fusion, rrf_weighted, dense_only_fusion, candidate_profile, relevance_gate, document_filter_topk, ablation_presets)}
+def offline_replies(cands):
+    """A deterministic reranker's reply for each question: ten times the coverage of each candidate."""
+    entry = F.struct(F.col("fusion_rank").alias("id"), (F.col("coverage") * 10).alias("score"))
+    return cands.groupBy("q_id").agg(F.to_json(F.array_sort(F.collect_list(entry))).alias("reply"))
+
+
+def preset_metrics(spark, sf):
+    """Hits and mean reciprocal rank of each preset over all questions; relevant is a document that contains the question's text.
+
+    The third preset reranks the fused candidates by ``offline_replies`` and drops those under the threshold.
+    """
+    cands = _candidates(spark, sf)
+    final = fusion.final_contexts(answers.apply_scores(cands, offline_replies(cands)), CONFIG)
+    runs = {
+        "dense": _dense(spark, sf).select("q_id", F.col("vec_id").alias("doc_id"), F.col("dense_rank").alias("rank")),
+        "hybrid": cands.select("q_id", "doc_id", F.col("fusion_rank").alias("rank")),
+        "hybrid_rerank": final.select("q_id", "doc_id", F.col("final_rank").cast("long").alias("rank")),
+    }
+    every = None
+    for name, run in runs.items():
+        one = run.filter(F.col("rank") <= CONFIG.top_k).select(F.lit(name).alias("preset"), "q_id", "doc_id", "rank")
+        every = one if every is None else every.unionByName(one)
+    questions = _questions(spark, sf).select("q_id", F.lower("text").alias("q_text"))
+    texts = _table(spark, sf, "documents").select("doc_id", F.lower("text").alias("text"))
+    held = F.coalesce((F.col("q_text") != "") & F.contains("text", F.col("q_text")), F.lit(False))
+    ranked = every.join(questions, "q_id").join(texts, "doc_id", "left").groupBy("preset", "q_id").agg(F.count("*").alias("n"), F.coalesce(F.max(F.when(held, 1 / F.col("rank"))), F.lit(0.0)).alias("rr"))
+    found = ranked.groupBy("preset").agg(F.count("*").alias("n_answered"), F.sum("n").alias("n_contexts"), F.count_if(F.col("rr") > 0).alias("n_hit"), F.sum("rr").alias("rr"))
+    total = questions.agg(F.count("*").alias("n_questions"))
+    names = spark.createDataFrame([(n,) for n in PRESETS], "preset string")
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return F.broadcast(names).join(found, "preset", "left").crossJoin(F.broadcast(total)).select("preset", "n_questions", zero("n_answered"), zero("n_contexts"), zero("n_hit"), F.round(F.coalesce(F.col("rr") / F.col("n_questions"), F.lit(0.0)), 6).alias("mrr"))
+
+
+QUERIES = {f.__name__: f for f in (token_stream, term_frequency, doc_length, doc_frequency, corpus_stats, idf_table, bm25_topk, lexical_coverage, matched_terms, dense_topk, dense_threshold_search, dense_score_lookup, rrf_fusion, rrf_weighted, dense_only_fusion, candidate_profile, relevance_gate, document_filter_topk, ablation_presets, preset_metrics)}
 
 _TOP = "top AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS lexical_rank FROM hits)"
 _DENSE = f"""ds AS (
@@ -203,4 +236,15 @@ ORACLE_SQL = {
         names AS (SELECT * FROM (VALUES ('dense', false, false), ('hybrid', true, false), ('hybrid_rerank', true, true)) t(preset, use_hybrid, use_rerank))
         SELECT preset, use_hybrid, use_rerank, count(DISTINCT q_id) AS n_questions, count(doc_id) AS n_contexts, count(DISTINCT doc_id) AS n_documents
         FROM names LEFT JOIN runs USING (preset) GROUP BY ALL""",
+    "preset_metrics": f"""WITH {_CANDIDATES},
+        qs AS (SELECT item_id AS q_id, lower(b.text) AS q_text FROM benchmark b JOIN embeddings ON vec_id = item_id),
+        scored AS (SELECT *, CASE WHEN count(*) OVER (PARTITION BY q_id) > 1 THEN coverage * 10 END AS rs FROM cand),
+        rr AS (SELECT q_id, doc_id, row_number() OVER (PARTITION BY q_id ORDER BY rs DESC NULLS LAST, fusion_rank) AS rk FROM scored WHERE rs IS NULL OR rs >= 4),
+        runs AS (SELECT 'dense' AS preset, q_id, doc_id, dense_rank AS rk FROM d UNION ALL SELECT 'hybrid', q_id, doc_id, fusion_rank FROM ranked UNION ALL SELECT 'hybrid_rerank', q_id, doc_id, rk FROM rr),
+        g AS (SELECT preset, q_id, count(*) AS n, coalesce(max(CASE WHEN q_text <> '' AND contains(lower(t.text), q_text) THEN 1e0 / rk END), 0e0) AS rr
+              FROM runs JOIN qs USING (q_id) LEFT JOIN documents t USING (doc_id) WHERE rk <= 4 GROUP BY ALL),
+        names AS (SELECT unnest(['dense', 'hybrid', 'hybrid_rerank']) AS preset)
+        SELECT preset, (SELECT count(*) FROM qs) AS n_questions, count(q_id) AS n_answered, CAST(coalesce(sum(n), 0) AS BIGINT) AS n_contexts, count(*) FILTER (rr > 0) AS n_hit,
+               round(coalesce(sum(rr), 0e0) / (SELECT count(*) FROM qs), 6) AS mrr
+        FROM names LEFT JOIN g USING (preset) GROUP BY preset""",
 }

@@ -30,3 +30,10 @@ def test_answer_rules_over_conversations(spark, tmp_path):
         (1, 4): ("", False, 0.0, "missing_page_citation", '[{"id": 3, "score": 6}]', 1),
         (2, 1): ("", False, 0.0, "empty_response", None, 0),
     }
+
+
+def test_every_preset_is_run(spark):
+    got = {r["preset"]: r for r in QUERIES["preset_metrics"](spark, "/root/testdata/sf0.001").collect()}
+    assert got.keys() == {"dense", "hybrid", "hybrid_rerank"}
+    assert all(r["n_answered"] > 0 and r["n_contexts"] > 0 for r in got.values())
+    assert got["hybrid_rerank"]["mrr"] >= got["hybrid"]["mrr"]
