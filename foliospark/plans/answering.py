@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Row, SparkSession
+from pyspark.sql import Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.constants import RetrievalConfig
-from ..operators import answers, evaluate, fusion
+from ..operators import answers, evaluate, fusion, lexical
 from ..sources import files
 from ..streaming import limiter
+from . import duck
 
 # Answers with the pages of their contexts; the expected values are stated next to them.
 ANSWERS = (
@@ -51,6 +52,7 @@ PARSED = ((1, 1, 9.0), (1, 2, 3.5), (2, 1, 10.0), (2, 2, 0.0), (3, 2, 7.5), (4,
 INDEXED = (("a.pdf", "11"), ("b.pdf", "22"), ("c.pdf", "33"))
 PRESENT = (("a.pdf", "11"), ("b.pdf", "99"), ("d.pdf", "44"))
 LIMIT, WINDOW = 2, 86_400
+CARD_HITS = 10
 
 
 def _table(spark: SparkSession, sf: str, name: str):
@@ -132,13 +134,23 @@ def rerank_apply(spark, sf):
 
 
 def source_cards(spark, sf):
-    """Best documents of each item by containment length, grouped by source."""
+    """Cards of contexts dealt by id, as the oracle states; ``retrieved_source_cards`` has those of the search."""
     docs, items = _table(spark, sf, "documents"), _table(spark, sf, "benchmark")
     ctx = items.join(docs, F.pmod("doc_id", F.lit(40)) == F.pmod("item_id", F.lit(40))).select(F.col("item_id").alias("q_id"), F.col("doc_id").alias("final_rank"), F.col("source").alias("source_document"), F.array(F.pmod("doc_id", F.lit(7))).alias("page_numbers"), F.col("lang").alias("section_title"), (F.col("n_chars") / 1000.0).alias("score"))
     cards = answers.source_cards(ctx)
     return cards.select("q_id", "card_no", "source_document", F.array_join(F.col("pages").cast("array<string>"), ",").alias("pages"), "section_title", "score")
 
 
+def retrieved_source_cards(spark, sf):
+    """Cards of the best BM25 hits of each item over the whole table; a page is a document's rank in its source."""
+    docs = _table(spark, sf, "documents")
+    hits = lexical.top_hits(lexical.bm25(_table(spark, sf, "benchmark"), lexical.build(docs)), CARD_HITS).select(F.col("item_id").alias("q_id"), "doc_id", F.col("lexical_rank").alias("final_rank"), "score")
+    rank = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
+    pages = docs.select("doc_id", F.col("source").alias("source_document"), F.col("lang").alias("section_title"), F.array(rank.cast("long")).alias("page_numbers"))
+    cards = answers.source_cards(hits.join(pages, "doc_id"))
+    return cards.select("q_id", "card_no", "source_document", F.array_join(F.col("pages").cast("array<string>"), ",").alias("pages"), "section_title", "score")
+
+
 def _results(spark, sf):
     """Label rows as scored questions: quality tells the scope, toxic a refusal."""
     docs, labels = _table(spark, sf, "documents").select("doc_id", "n_chars"), _table(spark, sf, "labels")
@@ -175,7 +187,7 @@ def rate_limit(spark, sf):
     return limiter.rate_limit(_table(spark, sf, "events"), LIMIT, WINDOW)
 
 
-QUERIES = {f.__name__: f for f in (cited_pages, citation_check, answer_diagnosis, strip_sources, refusal_detect, rewrite_needed, history_window, conversation_answers, rerank_parse, rerank_apply, source_cards, retrieval_metrics, answer_metrics, index_freshness, index_stale, rate_limit)}
+QUERIES = {f.__name__: f for f in (cited_pages, citation_check, answer_diagnosis, strip_sources, refusal_detect, rewrite_needed, history_window, conversation_answers, rerank_parse, rerank_apply, source_cards, retrieved_source_cards, retrieval_metrics, answer_metrics, index_freshness, index_stale, rate_limit)}
 
 
 def _q(value) -> str:
@@ -223,6 +235,11 @@ ORACLE_SQL = {
     "source_cards": """WITH c AS (SELECT item_id AS q_id, doc_id AS rk, source, doc_id % 7 AS pg, lang, n_chars / 1e3 AS score FROM benchmark JOIN documents ON doc_id % 40 = item_id % 40),
         g AS (SELECT q_id, source, list_sort(list(DISTINCT pg)) AS pages, arg_max(lang, struct_pack(s := score, r := -rk)) AS section_title, max(score) AS score, min(rk) AS seen FROM c GROUP BY ALL)
         SELECT q_id, row_number() OVER (PARTITION BY q_id ORDER BY seen) AS card_no, source AS source_document, array_to_string(pages, ',') AS pages, section_title, round(score, 4) AS score FROM g""",
+    "retrieved_source_cards": f"""WITH {duck.bm25()},
+        top AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rk FROM hits),
+        pg AS (SELECT doc_id, source, lang, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS pg FROM documents),
+        g AS (SELECT item_id AS q_id, source, list_sort(list(DISTINCT pg)) AS pages, arg_max(lang, struct_pack(s := score, r := -rk)) AS section_title, max(score) AS score, min(rk) AS seen FROM top JOIN pg USING (doc_id) WHERE rk <= {CARD_HITS} GROUP BY ALL)
+        SELECT q_id, row_number() OVER (PARTITION BY q_id ORDER BY seen) AS card_no, source AS source_document, array_to_string(pages, ',') AS pages, section_title, round(score, 4) AS score FROM g""",
     "retrieval_metrics": f"""WITH {_RESULTS} SELECT preset, count(*) FILTER (d % 11 = 0) AS rerank_failures, count(*) FILTER (inside AND d % 3 <> 0 AND d % 4 <> 0) AS page_recall_hits, count(*) FILTER (inside AND d % 3 <> 0) AS page_recall_total,
         round(coalesce(avg(CASE WHEN d % 4 <> 0 THEN 1e0 / (d % 4) ELSE 0e0 END) FILTER (inside AND d % 3 <> 0), 0e0), 6) AS mrr, count(*) FILTER (inside AND d % 5 <> 0 AND d % 7 <> 0) AS keyword_hits, count(*) FILTER (inside AND d % 5 <> 0) AS keyword_total,
         count(*) FILTER (NOT inside AND refused) AS correct_refusals, count(*) FILTER (NOT inside) AS out_of_scope_total, count(*) FILTER (inside AND refused) AS false_refusals, count(*) FILTER (inside) AS in_scope_total,

@@ -37,3 +37,11 @@ def test_every_preset_is_run(spark):
     assert got.keys() == {"dense", "hybrid", "hybrid_rerank"}
     assert all(r["n_answered"] > 0 and r["n_contexts"] > 0 for r in got.values())
     assert got["hybrid_rerank"]["mrr"] >= got["hybrid"]["mrr"]
+
+
+def test_cards_come_from_the_search(spark, tmp_path):
+    """The best document has another id remainder than the item."""
+    sf = docs(spark, tmp_path, ["isi lain", "kurikulum beban studi", "beban"])
+    spark.createDataFrame([(0, "kurikulum beban studi")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = [tuple(r)[:4] for r in QUERIES["retrieved_source_cards"](spark, sf).collect()]
+    assert got == [(0, 1, "s", "2,3")]
