@@ -4,8 +4,9 @@ Folding maps homoglyphs (compatibility forms, Cyrillic and Greek look-alikes)
 and digit substitutions to one letter, so disguised words meet the lexicon.
 The lexicon is learned from labelled rows: words and word stems whose share of
 toxic texts is far above their share of the others, weighted by the log odds.
-Texts that agree in a bottom hash of their words (exact and most near copies)
-count once, so a copied text does not put its own words into the lexicon.
+Texts that agree in the bottom hash of their words (exact and most near copies,
+and unrelated texts that share that word) count once, so a copied text does not
+put its own words into the lexicon.
 The evidence of a text is the sum of the weights of matched entries outside
 exception phrases, divided by a slowly growing function of its length; a
 one-variable logistic regression turns it into a score.
