@@ -28,17 +28,42 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared checkpoint folder; one of our own only where none is set."""
+    """The shared checkpoint folder; one of our own only in local mode, where none is set."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.sparkContext._jsc.sc().getCheckpointDir()
         root = root.get() if root.isDefined() else None
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="foliospark-")
         spark.sparkContext.setCheckpointDir(root)
     return root
 
 
+def fresh(df: DataFrame, label: str) -> str:
+    """A column name that ``df`` does not have, whatever the case of its names."""
+    taken, name = {c.lower() for c in df.columns}, f"__{label}"
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def row_sample(df: DataFrame, rows: int) -> DataFrame:
+    """About ``rows`` rows at most, chosen by row number and not by content, so equal rows are sampled like others."""
+    step = max(1, df.count() // rows)
+    if step == 1:
+        return df
+    number = fresh(df, "row")
+    return df.withColumn(number, F.monotonically_increasing_id()).filter(F.pmod(F.xxhash64(number), F.lit(step)) == 0).drop(number)
+
+
+def row_keys(df: DataFrame) -> list:
+    """Two 64-bit hashes of all columns: rows that agree in both are taken as equal rows."""
+    cells = [F.col(f"`{c}`") for c in df.columns]
+    return [F.xxhash64(*cells, F.lit(seed)) for seed in (1, 2)]
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
