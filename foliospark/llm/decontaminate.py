@@ -3,7 +3,8 @@
 ``build_index`` turns each slice of the corpus into one index segment: its
 sorted terms, the offsets of their posting lists and the postings, which are
 ascending token positions in the segment.  Segments are rows of a written
-table, so building needs no shuffle and the index follows the documents.
+table, each with an id of its own, so building needs no shuffle and the index
+follows the documents.
 
 ``search_windows`` sends the test items to the segments in blocks of bounded
 size.  For a window it starts from the posting list of the rarest term in the
@@ -15,16 +16,18 @@ Defined cases: a null or wordless text has no words and no hits; a null or
 wordless item has no windows; a null item id counts as the item of that text
 but has no name in the list; equal item ids are named once; repeated documents
 give repeated rows; an empty corpus gives an empty result and an empty item
-table no hits; extra columns are ignored.
+table no hits; a very long text is one segment of its own; ids do not tell rows
+apart, so rows of one id with different texts have results of their own; extra
+columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,7 +38,8 @@ ITEM_BLOCK_BYTES = 8 << 20
 """Bytes of item texts that are sent to the executors at once."""
 
 EMPTY_SHA = hashlib.sha256(b"").hexdigest()
-SEGMENT = "doc_ids array<bigint>, row_words array<int>, terms binary, post_at array<int>, posts binary"
+SEGMENT = "segment string, doc_ids array<bigint>, row_words array<int>, terms binary, post_at array<int>, posts binary"
+COLUMNS = ["doc_ids", "row_words", "terms", "post_at", "posts"]
 # Lower-cases A-Z; whatever is no word byte becomes a space.
 _WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -65,24 +69,31 @@ def _segments(batches):
             post_at = np.concatenate([[0], np.cumsum(np.bincount(ranked, minlength=len(terms)))])
             yield pa.RecordBatch.from_arrays(
                 [
+                    pa.array([uuid.uuid4().hex], pa.string()),
                     pa.array([ids[i:j]], pa.list_(pa.int64())),
                     pa.array([lengths], pa.list_(pa.int32())),
                     pa.array([b" ".join(terms)], pa.binary()),
                     pa.array([post_at.astype(np.int32)], pa.list_(pa.int32())),
                     pa.array([posts.tobytes()], pa.binary()),
                 ],
-                ["doc_ids", "row_words", "terms", "post_at", "posts"],
+                ["segment", *COLUMNS],
             )
 
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The index segments of ``docs``, all terms and positions of all texts."""
-    return arrow_map(docs.select(F.col(id_col).cast("long"), F.col(text_col)), _segments, SEGMENT)
+    """The stored index segments of ``docs``, all terms and positions of all texts."""
+    return written(arrow_map(docs.select(F.col(id_col).cast("long"), F.col(text_col)), _segments, SEGMENT), "index")
 
 
 class Segment:
     """One row of the index, opened for queries."""
 
+    @classmethod
+    def at(cls, b: pa.RecordBatch, r: int) -> Segment:
+        """Row ``r`` of a batch of the index."""
+        doc_ids, row_words, terms, post_at, posts = (b.column(b.schema.get_field_index(c))[r] for c in COLUMNS)
+        return cls(doc_ids.as_py(), row_words.as_py(), terms.as_py(), post_at.values.to_numpy(), posts.as_py())
+
     def __init__(self, doc_ids, row_words, terms: bytes, post_at: np.ndarray, posts: bytes):
         self.doc_ids = doc_ids
         self.ends = np.cumsum(np.asarray(row_words, np.int64))
@@ -139,7 +150,7 @@ def _hits(segment: Segment, items: list[tuple], width: int):
     return np.cumsum(marks[:-1]) > 0, found
 
 
-RESULT = "doc_id long, n_words long, n_hit long, items array<string>, marks binary, segment long, row int"
+RESULT = "doc_id long, n_words long, n_hit long, items array<string>, marks binary, segment string, row int"
 
 
 def _search(items_value, width, keep_marks=False):
@@ -147,10 +158,10 @@ def _search(items_value, width, keep_marks=False):
         items = items_value()
         for b in batches:
             for r in range(b.num_rows):
-                s = Segment(b.column(0)[r].as_py(), b.column(1)[r].as_py(), b.column(2)[r].as_py(), b.column(3)[r].values.to_numpy(), b.column(4)[r].as_py())
+                s = Segment.at(b, r)
                 hit, found = _hits(s, items, width)
                 total = np.concatenate([[0], np.cumsum(hit)])
-                key = xxhash.xxh3_64_intdigest(repr(s.doc_ids).encode() + b.column(4)[r].as_py()) >> 1 if keep_marks else 0
+                key = b.column(b.schema.get_field_index("segment"))[r].as_py()
                 starts = np.concatenate([[0], s.ends[:-1]]).astype(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -159,7 +170,7 @@ def _search(items_value, width, keep_marks=False):
                         pa.array(total[s.ends] - total[starts], pa.int64()),
                         pa.array([sorted(x for x in found.get(d, ()) if x is not None) for d in range(len(starts))], pa.list_(pa.string())),
                         pa.array([np.packbits(hit[x:y]).tobytes() if keep_marks else None for x, y in zip(starts, s.ends)], pa.binary()),
-                        pa.array([key] * len(starts), pa.int64()),
+                        pa.array([key] * len(starts), pa.string()),
                         pa.array(range(len(starts)), pa.int32()),
                     ],
                     ["doc_id", "n_words", "n_hit", "items", "marks", "segment", "row"],
@@ -188,11 +199,12 @@ def search_windows(index: DataFrame, items: DataFrame, id_col: str = "item_id",
 
     With one block of items, which is the usual case, this is a map over the
     segments.  Further blocks are searched in turn, one broadcast at a time; a
-    document's hits are the union over the blocks, combined by position.
+    document's hits are the union over the blocks, combined by position in its
+    stored segment.
     """
     spark = index.sparkSession
-    columns = index.select("doc_ids", "row_words", "terms", "post_at", "posts")
-    results, n = [], 0
+    columns = index.select("segment", *COLUMNS)
+    results = []
     blocks = item_blocks(items, id_col, text_col)
     block, after = next(blocks), next(blocks, None)
     if after is None:
@@ -202,25 +214,24 @@ def search_windows(index: DataFrame, items: DataFrame, id_col: str = "item_id",
         sent = spark.sparkContext.broadcast(block)
         results.append(written(arrow_map(columns, _search(lambda sent=sent: sent.value, width, keep_marks=True), RESULT), "hits"))
         sent.unpersist()
-        n, block, after = n + 1, after, next(blocks, None)
+        block, after = after, next(blocks, None)
     union = results[0]
     for r in results[1:]:
         union = union.union(r)
-    # One row of each block for each document; equal segments count several times.
-    merged = union.groupBy("segment", "row", "doc_id", "n_words").agg(F.collect_list("marks").alias("marks"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.count("*").alias("n"))
+    # One row of each block for each document.
+    merged = union.groupBy("segment", "row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.collect_list("marks").alias("marks"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
 
     def combine(batches):
         for b in batches:
             hit = [int(np.unpackbits(np.bitwise_or.reduce([np.frombuffer(m, np.uint8) for m in marks])).sum()) for marks in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(hit, pa.int64()), b.column(3), b.column(4)], ["doc_id", "n_words", "n_hit", "items", "n"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(hit, pa.int64()), b.column(3)], ["doc_id", "n_words", "n_hit", "items"])
 
-    out = arrow_map(merged.select("doc_id", "n_words", "marks", "items", "n"), combine, "doc_id long, n_words long, n_hit long, items array<string>, n long")
-    return out.withColumn("copy", F.explode(F.sequence(F.lit(1), (F.col("n") / n).cast("int")))).drop("copy", "n")
+    return arrow_map(merged.select("doc_id", "n_words", "marks", "items"), combine, "doc_id long, n_words long, n_hit long, items array<string>")
 
 
 def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = WINDOW) -> DataFrame:
     """One row for each document row: words, hit words, items and their digest."""
-    index = written(build_index(docs, id_col, text_col), "index")
+    index = build_index(docs, id_col, text_col)
     found = search_windows(index, items, item_id, item_text, width)
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
@@ -237,7 +248,7 @@ def search_proximity(index: DataFrame, queries: list[tuple[str, list[str]]], spa
         for b in batches:
             out: list[list] = [[], [], [], []]
             for r in range(b.num_rows):
-                s = Segment(b.column(0)[r].as_py(), b.column(1)[r].as_py(), b.column(2)[r].as_py(), b.column(3)[r].values.to_numpy(), b.column(4)[r].as_py())
+                s = Segment.at(b, r)
                 starts = np.concatenate([[0], s.ends[:-1]]).astype(np.int64)
                 for name, terms in asked:
                     lists = sorted((s.postings(t) for t in set(terms)), key=len)
@@ -259,26 +270,36 @@ def search_proximity(index: DataFrame, queries: list[tuple[str, list[str]]], spa
                             o.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), *(pa.array(x, pa.int64()) for x in out[1:])], ["query", "doc_id", "first", "last"])
 
-    return arrow_map(index.select("doc_ids", "row_words", "terms", "post_at", "posts"), run, "query string, doc_id long, first long, last long")
+    return arrow_map(index.select(*COLUMNS), run, "query string, doc_id long, first long, last long")
 
 
 def remove_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = WINDOW) -> DataFrame:
     """``docs`` without the rows that hold a window of an item, columns unchanged.
 
     The segments are built and searched in the task that holds the rows, so
-    the texts are not joined with the result.
+    the texts are not joined with the result.  Blocks of items are searched in
+    turn, one broadcast at a time; what a block leaves is written for the next.
     """
-    sent = [docs.sparkSession.sparkContext.broadcast(x) for x in item_blocks(items, item_id, item_text)]
+    spark = docs.sparkSession
     ids, texts = docs.columns.index(id_col), docs.columns.index(text_col)
 
-    def run(batches):
-        asked = [item for p in sent for item in p.value]
-        for b in batches:
-            rows = pa.RecordBatch.from_arrays([b.column(ids).cast(pa.int64()), b.column(texts)], ["i", "t"])
-            clean: list[bool] = []
-            for segment in _segments([rows]):
-                for found in _search(lambda: asked, width)([segment.select(["doc_ids", "row_words", "terms", "post_at", "posts"])]):
-                    clean += [n == 0 for n in found.column(2).to_pylist()]
-            yield b.filter(pa.array(clean, pa.bool_()))
-
-    return arrow_map(docs, run, docs.schema)
+    def without(rows: DataFrame, block: list) -> DataFrame:
+        sent = spark.sparkContext.broadcast(block)
+
+        def run(batches):
+            asked = sent.value
+            for b in batches:
+                named = pa.RecordBatch.from_arrays([b.column(ids).cast(pa.int64()), b.column(texts)], ["i", "t"])
+                clean: list[bool] = []
+                for segment in _segments([named]):
+                    for found in _search(lambda: asked, width)([segment]):
+                        clean += [n == 0 for n in found.column(2).to_pylist()]
+                yield b.filter(pa.array(clean, pa.bool_()))
+
+        return arrow_map(rows, run, docs.schema)
+
+    blocks = item_blocks(items, item_id, item_text)
+    out, after = without(docs, next(blocks)), next(blocks, None)
+    while after is not None:
+        out, after = without(written(out, "clean"), after), next(blocks, None)
+    return out
