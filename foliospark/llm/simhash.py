@@ -6,8 +6,8 @@ bounded sample: a node has a vantage point and a median distance.  Every
 fingerprint has one home leaf.  As a query it also visits each leaf that its
 ball of radius 1 reaches: by the triangle inequality a branch is pruned if the
 distance to the vantage point lies further than 1 from the branch's side.  A
-leaf is a shard; a crowded leaf is dealt out over several tasks, each with a
-part of the homes and all visitors.  Inside a shard pairs are compared by
+leaf is a shard; a crowded leaf is dealt out over a grid of tasks, each with a
+part of the homes and a part of the visitors, so a task's memory is bounded.  Inside a shard pairs are compared by
 popcount on ranges that the triangle bound leaves, and a union-find reduces
 what links to a star for each local component, so a large group of near copies
 yields one row a fingerprint and never all pairs.  Components join the stars.
@@ -29,13 +29,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, slices, written
+from .common import arrow_map, fresh, row_keys, slices, written
 from .components import connected_components
 
 RADIUS = 3
 LEAF_ROWS = 4_096
 SAMPLE_ROWS = 1 << 16
-MAX_DEPTH = 14
+"""Fingerprints to which the trees are fitted, about; eight for each leaf where that is more."""
+MAX_DEPTH = 18
+"""Leaves hold ``LEAF_ROWS`` up to 2**30 distinct fingerprints; beyond, their grids grow."""
 HOME_ROWS = 16_384
 """Homes of one leaf in one task at most, on average; a crowded leaf is dealt out."""
 
@@ -79,16 +81,18 @@ def fingerprints_of(texts: list, shingle: int = 3, seed: int = 42) -> np.ndarray
     return out
 
 
-def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """``(doc_id, fp)``; fp is the fingerprint as a signed long."""
+def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, keys: tuple[str, ...] = ()) -> DataFrame:
+    """``(doc_id, fp)``; fp is the fingerprint as a signed long.  ``keys`` are long columns that become key1, key2, ..."""
+    named = [f"key{i}" for i in range(1, len(keys) + 1)]
 
     def run(batches):
         for b in batches:
             texts = b.column(1).to_pylist()
             fps = [fingerprints_of(texts[i:j], shingle) for i, j in slices(texts)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.concatenate(fps).view(np.int64) if fps else np.zeros(0, np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.concatenate(fps).view(np.int64) if fps else np.zeros(0, np.int64)), *b.columns[2:]], ["doc_id", "fp", *named])
 
-    return arrow_map(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, "doc_id long, fp long")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *[F.col(c).alias(n) for c, n in zip(keys, named)])
+    return arrow_map(rows, run, ", ".join(f"{c} long" for c in ("doc_id", "fp", *named)))
 
 
 class Tree:
@@ -188,8 +192,9 @@ def links(fps: DataFrame, leaf_rows: int = LEAF_ROWS, home_rows: int = HOME_ROWS
     spark = fps.sparkSession
     n = fps.count()
     depth = int(min(MAX_DEPTH, max(0, np.ceil(np.log2(max(1, n / leaf_rows))))))
-    step = max(1, n // SAMPLE_ROWS)
-    sample = np.array([r[0] for r in fps.filter(F.pmod(F.xxhash64("fp"), F.lit(step)) == 0).limit(2 * SAMPLE_ROWS).collect()], np.int64)
+    most = max(SAMPLE_ROWS, 8 << depth)
+    # Fingerprints are distinct here, so a hash of them samples evenly.
+    sample = fps.filter(F.pmod(F.xxhash64("fp"), F.lit(max(1, n // most))) == 0).limit(2 * most).toArrow().column(0).to_numpy()
     trees = spark.sparkContext.broadcast([Tree(depth, x) for x in _halves(sample)])
 
     def homes(batches):
@@ -215,11 +220,16 @@ def links(fps: DataFrame, leaf_rows: int = LEAF_ROWS, home_rows: int = HOME_ROWS
                 home = tree.home(x)
                 row, leaf = tree.visits(x, RADIUS // 2)
                 k = parts.value[leaf + (half << depth)]
+                own = (mixed[row] % k.astype(np.uint64)).astype(np.int64)
+                at_home = home[row] == leaf
+                # A visitor goes to its own column in every row of the leaf's grid, a home also to the rest of its own row.
                 again = np.repeat(np.arange(len(row)), k)
-                part = np.arange(len(again)) - np.repeat(np.cumsum(k) - k, k)
-                row, leaf, k = row[again], leaf[again], k[again]
-                lives = (home[row] == leaf) & (mixed[row] % k.astype(np.uint64) == part.astype(np.uint64))
-                for o, a in zip(out, (leaf + (half << depth), part, fp[row], lives)):
+                turn = np.arange(len(again)) - np.repeat(np.cumsum(k) - k, k)
+                down, across = (again, turn, own[again]), (again, own[again], turn)
+                also = at_home[again] & (turn != own[again])
+                pick, r, c = (np.concatenate([x, y[also]]) for x, y in zip(down, across))
+                lives = at_home[pick] & (own[pick] == r)
+                for o, a in zip(out, (leaf[pick] + (half << depth), r * k[pick] + c, fp[row[pick]], lives)):
                     o.append(a)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o)) for o in out], ["leaf", "part", "fp", "home"])
 
@@ -232,23 +242,34 @@ def links(fps: DataFrame, leaf_rows: int = LEAF_ROWS, home_rows: int = HOME_ROWS
     return arrow_map(fps, route, "leaf long, part long, fp long, home boolean").groupBy("leaf", "part").applyInArrow(search, "src long, dst long")
 
 
+def _classes(prints: DataFrame) -> DataFrame:
+    """``(fp, component)`` of every distinct fingerprint; a component is named by its least fingerprint."""
+    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    distinct = written(distinct, "distinct")
+    member = written(connected_components(links(distinct.select("fp"))), "members")
+    return distinct.join(member.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
     """``(doc_id, fingerprint, component_id)``, one row for each row of ``docs``."""
     prints = written(fingerprint(docs, id_col, text_col, shingle), "fingerprints")
-    distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    member = written(connected_components(links(distinct.select("fp"))), "members")
-    named = distinct.join(member.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    named = _classes(prints)
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     by_fp = named.join(least, "component").select("fp", "component_id")
     return prints.join(by_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each component stays: that of the smallest id.
+def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
+    """One row of each component stays: of the smallest id the row with the least hash of its columns.
 
-    Of several rows with that id one stays.  Rows with a null id cannot be told
-    apart by id, so all of them stay.
+    Rows are told apart by a hash of all their columns, so ids may repeat or be
+    null; a row with an id comes before one without.  Of equal rows one stays.
     """
-    found = near_duplicates(docs, id_col, text_col).filter("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    kept = docs.join(found, docs[id_col] == F.col("__kept"), "left_semi").dropDuplicates([id_col])
-    return kept.unionByName(docs.filter(F.col(id_col).isNull()))
+    first, second = fresh(docs, "key1"), fresh(docs, "key2")
+    keyed = docs.withColumns(dict(zip((first, second), row_keys(docs))))
+    prints = written(fingerprint(keyed, id_col, text_col, shingle, (first, second)), "fingerprints")
+    place = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("key1").alias("a"), F.col("key2").alias("b"))
+    firsts = prints.groupBy("fp").agg(F.min(place).alias("first"))
+    kept = firsts.join(_classes(prints).select("fp", "component"), "fp").groupBy("component").agg(F.min("first").alias("first"))
+    wanted = kept.select(F.col("first.a").alias(first), F.col("first.b").alias(second))
+    return keyed.join(wanted, [first, second], "left_semi").dropDuplicates([first, second]).select(*[F.col(f"`{c}`") for c in docs.columns])
