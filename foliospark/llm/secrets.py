@@ -11,8 +11,10 @@ Scanning is a projection: no shuffle, no Python, one pass over the rows.
 
 Defined cases: null counts as empty; empty texts have no spans and the digest
 of the empty string; without samples both models are uniform and no span is
-added; repeated rows give repeated rows; an empty table an empty result; extra
-columns are ignored.
+added; samples are taken by row number, so equal rows are as likely as others;
+very long texts are scanned whole; spans that begin together are listed by kind;
+repeated rows give repeated rows; an empty table an empty result; extra columns
+are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,6 +24,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh, row_sample
+
 # The base patterns, and the least length of what each matches.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
@@ -82,8 +86,7 @@ def samples_from(docs: DataFrame, text_col: str = "text", sample_rows: int = SAM
     What a base pattern matches is random; identifier-like words of the text
     outside such matches are ordinary.
     """
-    step = max(1, docs.count() // sample_rows)
-    text = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("t")).filter(F.pmod(F.xxhash64("t"), F.lit(step)) == 0)
+    text = row_sample(docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("t")), sample_rows)
     hexes, keys = HEX.replace("+", "{32,}"), ACCESS.replace("+", "{12,}")
     random = text.select(F.explode(F.concat(F.filter(matches(F.col("t"), ASSIGN, 1), lambda v: F.length(v) >= ASSIGN_VALUE), matches(F.col("t"), keys), matches(F.col("t"), hexes))).alias("sample"), F.lit(1).alias("random"))
     cut = F.col("t")
@@ -134,13 +137,14 @@ def added_spans(text: Column, base: Column, table: list[float], threshold: float
     return F.when(text.rlike(CANDIDATE), F.transform(F.filter(mixed, lambda x: ratio(x["v"], table) > threshold), lambda x: x["s"])).otherwise(none)
 
 
-def with_spans(docs: DataFrame, table: list[float], text_col: str = "text") -> DataFrame:
-    """``docs`` with ``__assign``, ``__access``, ``__hex``, ``__base`` and ``__spans``."""
+def with_spans(docs: DataFrame, table: list[float], text_col: str = "text") -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with columns of spans, and their names by kind, ``base`` and ``spans``; no name clashes with one of ``docs``."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    base = base_spans(text)
-    out = docs.select("*", *[c.alias(f"__{k}") for k, c in base.items()])
-    out = out.select("*", F.array_sort(F.concat("__assign", "__access", "__hex")).alias("__base"))
-    return out.select("*", F.array_sort(F.concat("__base", added_spans(text, F.col("__base"), table))).alias("__spans"))
+    kinds = base_spans(text)
+    at = {k: fresh(docs, k) for k in (*kinds, "base", "spans")}
+    out = docs.select("*", *[c.alias(at[k]) for k, c in kinds.items()])
+    out = out.select("*", F.array_sort(F.concat(*[at[k] for k in kinds])).alias(at["base"]))
+    return out.select("*", F.array_sort(F.concat(F.col(at["base"]), added_spans(text, F.col(at["base"]), table))).alias(at["spans"])), at
 
 
 def listed(spans: Column) -> Column:
@@ -150,8 +154,8 @@ def listed(spans: Column) -> Column:
 
 def scan(docs: DataFrame, table: list[float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Counts, digest and list of the spans of every whole text."""
-    found = with_spans(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), table)
-    return found.select("doc_id", *[F.size(f"__{k}").cast("long").alias(f"n_{k}") for k in KINDS[:3]], F.sha2(listed(F.col("__base")).cast("binary"), 256).alias("base_sha256"), listed(F.col("__spans")).alias("spans"))
+    found, at = with_spans(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), table)
+    return found.select("doc_id", *[F.size(at[k]).cast("long").alias(f"n_{k}") for k in KINDS[:3]], F.sha2(listed(F.col(at["base"])).cast("binary"), 256).alias("base_sha256"), listed(F.col(at["spans"])).alias("spans"))
 
 
 def redact(docs: DataFrame, table: list[float], text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
@@ -167,6 +171,6 @@ def redact(docs: DataFrame, table: list[float], text_col: str = "text", mark: st
     def finish(acc):
         return F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text)))
 
-    clean = F.when(F.size("__spans") > 0, F.aggregate("__spans", zero, step, finish)).otherwise(text)
-    found = with_spans(docs, table, text_col)
-    return found.withColumn("__clean", clean).select(*[F.col("__clean").alias(c) if c == text_col else F.col(c) for c in docs.columns])
+    found, at = with_spans(docs, table, text_col)
+    clean = F.when(F.size(at["spans"]) > 0, F.aggregate(at["spans"], zero, step, finish)).otherwise(text)
+    return found.select(*[clean.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
