@@ -3,8 +3,10 @@
 The vocabulary file's tokenizer lower-cases, drops white space and never lets
 a token cross white space, so the encoding of a text is the concatenation of
 the encodings of its white-space words.  Words are looked up in a cache; a
-word that is not there is cut into pre-tokens, and only unseen pre-tokens go
-through the library.  Texts outside a plain Latin alphabet, or holding the
+word that is not there is cut into pre-tokens, which are looked up in the given
+table and then in a second cache, and only what both lack goes through the
+library.  Entries of over ``LONGEST`` characters are not kept, so the caches are
+bounded in bytes, not in entries only.  Texts outside a plain Latin alphabet, or holding the
 start of a special string, are encoded whole by the library, so the results
 always equal the library's own.
 """
@@ -22,6 +24,7 @@ from array import array
 _OTHER = re.compile(r"[^\t\n\v\f\r\x20-\x7eÀ-įı-ſ]+")
 _PRETOKENS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 _WORKER: dict = {}
+LONGEST = 64
 
 
 def plain(text: str) -> bool:
@@ -29,10 +32,15 @@ def plain(text: str) -> bool:
     return "<|" not in text and (text.isascii() and text.isprintable() or not _OTHER.search(text))
 
 
+def pretokens(text: str) -> list[str]:
+    """The pre-tokens of a plain text, which the vocabulary encodes one by one."""
+    return [p for w in text.lower().split() for p in ((w,) if w.isalpha() else _PRETOKENS.findall(w))]
+
+
 class Encoder:
     """Token ids (``counts=False``: little-endian uint32 bytes) or token counts.
 
-    ``known`` is the first tier: entries that stay.  The second tier is this
+    ``known`` is the first tier: values of pre-tokens, which stay.  The second tier is this
     worker's own: at ``cap`` entries a new generation begins, and entries of
     the last one move over when they are used again, so memory stays bounded.
     """
@@ -43,7 +51,7 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path)
         self.counts, self.known, self.cap = counts, known or {}, cap
-        self.words, self.pieces = dict(self.known), {}
+        self.words, self.pieces = {}, {}
         self.old_words, self.old_pieces = {}, {}
 
     @classmethod
@@ -62,27 +70,34 @@ class Encoder:
             packed.byteswap()
         return packed.tobytes()
 
-    def _learn(self, missing: list[str]) -> None:
-        pieces, old = self.pieces, self.old_pieces
+    def _learn(self, missing: list[str]) -> dict:
+        """Values of ``missing`` words; those worth keeping are cached."""
+        known, pieces, old = self.known, self.pieces, self.old_pieces
         split = [(w, (w,) if w.isalpha() else _PRETOKENS.findall(w)) for w in missing]
-        new = []
+        values, new = {}, []
         for p in {p for _, ps in split for p in ps}:
-            if p not in pieces:
-                if p in old:
-                    pieces[p] = old[p]
-                else:
-                    new.append(p)
+            if p in known:
+                values[p] = known[p]
+            elif p in pieces:
+                values[p] = pieces[p]
+            elif p in old:
+                values[p] = pieces[p] = old[p]
+            else:
+                new.append(p)
         if new:
             for p, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False)):
-                pieces[p] = self._value(e.ids)
+                values[p] = self._value(e.ids)
+                if len(p) <= LONGEST:
+                    pieces[p] = values[p]
         join = sum if self.counts else b"".join
-        for w, ps in split:
-            self.words[w] = pieces[ps[0]] if len(ps) == 1 else join([pieces[p] for p in ps])
+        found = {w: values[ps[0]] if len(ps) == 1 else join([values[p] for p in ps]) for w, ps in split}
+        self.words.update((w, v) for w, v in found.items() if len(w) <= LONGEST)
+        return found
 
     def encode(self, texts: list[str | None]) -> list:
         """One value for each text; ``None`` counts as the empty text."""
-        if len(self.words) >= self.cap + len(self.known):
-            self.old_words, self.words = self.words, dict(self.known)
+        if len(self.words) >= self.cap:
+            self.old_words, self.words = self.words, {}
         if len(self.pieces) >= self.cap:
             self.old_pieces, self.pieces = self.pieces, {}
         split = [(t or "").lower().split() if not t or plain(t) else None for t in texts]
@@ -94,6 +109,9 @@ class Encoder:
                     words[w] = old[w]
                 else:
                     missing.append(w)
-        self._learn(missing)
+        learned = self._learn(missing)
+        long = {w: v for w, v in learned.items() if len(w) > LONGEST}
         get, join = words.__getitem__, sum if self.counts else b"".join
+        if long:
+            get = lambda w: words[w] if w in words else long[w]
         return [self._value(self.library.encode(t, add_special_tokens=False).ids) if s is None else join(map(get, s)) for t, s in zip(texts, split)]

@@ -1,14 +1,16 @@
 """Token counts: a two-tier map-side lookup without a pre-token shuffle.
 
-Tier one is a broadcast hash table of the lengths of frequent words.  It is
-fitted on a bounded sample and holds at most ``table_words`` entries, so its
-size does not grow with the data, and it only affects speed.  Tier two is a
-cache in each Python worker, filled by the library with what tier one lacks.
-Each count is the library's own count (see ``bpe.py``).
+Tier one is a broadcast table of the token counts of frequent pre-tokens: one
+string of the pre-tokens and one byte a count.  It is fitted on a bounded sample
+and holds at most ``table_words`` entries, so its size does not grow with the
+data, and it only affects speed.  Tier two are caches in each Python worker,
+filled by the library with what tier one lacks.  Each count is the library's own
+count (see ``bpe.py``).
 
 Defined cases: a null or empty text has 0 bytes and 0 tokens; null ids, ties
-and repeated rows pass through, one row out for each row in; an empty table
-gives an empty result; extra columns are ignored.
+and repeated rows pass through, one row out for each row in; strings without a
+break of any length are counted whole but not cached; an empty table gives an
+empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,51 +22,52 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import Encoder, plain
-from .common import arrow_map, slices
+from .bpe import LONGEST, Encoder, plain, pretokens
+from .common import arrow_map, row_sample, slices, written
 
 SAMPLE_ROWS = 4_000
 TABLE_WORDS = 30_000
 
 
-def _top_words(limit: int):
-    def run(batches):
+def _counted(batches):
+    """The pre-tokens of each batch with their counts."""
+    for b in batches:
         seen = Counter()
-        for b in batches:
-            for t in b.column(0).to_pylist():
-                if t and plain(t):
-                    seen.update(t.lower().split())
-            if len(seen) > 20 * limit:
-                seen = Counter(dict(seen.most_common(limit)))
-        top = seen.most_common(limit)
-        yield pa.RecordBatch.from_pydict({"word": pa.array([w for w, _ in top], pa.string()), "n": pa.array([n for _, n in top], pa.int64())})
-
-    return run
+        for t in b.column(0).to_pylist():
+            if t and plain(t):
+                seen.update(p for p in pretokens(t) if len(p) <= LONGEST)
+        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["token", "n"])
 
 
-def frequent_words(docs: DataFrame, text_col: str = "text", sample_rows: int = SAMPLE_ROWS, table_words: int = TABLE_WORDS) -> list[str]:
-    """Frequent white-space words of a sample of about ``sample_rows`` rows.
+def frequent_pretokens(docs: DataFrame, text_col: str = "text", sample_rows: int = SAMPLE_ROWS, table_words: int = TABLE_WORDS) -> list[str]:
+    """The most frequent pre-tokens of a sample of about ``sample_rows`` rows, ``table_words`` at most.
 
-    Each task counts its own share and sends its ``table_words`` most frequent
-    ones; the driver gets ``table_words`` words at most.
+    The executors count and merge; the driver gets a histogram of the counts'
+    sizes, from which it finds the least count that fits, and then what reaches it.
     """
-    rows = docs.count()
-    step = max(1, rows // sample_rows)
-    sample = docs.select(F.col(text_col).alias("t")).filter(F.pmod(F.xxhash64("t"), F.lit(step)) == 0)
-    top = arrow_map(sample, _top_words(table_words), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [r["word"] for r in top.orderBy(F.desc("n"), "word").limit(table_words).collect()]
+    counts = written(arrow_map(row_sample(docs.select(text_col), sample_rows), _counted, "token string, n long").groupBy("token").agg(F.sum("n").alias("n")), "pretokens")
+    step = F.floor(F.log2("n") * 8).cast("int")
+    held, least = 0, None
+    for r in sorted(counts.groupBy(step.alias("step")).count().collect(), key=lambda r: -r["step"]):
+        held += r["count"]
+        if held > table_words:
+            break
+        least = r["step"]
+    return sorted(r["token"] for r in counts.filter(step >= least).select("token").collect()) if least is not None else []
 
 
 def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", max_tokens: int = 2048, sample_rows: int = SAMPLE_ROWS, table_words: int = TABLE_WORDS) -> DataFrame:
     """doc id, UTF-8 bytes, tokens and whether ``max_tokens`` is exceeded."""
     spark = docs.sparkSession
-    words = frequent_words(docs, text_col, sample_rows, table_words)
-    lengths = dict(zip(words, Encoder(path, counts=True).encode(words)))
-    tier_one = spark.sparkContext.broadcast(lengths)
+    tokens = frequent_pretokens(docs, text_col, sample_rows, table_words)
+    # A pre-token of LONGEST characters has fewer than 256 tokens.
+    lengths = bytes(len(e.ids) for e in Encoder(path, counts=True).library.encode_batch_fast(tokens, add_special_tokens=False))
+    tier_one = spark.sparkContext.broadcast(("\n".join(tokens), lengths))
     key = ("counts", path, uuid.uuid4().hex)
 
     def run(batches):
-        encoder = Encoder.of_worker(key, path, counts=True, known=tier_one.value)
+        names, counted = tier_one.value
+        encoder = Encoder.of_worker(key, path, counts=True, known=dict(zip(names.split("\n"), counted)))
         for b in batches:
             texts = b.column(1).to_pylist()
             counts = []
