@@ -13,17 +13,21 @@
    slot by arithmetic on a bounded table.
 
 Defined cases: null and empty texts are the end id alone; repeated rows are
-packed each for itself; ties in length are broken by id, start and a salt;
-an empty table gives an empty result; extra columns are ignored.
+packed each for itself and dealt out by a stored row number, so any number of
+equal rows spreads over the salts; ties in length are broken by salt, id, start
+and row number; very long texts are cut into full sequences and a rest; an empty
+table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import zlib
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import Encoder
@@ -32,10 +36,10 @@ from .common import arrow_map, slices, written
 CAPACITY = 4096
 GRID = 8
 END_ID = 2
-ROWS_PER_SALT = 2_000
+ROWS_PER_SALT = 400
 MAX_SALTS = 4_096
 BROADCAST_ROWS = 1 << 17
-PIECES = "doc_id long, row_key long, start long, length long, ids_crc32 long, doc_tokens long"
+PIECES = "doc_id long, row_no long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -46,6 +50,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, id_col: str = "
 
     def run(batches):
         encoder = Encoder.of_worker(key, path)
+        number = TaskContext.get().partitionId() << 33
         for b in batches:
             ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
             out: list[list] = [[], [], [], [], [], []]
@@ -58,12 +63,13 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, id_col: str = "
                         part = tokens[at : at + width]
                         doc.append(ids[k])
                         c = zlib.crc32(part)
-                        row.append(c * 2654435761 + n & 0x7FFFFFFF)
+                        row.append(number)
+                        number += 1
                         start.append(at // 4)
                         length.append(len(part) // 4)
                         crc.append(c)
                         total.append(n)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["doc_id", "row_key", "start", "length", "ids_crc32", "doc_tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["doc_id", "row_no", "start", "length", "ids_crc32", "doc_tokens"])
 
     return arrow_map(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, PIECES)
 
@@ -215,6 +221,11 @@ def slots(patterns: list[tuple[dict[int, int], int]]) -> dict[int, np.ndarray]:
     return {s: np.array(r, np.int64) for s, r in rows.items()}
 
 
+def looked_up(values: list[int], at: Column) -> Column:
+    """``values[at]``: one literal array, which constant folding builds once."""
+    return F.element_at(F.split(F.lit(",".join(map(str, values))), ",").cast("array<long>"), at + 1)
+
+
 def salts_for(rows: int) -> int:
     return max(1, min(MAX_SALTS, -(-rows // ROWS_PER_SALT)))
 
@@ -233,10 +244,9 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, grid: int = GRID,
     assigned = spark.sparkContext.broadcast(slots(patterns))
 
     spread = {s: salts_for(n) for s, n in histogram.items()}
-    salts = F.element_at(F.create_map(*[F.lit(x) for kv in spread.items() for x in kv]), F.col("size")) if spread else F.lit(1)
-    # Rows are equal only if they are the same piece twice, so hashing all columns salts well.
-    salted = rest.withColumn("salt", F.pmod(F.xxhash64("doc_id", "row_key", "start"), salts).cast("int"))
-    within = Window.partitionBy("size", "salt").orderBy("doc_id", "start", "row_key")
+    salts = looked_up([spread.get(s, 1) for s in range(capacity // grid + 1)], F.col("size"))
+    salted = rest.withColumn("salt", F.pmod(F.xxhash64("row_no"), salts).cast("int"))
+    within = Window.partitionBy("size", "salt").orderBy("doc_id", "start", "row_no")
     ranked = salted.withColumn("local", F.row_number().over(within) - 1)
     per_salt = salted.groupBy("size", "salt").count()
     before = per_salt.withColumn("before", F.sum("count").over(Window.partitionBy("size").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)))
@@ -265,13 +275,9 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, grid: int = GRID,
 
     # Full pieces: sequence numbers after the patterns', by salted counts again.
     lots = salts_for(full.count())
-    dealt = full.withColumn("salt", F.pmod(F.xxhash64("doc_id", "row_key", "start"), F.lit(lots)).cast("int"))
+    dealt = full.withColumn("salt", F.pmod(F.xxhash64("row_no"), F.lit(lots)).cast("int"))
     counts = {r["salt"]: r["count"] for r in dealt.groupBy("salt").count().collect()}
-    bases, base = {}, made
-    for s in range(lots):
-        bases[s] = base
-        base += counts.get(s, 0)
-    first = F.element_at(F.create_map(*[F.lit(x) for kv in bases.items() for x in kv]), F.col("salt"))
-    alone = dealt.withColumn("sequence_id", first + F.row_number().over(Window.partitionBy("salt").orderBy("doc_id", "start", "row_key")) - 1)
+    first = looked_up(list(accumulate((counts.get(s, 0) for s in range(lots - 1)), initial=made)), F.col("salt"))
+    alone = dealt.withColumn("sequence_id", first + F.row_number().over(Window.partitionBy("salt").orderBy("doc_id", "start", "row_no")) - 1)
     columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", F.col("sequence_id").cast("long").alias("sequence_id")]
     return rests.select(*columns, F.col("offset").cast("long").alias("offset")).unionByName(alone.select(*columns, F.lit(0).cast("long").alias("offset")))
