@@ -15,7 +15,9 @@ Defined cases: null and empty texts have no evidence and get the base score;
 without labelled rows, or with one class only, the lexicon is empty and every
 score is the base rate (0.0 without any label); documents with labels null are
 unlabelled; repeated labels of an id count as given; repeated rows are scored
-each; extra columns are ignored.
+each; very long texts are scored whole, in time that grows with their length; a
+score of exactly 0.5 is toxic; a tie of entries at one place counts the greater
+weight; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,23 +25,22 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from bisect import bisect_right
 from collections import Counter
 from functools import lru_cache
+from itertools import accumulate
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+
 from .common import arrow_map
 
 MAX_TRAIN_ROWS = 20_000
 """Labelled rows used for fitting: about this many at most, chosen by a hash."""
 
-MAX_CANDIDATES = 20_000
-MAX_ENTRIES = 2_000
-"""Entries of the lexicon at most; it is broadcast, so its size is bounded."""
-
 EXCEPTIONS = ("trash can", "trash bin", "taken out the trash", "class clown", "clown fish", "pathetic fallacy", "pond scum", "soap scum", "sore loser", "stupid simple")
 """Phrases in which a lexicon entry is harmless; a caller may give others."""
 
@@ -114,13 +115,15 @@ def learn_lexicon(rows: DataFrame, stem: tuple[int, int] = (4, 9), share: float
 
     An entry is kept if ``share`` of the toxic copy groups hold it (two at
     least) and the toxic ones among its holders reach ``purity``, by class
-    shares.  A stem replaces the longer entries that begin with it.
+    shares.  A stem replaces the longer entries that begin with it.  Entries
+    that a share ``s`` of the groups holds are at most ``1 / s`` times the mean
+    number of entries of a group, so the lexicon does not grow with the data.
     """
     held = arrow_map(rows.filter("toxic = 1").select("text"), _features(stem), "entry string, grp long").distinct()
     bad = held.agg(F.countDistinct("grp")).first()[0]
     if not bad:
         return {}
-    frequent = held.groupBy("entry").count().filter(F.col("count") >= max(2.0, share * bad)).orderBy(F.desc("count"), "entry").limit(MAX_CANDIDATES).collect()
+    frequent = held.groupBy("entry").count().filter(F.col("count") >= max(2.0, share * bad)).collect()
     toxic = {r["entry"]: r["count"] for r in frequent}
     clean = {r["entry"]: r["n"] for r in arrow_map(rows.filter("toxic = 0").select("text"), _holders(set(toxic), stem), "entry string, n long").groupBy("entry").agg(F.sum("n").alias("n")).collect()}
     good = clean.get("", 0)
@@ -133,7 +136,7 @@ def learn_lexicon(rows: DataFrame, stem: tuple[int, int] = (4, 9), share: float
             weights[entry] = math.log(p / q)
     lexicon: dict[str, float] = {}
     for entry in sorted(weights, key=lambda e: (len(e.rstrip()), e)):
-        if len(lexicon) < MAX_ENTRIES and not any(entry.startswith(e) for e in lexicon if not e.endswith(" ")):
+        if not any(entry[:k] in lexicon for k in range(2, len(entry))):
             lexicon[entry] = weights[entry]
     return lexicon
 
@@ -159,7 +162,10 @@ def evidence(text: str | None, machine) -> float:
     for end, (weight, length, exception) in machine.iter(folded):
         (safe if exception else hits).append((end - length + 1, end, weight))
     if safe:
-        hits = [h for h in hits if not any(s[0] <= h[0] and h[1] <= s[1] for s in safe)]
+        # Of the phrases that begin no later than a hit, does one end no earlier?
+        safe.sort()
+        begins, reach = [s[0] for s in safe], list(accumulate((s[1] for s in safe), max))
+        hits = [h for h in hits if not ((k := bisect_right(begins, h[0])) and reach[k - 1] >= h[1])]
     if not hits:
         return 0.0
     best: dict[int, float] = {}
@@ -217,8 +223,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     try:
         lexicon = learn_lexicon(rows)
         x = arrow_map(rows.select(F.col("toxic").alias("key"), "text"), _evidence_of(lambda: (lexicon, exceptions)), "key int, x double")
-        # Evidence is rounded to a grid, so the driver gets a bounded histogram.
-        bins = x.groupBy("key", F.least(F.lit(2000.0), F.round("x", 1)).alias("x")).count().collect()
+        # Evidence is rounded to three digits or tenths, so the driver gets a bounded histogram.
+        grid = F.greatest(F.lit(0.1), F.pow(F.lit(10.0), F.floor(F.log10(F.greatest("x", F.lit(1.0)))) - 2))
+        bins = x.groupBy("key", (F.round(F.col("x") / grid) * grid).alias("x")).count().collect()
     finally:
         rows.unpersist()
     total = sum(r["count"] for r in bins)
