@@ -109,30 +109,54 @@ def parse(formatted: str) -> list[tuple[str, str]]:
 
 
 PART = "type string, text string, ref string, units int"
-TURNS = "conv_id long, turn long, role string, text string, formatted string, tokens long, refs array<string>"
+ATTACHMENT = "struct<kind:string,number:int,ref:string,tokens:bigint>"
+TURNS = f"conv_id long, turn long, role string, text string, formatted string, tokens long, refs array<string>, attachments array<{ATTACHMENT}>, loss_start int, loss_end int"
+_ATTACHMENTS = pa.list_(pa.struct([("kind", pa.string()), ("number", pa.int32()), ("ref", pa.string()), ("tokens", pa.int64())]))
 
 
-def format_turns(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", parts: str | None = None) -> DataFrame:
-    """Each row's formatted turn, the expanded tokens and references of its attachments.
+def format_turns(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", parts: str | None = None, loss_role: str = GENERATION) -> DataFrame:
+    """Each row's formatted turn, its attachments with their expanded tokens, and the span under the loss mask.
 
-    ``parts`` names an ``array<struct<type,text,ref,units>>`` column to use in
+    The span counts code points of the formatted turn and is that of the content
+    of a ``loss_role`` turn, null for others.  ``parts`` names an ``array<struct<type,text,ref,units>>`` column to use in
     place of the text column.
     """
     content = F.col(parts) if parts else F.array(F.struct(F.lit("text").alias("type"), F.col(text).alias("text"), F.lit(None).cast("string").alias("ref"), F.lit(None).cast("int").alias("units")))
 
     def run(batches):
         for b in batches:
-            formatted, tokens, refs = [], [], []
+            formatted, tokens, refs, attachments, loss = [], [], [], [], []
             for r, p in zip(b.column(2).to_pylist(), b.column(4).to_pylist()):
                 flat, attached = flatten(p or [])
                 formatted.append(format_turn(r or "", flat))
                 tokens.append(sum(a[3] for a in attached))
                 refs.append([a[2] for a in attached])
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(4)), pa.array(formatted, pa.string()), pa.array(tokens, pa.int64()), pa.array(refs, pa.list_(pa.string()))], ["conv_id", "turn", "role", "text", "formatted", "tokens", "refs"])
+                attachments.append([dict(zip(("kind", "number", "ref", "tokens"), a)) for a in attached])
+                end = len(formatted[-1]) - len(END) - 1
+                loss.append((end - len(flat), end) if r == loss_role else (None, None))
+            spans = [pa.array(x, pa.int32()) for x in zip(*loss)] if loss else [pa.array([], pa.int32())] * 2
+            columns = [pa.array(formatted, pa.string()), pa.array(tokens, pa.int64()), pa.array(refs, pa.list_(pa.string())), pa.array(attachments, _ATTACHMENTS), *spans]
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(4)), *columns], ["conv_id", "turn", "role", "text", "formatted", "tokens", "refs", "attachments", "loss_start", "loss_end"])
 
     return arrow_map(rows.select(F.col(conv).cast("long").alias("conv_id"), F.col(turn).cast("long").alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.col(text).alias("text"), content.alias("parts")), run, TURNS)
 
 
+def restore_parts(turns: DataFrame) -> DataFrame:
+    """``(conv_id, turn, role, parts)``: the parts of every formatted turn, read back from it and its attachments."""
+
+    def run(batches):
+        for b in batches:
+            roles, parts = [], []
+            for formatted, attached in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
+                ((role, content),) = parse(formatted)
+                roles.append(read_role(role))
+                parts.append([{k: p.get(k) for k in ("type", "text", "ref", "units")} for p in restore(content, [(a["kind"], a["number"], a["ref"], a["tokens"]) for a in attached])])
+            kind = pa.list_(pa.struct([("type", pa.string()), ("text", pa.string()), ("ref", pa.string()), ("units", pa.int32())]))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(roles, pa.string()), pa.array(parts, kind)], ["conv_id", "turn", "role", "parts"])
+
+    return arrow_map(turns.select("conv_id", "turn", "formatted", "attachments"), run, "conv_id long, turn long, role string, parts array<struct<type:string,text:string,ref:string,units:int>>")
+
+
 class _Digest:
     """Running digests of one conversation, read back from formatted turns."""
 
@@ -140,15 +164,15 @@ class _Digest:
         self.conv_id, self.turns, self.chars, self.loss_chars = conv_id, 0, 0, 0
         self.all, self.loss = hashlib.sha256(), hashlib.sha256()
 
-    def add(self, formatted: str, loss_role: str) -> None:
+    def add(self, formatted: str, loss_start: int | None, loss_end: int | None) -> None:
         self.chars += len(formatted)
         for role, content in parse(formatted):
-            role, text = read_role(role), unescape(content)
             self.turns += 1
-            self.all.update(f"{role}\n{text}\n".encode())
-            if role == loss_role:
-                self.loss_chars += len(text)
-                self.loss.update(text.encode())
+            self.all.update(f"{read_role(role)}\n{unescape(content)}\n".encode())
+        if loss_start is not None:
+            masked = unescape(formatted[loss_start:loss_end])
+            self.loss_chars += len(masked)
+            self.loss.update(masked.encode())
 
     def row(self) -> tuple:
         return self.conv_id, self.turns, self.all.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.chars
@@ -157,19 +181,19 @@ class _Digest:
 DIGESTS = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
 
 
-def conversation_digests(turns: DataFrame, loss_role: str = GENERATION) -> DataFrame:
-    """One row for each conversation, read back from the formatted turns."""
+def conversation_digests(turns: DataFrame) -> DataFrame:
+    """One row for each conversation, read back from the formatted turns and their loss spans."""
 
     def run(batches):
         now = None
         for b in batches:
             rows = []
-            for conv_id, formatted in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for conv_id, *turn in zip(*(b.column(i).to_pylist() for i in range(4))):
                 if now is None or now.conv_id != conv_id:
                     if now is not None:
                         rows.append(now.row())
                     now = _Digest(conv_id)
-                now.add(formatted, loss_role)
+                now.add(*turn)
             yield _table(rows)
         if now is not None:
             yield _table([now.row()])
@@ -179,5 +203,5 @@ def conversation_digests(turns: DataFrame, loss_role: str = GENERATION) -> DataF
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], DIGESTS)
 
     # Formatting is injective on (role, text), so it orders equal turns.
-    ordered = turns.select("conv_id", "turn", "formatted").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "formatted")
-    return arrow_map(ordered.select("conv_id", "formatted"), run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    ordered = turns.select("conv_id", "turn", "formatted", "loss_start", "loss_end").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "formatted")
+    return arrow_map(ordered.select("conv_id", "formatted", "loss_start", "loss_end"), run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
