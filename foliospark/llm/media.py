@@ -4,10 +4,13 @@ A payload is cut where a rolling gear hash of its bytes has zero low bits.  The
 hash of 32 bytes is a sum of shifted table values, so it is computed for a
 whole slice by five doubling steps instead of byte by byte.  Chunks are named
 by digest.  A chunk digest that occurs once in the corpus stays with its
-payload; shared chunks go to a store with one row a digest, found by a Spark
-join.  A payload is stored as a container: a header, the ordered chunk list,
-and the chunks it keeps.  Reading joins the missing chunks by digest, checks
-every chunk and puts them together in list order.
+payload; shared chunks go to a store with one row a digest.  A payload is stored
+as a container: a header, the ordered chunk list with a mark for each chunk that
+is in the store, and the chunks it keeps.  Containers and chunk store are written
+tables.  Reading opens the stored containers, joins the marked chunks by digest,
+checks every chunk and puts them together in list order; a chunk that is missing
+or damaged is an error.  ``media_bytes`` and ``media_sha256`` are those of the
+stored container, so a payload whose chunks are shared takes a few bytes.
 
 Which digests are shared is counted over all chunks (digests only are
 shuffled) and sent as a Bloom filter of bounded size; false positives merely
@@ -15,8 +18,9 @@ take the store's way.
 
 Defined cases: a null text is an empty payload, which like every text is padded
 with bytes 255 to a positive multiple of 576; null ids pass through; repeated
-rows give repeated rows and equal texts equal values; an empty table gives an
-empty result; extra columns are ignored.
+rows give repeated rows and equal texts equal values; a very long text has many
+chunks and one container; an empty table gives an empty result; extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +31,6 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -89,25 +92,34 @@ def chunks(data: bytes) -> list[tuple[bytes, bytes]]:
     return out
 
 
-def store(parts: list[tuple[bytes, bytes]]) -> bytes:
-    """The stored form: header, ordered chunk list (digest, length), 8-bit samples."""
-    listed = b"".join(struct.pack("<16sI", d, len(c)) for d, c in parts)
-    return MAGIC + struct.pack("<I", len(parts)) + listed + b"".join(c for _, c in parts)
+ENTRY = struct.Struct("<16sIB")
+"""An entry of the chunk list: digest, length, and 1 if the chunk is in the store."""
 
 
-def load(stored: bytes) -> bytes:
-    """The payload of a stored form; raises if a chunk does not match its digest."""
+def store(parts: list[tuple[bytes, bytes]], shared: list[bool] | None = None) -> bytes:
+    """The container: header, ordered chunk list, and the 8-bit samples of the chunks that are not ``shared``."""
+    shared = shared or [False] * len(parts)
+    listed = b"".join(ENTRY.pack(d, len(c), s) for (d, c), s in zip(parts, shared))
+    return MAGIC + struct.pack(">I", len(parts)) + listed + b"".join(c for (_, c), s in zip(parts, shared) if not s)
+
+
+def load(stored: bytes, fetched: dict[bytes, bytes] | None = None) -> bytes:
+    """The payload of a container; raises if a chunk is missing or does not match its digest."""
     if stored[:4] != MAGIC:
         raise ValueError("not a chunk container")
-    (n,) = struct.unpack_from("<I", stored, 4)
-    at, out = 8 + 20 * n, []
-    for i in range(n):
-        d, size = struct.unpack_from("<16sI", stored, 8 + 20 * i)
-        part = stored[at : at + size]
-        if digest(part) != d:
+    (n,) = struct.unpack_from(">I", stored, 4)
+    at, out = 8 + ENTRY.size * n, []
+    for i, (d, size, shared) in enumerate(ENTRY.iter_unpack(stored[8:at])):
+        if shared:
+            part = (fetched or {}).get(d)
+            if part is None:
+                raise ValueError(f"chunk {i} is not in the store")
+        else:
+            part = stored[at : at + size]
+            at += size
+        if len(part) != size or digest(part) != d:
             raise ValueError(f"chunk {i} does not match its digest")
         out.append(part)
-        at += size
     return b"".join(out)
 
 
@@ -116,14 +128,13 @@ FEATURE_KINDS = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa
 FEATURE_SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
-def features(doc_id, n_bytes: int, stored: bytes) -> tuple:
-    """Features of the payload read back from its stored form."""
-    data = load(stored)
-    tail = data[-TAIL_PIXELS:]
+def features(doc_id, n_bytes: int, stored: bytes, fetched: dict[bytes, bytes] | None = None) -> tuple:
+    """Features of the payload read back from its container."""
+    data = load(stored, fetched)
     samples = np.frombuffer(data, np.uint8)
     edges = np.bincount(samples >> 5, minlength=8)
-    feature = f"{int(samples.sum())}:{'-'.join(map(str, edges.tolist()))}:{struct.unpack_from('<I', stored, 4)[0]}"
-    return doc_id, n_bytes, len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(tail), len(stored), hashlib.sha256(stored).hexdigest(), feature
+    feature = f"{int(samples.sum())}:{'-'.join(map(str, edges.tolist()))}:{struct.unpack_from('>I', stored, 4)[0]}"
+    return doc_id, n_bytes, len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-TAIL_PIXELS:]), len(stored), hashlib.sha256(stored).hexdigest(), feature
 
 
 def _name(d: bytes) -> int:
@@ -141,112 +152,99 @@ def chunk_names(docs: DataFrame) -> DataFrame:
     return arrow_map(docs.select("text"), run, "name long")
 
 
-PASS = "kind int, row features, doc_id long"
-
+def store_payloads(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """The stored media: containers ``(doc_id, n_bytes, name, gaps, container)`` and chunk store ``(digest, chunk)``.
 
-def media_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Store every payload, read it back and compute its features."""
-    spark = docs.sparkSession
+    A container's name is the digest of its bytes; ``gaps`` counts its chunks in the store.
+    """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     shared = written(chunk_names(rows).groupBy("name").count().filter("count > 1").select("name"), "shared")
-    bloom = spark.sparkContext.broadcast(Bloom.of(shared, "name"))
+    bloom = docs.sparkSession.sparkContext.broadcast(Bloom.of(shared, "name"))
 
     def split(batches):
-        """Complete payloads as features; others as containers with gaps, and their shared chunks."""
-        known, squeeze = bloom.value, zstandard.ZstdCompressor(level=3)
-        sent: set[bytes] = set()
+        """A row for each container, and one for each shared chunk of the task."""
+        known, sent = bloom.value, set()
         for b in batches:
-            ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
+            ids, texts = b.column(0), b.column(1).to_pylist()
             for i, j in slices(texts):
-                cut = [(ids[k], *payload(texts[k])) for k in range(i, j)]
-                parts = [chunks(data) for _, data, _ in cut]
-                names = np.array([_name(d) for p in parts for d, _ in p], np.int64)
-                maybe, at = known.has(names), 0
-                done, gaps, stored = [], [], []
-                for (doc, data, n), p in zip(cut, parts):
-                    flags = maybe[at : at + len(p)]
+                cut = [payload(t) for t in texts[i:j]]
+                parts = [chunks(data) for data, _ in cut]
+                flags, at = known.has(np.array([_name(d) for p in parts for d, _ in p], np.int64)).tolist(), 0
+                containers, gaps, chunk_rows = [], [], {}
+                for p in parts:
+                    own = flags[at : at + len(p)]
                     at += len(p)
-                    if not flags.any():
-                        done.append(features(doc, n, store(p)))
-                        continue
-                    kept = b"".join(c for (_, c), f in zip(p, flags) if not f)
-                    listed = b"".join(struct.pack("<16sIB", d, len(c), bool(f)) for (d, c), f in zip(p, flags))
-                    gaps.append((doc, n, hashlib.sha256(data).digest(), listed, squeeze.compress(kept)))
-                    for (d, c), f in zip(p, flags):
-                        if f and d not in sent:
-                            sent.add(d)
-                            stored.append((d, squeeze.compress(c)))
-                    if len(sent) > 200_000:
-                        sent.clear()
-                yield _split_rows(done, gaps, stored)
-
-    def _split_rows(done, gaps, stored):
-        n = (len(done), len(gaps), len(stored))
-        none = lambda k: [None] * k
-        pick = lambda rows, i: [r[i] for r in rows]
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array([0] * n[0] + [1] * n[1] + [2] * n[2], pa.int32()),
-                pa.array(pick(done, 0) + pick(gaps, 0) + none(n[2]), pa.int64()),
-                pa.array(pick(done, 1) + pick(gaps, 1) + none(n[2]), pa.int64()),
-                *(pa.array(pick(done, i) + none(n[1] + n[2]), FEATURE_KINDS[i]) for i in range(2, 8)),
-                pa.array(none(n[0]) + pick(gaps, 2) + pick(stored, 0), pa.binary()),
-                pa.array(none(n[0]) + pick(gaps, 3) + none(n[2]), pa.binary()),
-                pa.array(none(n[0]) + pick(gaps, 4) + pick(stored, 1), pa.binary()),
-            ],
-            ["kind", *FEATURES, "key", "listed", "bytes"],
-        )
-
-    both = written(arrow_map(rows, split, "kind int, " + FEATURE_SCHEMA + ", key binary, listed binary, bytes binary"), "containers")
-    complete = both.filter("kind = 0").select(*FEATURES)
-    gapped = both.filter("kind = 1").select("doc_id", "n_bytes", "key", "listed", "bytes")
-    # Equal payloads are read back once.
-    payloads = written(gapped.groupBy("key").agg(F.first("listed").alias("listed"), F.first("bytes").alias("bytes"), F.first("n_bytes").alias("n_bytes")), "payloads")
-    chunk_store = written(both.filter("kind = 2").groupBy(F.col("key").alias("digest")).agg(F.first("bytes").alias("chunk")), "chunks")
-    at = F.posexplode(F.expr("filter(transform(sequence(0, cast(length(listed) / 21 as int) - 1), i -> substring(listed, i * 21 + 1, 21)), e -> substring(e, 21, 1) = X'01')"))
-    wanted = payloads.select("key", at.alias("i", "entry")).select("key", F.expr("substring(entry, 1, 16)").alias("digest")).distinct()
-    fetched = wanted.join(chunk_store, "digest").select("key", F.lit(1).alias("kind"), F.lit(0).cast("long").alias("n_bytes"), F.col("digest").alias("a"), F.col("chunk").alias("b"))
-    heads = payloads.select("key", F.lit(0).alias("kind"), "n_bytes", F.col("listed").alias("a"), F.col("bytes").alias("b"))
+                    containers.append(store(p, own))
+                    gaps.append(sum(own))
+                    chunk_rows.update((d, c) for (d, c), f in zip(p, own) if f and d not in sent)
+                sent.update(chunk_rows)
+                if len(sent) > 200_000:
+                    sent.clear()
+                none = [None] * len(chunk_rows)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.concat_arrays([ids.slice(i, j - i), pa.array(none, ids.type)]),
+                        pa.array([n for _, n in cut] + none, pa.int64()),
+                        pa.array([digest(c) for c in containers] + list(chunk_rows), pa.binary()),
+                        pa.array(gaps + none, pa.int32()),
+                        pa.array(containers + list(chunk_rows.values()), pa.binary()),
+                    ],
+                    ["doc_id", "n_bytes", "name", "gaps", "bytes"],
+                )
+
+    both = written(arrow_map(rows, split, "doc_id long, n_bytes long, name binary, gaps int, bytes binary"), "media")
+    chunk_store = written(both.filter("gaps is null").groupBy(F.col("name").alias("digest")).agg(F.first("bytes").alias("chunk")), "chunks")
+    return both.filter("gaps is not null").withColumnRenamed("bytes", "container"), chunk_store
+
+
+def read_payloads(containers: DataFrame, chunk_store: DataFrame) -> DataFrame:
+    """Features of every payload, read back from its container and the chunk store."""
+
+    def whole(batches):
+        for b in batches:
+            ids, sizes = b.column(0).to_pylist(), b.column(1).to_pylist()
+            yield _rows([features(i, n, c.as_py()) for i, n, c in zip(ids, sizes, b.column(2))], FEATURES, FEATURE_KINDS)
+
+    complete = arrow_map(containers.filter("gaps = 0").select("doc_id", "n_bytes", "container"), whole, FEATURE_SCHEMA)
+    gapped = containers.filter("gaps > 0")
+    # Equal containers are read back once.
+    heads = written(gapped.groupBy("name").agg(F.first("container").alias("container")), "heads")
+    listed = F.expr(f"substring(container, 9, {ENTRY.size} * cast(conv(hex(substring(container, 5, 4)), 16, 10) as int))")
+    entries = F.expr(f"filter(transform(sequence(0, cast(length(listed) / {ENTRY.size} as int) - 1), i -> substring(listed, i * {ENTRY.size} + 1, {ENTRY.size})), e -> substring(e, {ENTRY.size}, 1) = X'01')")
+    wanted = heads.select("name", listed.alias("listed")).select("name", F.explode(entries).alias("entry")).select("name", F.expr("substring(entry, 1, 16)").alias("digest")).distinct()
+    fetched = wanted.join(chunk_store, "digest").select("name", F.col("digest").alias("a"), F.col("chunk").alias("b"))
+    head = heads.select("name", F.lit(None).cast("binary").alias("a"), F.col("container").alias("b"))
 
     def read_back(batches):
-        """Rows by payload, its head first: the payload is put together at the next head."""
-        open_zip = zstandard.ZstdDecompressor()
-        head, held = None, {}
-
-        def close(out):
-            if head is None:
-                return
-            key, n, listed, kept = head
-            at, parts = 0, []
-            for d, size, gap in struct.iter_unpack("<16sIB", listed):
-                if gap:
-                    parts.append((d, held[d]))
-                else:
-                    parts.append((d, kept[at : at + size]))
-                    at += size
-            row = features(None, n, store(parts))
-            if row[3] != key.hex():
-                raise ValueError("payload does not match its digest")
-            out.append((key, *row[2:]))
+        """Rows by container, itself first: its payload is put together at the next one."""
+        name, stored, held = None, None, {}
+
+        def close():
+            return [(name, *features(None, 0, stored, held)[2:])] if stored is not None else []
 
         for batch in batches:
             out = []
-            for key, kind, n, a, b in zip(*(batch.column(i).to_pylist() for i in range(5))):
-                if kind == 0:
-                    close(out)
-                    head, held = (key, n, a, open_zip.decompress(b) if b else b""), {}
+            for key, a, b in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                if a is None:
+                    out += close()
+                    name, stored, held = key, b, {}
                 else:
-                    held[a] = open_zip.decompress(b)
-            yield _rows(out)
-        out = []
-        close(out)
-        yield _rows(out)
-
-    def _rows(out):
-        kinds = [pa.binary(), *FEATURE_KINDS[2:]]
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], ["key", *FEATURES[2:]])
-
-    together = heads.unionByName(fetched).repartition("key").sortWithinPartitions("key", "kind", "a")
-    read = arrow_map(together, read_back, "key binary, " + FEATURE_SCHEMA.split(", ", 2)[2])
-    restored = gapped.select("doc_id", "n_bytes", "key").join(read, "key").select(*FEATURES)
-    return complete.unionByName(restored)
+                    held[a] = b
+            yield _rows(out, KEYED, KEYED_KINDS)
+        yield _rows(close(), KEYED, KEYED_KINDS)
+
+    together = head.unionByName(fetched).repartition("name").sortWithinPartitions("name", F.col("a").asc_nulls_first())
+    read = arrow_map(together, read_back, "name binary, " + FEATURE_SCHEMA.split(", ", 2)[2])
+    return complete.unionByName(gapped.select("doc_id", "n_bytes", "name").join(read, "name").select(*FEATURES))
+
+
+KEYED, KEYED_KINDS = ["name", *FEATURES[2:]], [pa.binary(), *FEATURE_KINDS[2:]]
+
+
+def _rows(rows: list[tuple], names: list[str], kinds: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
+
+
+def media_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Store every payload, read it back and compute its features."""
+    return read_payloads(*store_payloads(docs, id_col, text_col))
