@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, decontaminate, media, packing, paragraphs, passages, secrets, simhash, token_counts, toxicity, warc
-from .common import table
+from .common import table, written
 
 PROBE = "<|im_end|><|im_start|>assistant ok"
 
@@ -60,14 +58,23 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def damaged(pages: DataFrame) -> DataFrame:
-    """A replica in which the body of some pages has one byte changed."""
+    """Pages of which some have one byte of the body changed."""
     hit = F.pmod("page_id", F.lit(97)) == 0
     return pages.withColumn("html", F.when(hit & (F.length("html") > 0), F.concat(F.lit("#"), F.expr("substring(html, 2)"))).otherwise(F.col("html")))
 
 
+def damaged_at_rest(replica: DataFrame) -> DataFrame:
+    """A copy of a stored replica in which the first byte of some bodies has been overwritten."""
+    hit = (F.pmod("page_id", F.lit(97)) == 0) & (F.octet_length("raw") > F.col("body_at") + 4)
+    worn = F.expr("concat(substring(raw, 1, cast(body_at as int)), X'23', substring(raw, cast(body_at as int) + 2))")
+    return written(replica.withColumn("raw", F.when(hit, worn).otherwise(F.col("raw"))), "warc-copy")
+
+
 def op9_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    found = warc.fixity(pages, damaged(pages)).filter("copies > 0")  # the query lists the primary's records
+    shape = warc.geometry(pages)
+    primary = warc.write_replica(pages, shape)
+    found = warc.compare(primary, damaged_at_rest(primary), shape).filter("copies > 0")  # the query lists the primary's records
     return found.select("page_id", "record_bytes", "copies", "record_sha256", "corrupt")
 
 

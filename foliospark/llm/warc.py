@@ -1,24 +1,27 @@
-"""Merkle fixity audit of WARC files.
-
-Pages become WARC records; records are dealt to files by a hash of their id
-and laid out in each file in the order of id and digest.  Leaves are record
-digests with their offset ranges; up to ``FANOUT`` neighbours share a parent
-whose hash covers the children's hashes and range.  Replicas are compared from
-the roots down: a level joins only the children of nodes that differ, so a
-sound file costs one comparison and a corrupt one a path for each bad record.
-
-``audit`` compares places in files.  ``fixity`` compares records: its nodes are
-ranges of a hash of the record, so a record that is lost or added shifts no
-other, and what only the replica has is returned.
-
-Digests are taken where the pages are read; only digests, lengths and ids are
-shuffled, and equal records of an id are counted before that.  Everything is
+"""Merkle fixity audit of stored WARC replicas.
+
+Pages become WARC resource records.  A replica is a written table of record
+bytes: a record's name, the digest it had when it was written, gives its node, a
+range of hashes, and neighbouring nodes share a file; in a file the records lie
+in the order of node and name, one after the other.
+
+An audit reads the bytes of both replicas back.  The hash of a node covers, in
+order, the digests that the stored bytes have now, their copies, and their
+offsets from the node's begin; up to ``FANOUT`` neighbours share a parent.
+Replicas are compared from the root down: a level joins only the children of
+nodes that differ, so sound replicas cost one comparison and a corrupt record one
+path.  In the nodes that differ, records are joined by name.  A record that is
+damaged, lost or added therefore concerns itself only; what lies behind it in the
+file keeps its node, its offsets there and its hash.
+
+Equal records are stored once with their number of copies.  Everything is
 expressed in DataFrame functions.
 
-Defined cases: null url or html count as empty; a null id is a record of its
-own in file 0; repeated rows are one record with a count, which its leaf hash
-covers; for ``audit`` a replica without a record, or with one more, differs from
-that record on; empty tables give empty results; extra columns are ignored.
+Defined cases: null url or html count as empty; null ids are records like
+others; repeated rows are one record with a count, which its node covers; one id
+may have any number of different records, which spread over the nodes; very long
+pages are one record each; empty tables give empty results; extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -30,13 +33,13 @@ from .common import written
 
 FANOUT = 16
 FILE_RECORDS = 2_048
-"""Records of one WARC file, about."""
+"""Records of one WARC file, about; a file is a whole branch of the tree."""
 
 CRLF = "\r\n"
 
 
 def record(page_id: Column, url: Column, body: Column) -> Column:
-    """The bytes of one WARC response record."""
+    """The bytes of one WARC resource record."""
     body = F.coalesce(body, F.lit("")).cast("binary")
     header = F.concat(
         F.lit(f"WARC/1.1{CRLF}WARC-Type: resource{CRLF}WARC-Record-ID: <urn:page:"), F.coalesce(page_id.cast("string"), F.lit("null")),
@@ -45,104 +48,100 @@ def record(page_id: Column, url: Column, body: Column) -> Column:
     return F.concat(header.cast("binary"), body, F.lit(CRLF * 2).cast("binary"))
 
 
-def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", body_col: str = "html") -> DataFrame:
-    """``(page_id, digest, length, copies)`` of the distinct records."""
-    raw = record(F.col(id_col), F.col(url_col), F.col(body_col))
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), raw.alias("raw"))
-    rows = rows.select("page_id", F.sha2("raw", 256).alias("digest"), F.octet_length("raw").cast("long").alias("length"))
-    return rows.groupBy("page_id", "digest", "length").agg(F.count("*").alias("copies"))
-
-
-def leaves(pages: DataFrame, files: int, id_col: str = "page_id", url_col: str = "url", body_col: str = "html") -> DataFrame:
-    """``(file, page_id, slot, digest, start, length, copies)`` of the records in file order."""
-    rows = records(pages, id_col, url_col, body_col)
-    rows = rows.withColumn("file", F.coalesce(F.pmod(F.xxhash64("page_id"), F.lit(files)), F.lit(0)).cast("long"))
-    order = Window.partitionBy("file").orderBy(F.col("page_id").asc_nulls_first(), "digest")
-    rows = rows.withColumn("slot", (F.row_number().over(order) - 1).cast("long"))
-    return rows.withColumn("start", F.coalesce(F.sum("length").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long"))
-
+def levels_for(most: int) -> int:
+    n = 0
+    while FANOUT**n < max(1, most):
+        n += 1
+    return n
 
-def parents(nodes: DataFrame) -> DataFrame:
-    """One level up: ``(file, node, hash, start, end)`` of up to FANOUT neighbours."""
-    kids = F.array_sort(F.collect_list(F.struct("node", "hash", "start", "end")))
-    up = nodes.groupBy("file", F.floor(F.col("node") / FANOUT).cast("long").alias("up")).agg(kids.alias("kids"), F.min("start").alias("start"), F.max("end").alias("end"))
-    covered = F.transform("kids", lambda k: F.concat_ws(":", k["start"].cast("string"), k["end"].cast("string"), k["hash"]))
-    return up.select("file", F.col("up").alias("node"), F.sha2(F.array_join(covered, "|").cast("binary"), 256).alias("hash"), "start", "end")
 
+def geometry(pages: DataFrame, file_records: int = FILE_RECORDS) -> tuple[int, int]:
+    """Levels above the nodes, and how many of them a file spans; nodes hold ``FANOUT`` rows at most on average."""
+    levels = max(0, levels_for(pages.count()) - 1)
+    return levels, min(levels, max(0, levels_for(file_records) - 1))
 
-def tree(base: DataFrame, levels: int) -> list[DataFrame]:
-    """Levels from the leaves to the roots, each written once."""
-    out = [base]
-    for _ in range(levels):
-        out.append(written(parents(out[-1]), "merkle"))
-    return out
 
+def write_replica(pages: DataFrame, shape: tuple[int, int], id_col: str = "page_id", url_col: str = "url", body_col: str = "html") -> DataFrame:
+    """The stored files: ``(file, record_no, start, node, name, page_id, copies, body_at, raw)``, sorted by place."""
+    levels, file_levels = shape
+    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), record(F.col(id_col), F.col(url_col), F.col(body_col)).alias("raw"), F.octet_length(F.coalesce(F.col(body_col), F.lit(""))).alias("body"))
+    rows = rows.withColumn("name", F.sha2("raw", 256)).groupBy("name").agg(F.first("page_id").alias("page_id"), F.count("*").alias("copies"), F.first("body").alias("body"), F.first("raw").alias("raw"))
+    size = F.octet_length("raw").cast("long")
+    rows = rows.withColumn("node", F.pmod(F.xxhash64("name"), F.lit(FANOUT**levels)).cast("long"))
+    rows = rows.withColumn("file", F.floor(F.col("node") / FANOUT**file_levels).cast("long"))
+    order = Window.partitionBy("file").orderBy("node", "name")
+    start = F.coalesce(F.sum(size).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long")
+    # A record ends with its body and two line breaks.
+    placed = rows.select("file", (F.row_number().over(order) - 1).cast("long").alias("record_no"), start.alias("start"), "node", "name", "page_id", "copies", (size - F.col("body") - 4).alias("body_at"), "raw")
+    return written(placed, "warc")
 
-def placed(rows: DataFrame) -> DataFrame:
-    """Leaves by place: digest and number of copies."""
-    return rows.select("file", F.col("slot").alias("node"), F.concat_ws("*", "digest", F.col("copies").cast("string")).alias("hash"), "start", (F.col("start") + F.col("length")).alias("end"))
 
+def records(replica: DataFrame) -> DataFrame:
+    """What the stored bytes are now: their length and digest, without the bytes."""
+    return replica.withColumns({"length": F.octet_length("raw").cast("long"), "digest": F.sha2("raw", 256)}).drop("raw")
 
-def ranged(rows: DataFrame, levels: int) -> DataFrame:
-    """Leaves by range of the record's hash: ``FANOUT ** levels`` of them, whatever the rows are."""
-    node = F.pmod(F.xxhash64("digest"), F.lit(FANOUT**levels)).cast("long")
-    held = F.array_sort(F.collect_list(F.concat_ws("*", "digest", F.col("copies").cast("string"))))
-    return rows.groupBy(node.alias("node")).agg(F.sha2(F.array_join(held, "|").cast("binary"), 256).alias("hash")).select(F.lit(0).cast("long").alias("file"), "node", "hash", F.col("node").alias("start"), F.col("node").alias("end"))
 
+def nodes(rows: DataFrame) -> DataFrame:
+    """``(node, hash)`` over the ordered digests, copies and offset ranges of each node's records."""
+    held = F.array_sort(F.collect_list(F.struct("name", "start", "length", "digest", "copies")))
+    parts = F.transform("held", lambda r: F.concat_ws(":", (r["start"] - F.col("base")).cast("string"), r["length"].cast("string"), r["digest"], r["copies"].cast("string")))
+    return rows.groupBy("node").agg(held.alias("held"), F.min("start").alias("base")).select("node", F.sha2(F.array_join(parts, "|").cast("binary"), 256).alias("hash"))
 
-def differences(ours: DataFrame, theirs: DataFrame) -> DataFrame:
-    """``(page_id, digest, length, copies, replica_copies)`` of the records whose number of copies differs, on either side."""
-    levels = max(0, levels_for(max(ours.count(), theirs.count())) - 1)
-    bad = descend(*(tree(written(ranged(x, levels), "ranges"), levels) for x in (ours, theirs))).select("node")
-    inside = lambda x: x.withColumn("node", F.pmod(F.xxhash64("digest"), F.lit(FANOUT**levels)).cast("long")).join(bad, "node", "left_semi").drop("node")
-    # A digest covers the whole record, its id included.
-    a = inside(ours)
-    b = inside(theirs).select(F.col("page_id").alias("__id"), "digest", F.col("length").alias("__length"), F.col("copies").alias("replica_copies"))
-    both = a.join(b, "digest", "full_outer").withColumns({"page_id": F.coalesce("page_id", "__id"), "length": F.coalesce("length", "__length"), "copies": F.coalesce("copies", F.lit(0)), "replica_copies": F.coalesce("replica_copies", F.lit(0))})
-    return both.filter("copies <> replica_copies").select("page_id", "digest", "length", "copies", "replica_copies")
 
+def parents(children: DataFrame) -> DataFrame:
+    """One level up: the hashes of up to FANOUT neighbours with their places."""
+    kids = F.array_sort(F.collect_list(F.struct("node", "hash")))
+    up = children.groupBy(F.floor(F.col("node") / FANOUT).cast("long").alias("up")).agg(kids.alias("kids"))
+    covered = F.transform("kids", lambda k: F.concat_ws(":", k["node"].cast("string"), k["hash"]))
+    return up.select(F.col("up").alias("node"), F.sha2(F.array_join(covered, "|").cast("binary"), 256).alias("hash"))
 
-def fixity(primary: DataFrame, replica: DataFrame, id_col: str = "page_id", url_col: str = "url", body_col: str = "html", file_records: int = FILE_RECORDS) -> DataFrame:
-    """Every record of either side with its copies there; corrupt where they differ.
 
-    A record of the primary has its place in the files; one that only the
-    replica has no place and 0 copies.
-    """
-    files = max(1, -(-primary.count() // file_records))
-    ours = written(leaves(primary, files, id_col, url_col, body_col), "leaves")
-    theirs = written(records(replica, id_col, url_col, body_col), "records")
-    found = written(differences(ours.select("page_id", "digest", "length", "copies"), theirs), "found")
-    sound = ours.join(found.filter("copies > 0").select("digest", "replica_copies"), "digest", "left").withColumn("corrupt", F.col("replica_copies").isNotNull()).withColumn("replica_copies", F.coalesce("replica_copies", "copies"))
-    added = found.filter("copies = 0").withColumn("corrupt", F.lit(True))
-    out = sound.unionByName(added, allowMissingColumns=True)
-    return out.select("page_id", F.col("file").alias("warc_file"), F.col("slot").alias("record_no"), F.col("start").alias("record_offset"), F.col("length").alias("record_bytes"), "copies", "replica_copies", F.col("digest").alias("record_sha256"), "corrupt")
+def tree(rows: DataFrame, levels: int) -> list[DataFrame]:
+    """Levels from the nodes to the root, each written once."""
+    out = [written(nodes(rows), "merkle")]
+    for _ in range(levels):
+        out.append(written(parents(out[-1]), "merkle"))
+    return out
 
 
 def descend(left: list[DataFrame], right: list[DataFrame]) -> DataFrame:
-    """``(file, node, visited)``: the leaves that differ, reached from the roots only."""
+    """``(node)``: the nodes that differ, reached from the root only."""
     differing = None
     for a, b in zip(reversed(left), reversed(right)):
         if differing is not None:
-            inside = lambda x: x.withColumn("up", F.floor(F.col("node") / FANOUT).cast("long")).join(differing.select("file", F.col("node").alias("up")), ["file", "up"], "left_semi").drop("up")  # noqa: B023, E731
+            inside = lambda x: x.withColumn("up", F.floor(F.col("node") / FANOUT).cast("long")).join(differing.select(F.col("node").alias("up")), "up", "left_semi").drop("up")  # noqa: B023, E731
             a, b = inside(a), inside(b)
-        pair = a.select("file", "node", F.col("hash").alias("x")).join(b.select("file", "node", F.col("hash").alias("y")), ["file", "node"], "full_outer")
-        differing = written(pair.filter(~F.col("x").eqNullSafe(F.col("y"))).select("file", "node"), "differing")
+        pair = a.select("node", F.col("hash").alias("x")).join(b.select("node", F.col("hash").alias("y")), "node", "full_outer")
+        differing = written(pair.filter(~F.col("x").eqNullSafe(F.col("y"))).select("node"), "differing")
     return differing
 
 
-def levels_for(most: int) -> int:
-    n = 0
-    while FANOUT**n < max(1, most):
-        n += 1
-    return n
+def compare(primary: DataFrame, replica: DataFrame, shape: tuple[int, int]) -> DataFrame:
+    """Every record of either stored replica, with its place and whether the two differ in it.
+
+    Both must have been written with ``shape``.  A record that only ``replica``
+    has comes without a place and with 0 copies.
+    """
+    ours, theirs = (written(records(x), "records") for x in (primary, replica))
+    bad = descend(tree(ours, shape[0]), tree(theirs, shape[0]))
+    seen = theirs.join(bad, "node", "left_semi").select("name", F.col("page_id").alias("other_id"), F.col("length").alias("other_length"), F.col("digest").alias("other_digest"), F.col("copies").alias("replica_copies"))
+    inside = ours.join(bad, "node", "left_semi").join(seen, "name", "full_outer")
+    sound = F.coalesce((F.col("digest") == F.col("other_digest")) & (F.col("copies") == F.col("replica_copies")), F.lit(False))
+    looked = inside.select(
+        F.coalesce("page_id", "other_id").alias("page_id"), F.col("file").alias("warc_file"), "record_no", F.col("start").alias("record_offset"), F.coalesce("length", "other_length").alias("record_bytes"),
+        F.coalesce("copies", F.lit(0)).alias("copies"), F.coalesce("replica_copies", F.lit(0)).alias("replica_copies"), F.coalesce("digest", "other_digest").alias("record_sha256"), (~sound).alias("corrupt"),
+    )
+    rest = ours.join(bad, "node", "left_anti")
+    same = rest.select("page_id", F.col("file").alias("warc_file"), "record_no", F.col("start").alias("record_offset"), F.col("length").alias("record_bytes"), "copies", F.col("copies").alias("replica_copies"), F.col("digest").alias("record_sha256"), F.lit(False).alias("corrupt"))
+    return same.unionByName(looked)
+
+
+def fixity(primary: DataFrame, replica: DataFrame, id_col: str = "page_id", url_col: str = "url", body_col: str = "html", file_records: int = FILE_RECORDS) -> DataFrame:
+    """Write the pages of both sides as replicas, read them back and ``compare`` them."""
+    shape = geometry(primary, file_records)
+    return compare(*(write_replica(x, shape, id_col, url_col, body_col) for x in (primary, replica)), shape)
 
 
 def audit(primary: DataFrame, replica: DataFrame, id_col: str = "page_id", url_col: str = "url", body_col: str = "html", file_records: int = FILE_RECORDS) -> DataFrame:
-    """Every record of the primary with its place, digest and whether the replica differs there."""
-    files = max(1, -(-primary.count() // file_records))
-    ours, theirs = (written(leaves(x, files, id_col, url_col, body_col), "leaves") for x in (primary, replica))
-    most = max((x.agg(F.max("slot")).first()[0] or 0) + 1 for x in (ours, theirs))
-    levels = levels_for(most)
-    bad = descend(tree(placed(ours), levels), tree(placed(theirs), levels)).select("file", F.col("node").alias("slot"), F.lit(True).alias("bad"))
-    out = ours.join(bad, ["file", "slot"], "left")
-    return out.select("page_id", F.col("file").alias("warc_file"), F.col("slot").alias("record_no"), F.col("start").alias("record_offset"), F.col("length").alias("record_bytes"), "copies", F.col("digest").alias("record_sha256"), F.coalesce("bad", F.lit(False)).alias("corrupt"))
+    """``fixity`` of the records that the primary has."""
+    return fixity(primary, replica, id_col, url_col, body_col, file_records).filter("copies > 0").drop("replica_copies")
