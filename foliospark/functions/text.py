@@ -1,7 +1,8 @@
-"""Text normalisation and tokens as Column expressions, inside codegen."""
+"""Text normalisation and tokens as Column expressions."""
 
 from __future__ import annotations
 
+import sys
 import unicodedata
 from functools import cache
 
@@ -11,32 +12,51 @@ from pyspark.sql import functions as F
 from .constants import CLITIC_STEM, CLITICS, PHRASE_ALIASES, ROMAN_NUMERALS, STOPWORDS, TOKEN_ALIASES
 
 
+# Beyond these common characters, a text may hold a longer form.
+_UNUSUAL = "[^\\x00-\\x7fÀ-ÖØ-öø-ıĴ-ľŁ-ňŊ-ž‘’“”–—…•]"
+
+
 @cache
-def _folding() -> tuple[str, str, tuple[tuple[str, str], ...]]:
-    """Characters whose compatibility form without marks is ASCII, by rule.
+def _folding() -> tuple[str, str, str]:
+    """By rule over all code points: characters and the ones that replace them, and a table of longer forms.
 
-    One-letter forms go into a translation; ligatures and other longer forms
-    made of letters and digits only are replaced one by one.
+    A form is the compatibility decomposition without combining marks, in lower
+    case.  Only forms with an ASCII character count; what is no letter or digit
+    in a longer form separates words.  Marks come last and have no replacement.
     """
-    single: dict[str, str] = {}
-    longer = []
-    for code in [*range(0x80, 0x2500), *range(0xFB00, 0xFB07), *range(0xFF10, 0xFF5B), *range(0x1D400, 0x1D800)]:
+    marks, single, longer = [], {}, {}
+    for code in range(0x80, sys.maxunicode + 1):
         c = chr(code)
-        plain = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x)).lower()
-        if len(plain) == 1 and plain.isascii() and plain.isalnum():
+        if unicodedata.combining(c):
+            marks.append(c)
+            continue
+        form = unicodedata.normalize("NFKD", c)
+        if form == c:
+            continue
+        plain = "".join(x for x in form if not unicodedata.combining(x)).lower()
+        if len(plain) == 1 and plain.isascii():
             single[c] = plain
-        elif 0xFB00 <= code < 0xFB07:
-            longer.append((c, plain))
-    return "".join(single), "".join(single.values()), tuple(longer)
+        elif len(plain) > 1 and any(x.isascii() and x.isalnum() for x in plain):
+            longer[c] = "".join(x if x.isascii() and x.isalnum() else " " for x in plain)
+    return "".join([*single, *marks]), "".join(single.values()), ",".join(f"{c}={form}" for c, form in longer.items())
+
+
+def fold(text: Column) -> Column:
+    """Compatibility forms without marks, as far as they are ASCII.
+
+    Plain ASCII texts are left alone.  Of the unusual characters of a text each
+    is looked up once and replaced where it has a longer form.
+    """
+    source, target, table = _folding()
+    forms = F.str_to_map(F.lit(table), F.lit(","), F.lit("="))
+    found = F.array_distinct(F.regexp_extract_all(text, F.lit(f"({_UNUSUAL})"), F.lit(1)))
+    whole = F.when(text.rlike(_UNUSUAL), F.aggregate(found, text, lambda acc, c: F.replace(acc, c, F.coalesce(F.try_element_at(forms, c), c)))).otherwise(text)
+    return F.when(text.rlike("[^\\x00-\\x7f]"), F.translate(whole, source, target)).otherwise(text)
 
 
 def normalize(text: Column) -> Column:
     """Accents off, lower case, and multi-word aliases joined, in list order."""
-    source, target, longer = _folding()
-    out = F.translate(F.regexp_replace(F.coalesce(text, F.lit("")), "[\\u0300-\\u036f]", ""), source, target)
-    for a, b in longer:
-        out = F.replace(out, F.lit(a), F.lit(b))
-    out = F.lower(out)
+    out = F.lower(fold(F.coalesce(text, F.lit(""))))
     for a, b in PHRASE_ALIASES:
         out = F.replace(out, F.lit(a), F.lit(b))
     return out
@@ -58,21 +78,26 @@ def canonical(token: Column) -> Column:
     return F.coalesce(F.try_element_at(aliases, token), token)
 
 
+def _once(df: DataFrame, expr: Column, name: str, *keep: str) -> DataFrame:
+    """``keep`` and ``expr``, which is computed once: as a projection, later conditions would repeat it."""
+    return df.select(*keep, F.explode(F.array(expr)).alias(name))
+
+
 def tokens(df: DataFrame, text: str, *keep: str, remove_stopwords: bool = True) -> DataFrame:
     """``keep`` columns with one row ``(pos, term)`` for each token of ``text``.
 
     Digits stay as they are; then stopwords go, Roman numerals stay, clitics
     are cut, aliases are mapped, and single letters and new stopwords go.
-    Each rule is one pass over the token array, so its result is computed once;
-    as projections the optimizer would repeat them in every later condition.
+    Words become rows right after the split, so the rules run as generated code
+    over rows and not as interpreted functions over arrays.
     """
-    known = lambda x: x.isin(*STOPWORDS) if remove_stopwords else F.lit(False)
-    raw = F.transform(F.split(normalize(F.col(text)), "[^a-z0-9]+"), lambda x, i: F.struct(i.alias("pos"), x.alias("raw"), (x.rlike("^[0-9]+$") | x.isin(*ROMAN_NUMERALS)).alias("fixed")))
-    raw = F.filter(raw, lambda t: (t["raw"] != "") & ~known(t["raw"]))
-    stems = F.transform(raw, lambda t: F.struct(t["pos"].alias("pos"), t["fixed"].alias("fixed"), F.when(t["fixed"], t["raw"]).otherwise(strip_clitic(t["raw"])).alias("stem")))
-    terms = F.transform(stems, lambda t: F.struct(t["pos"].alias("pos"), t["fixed"].alias("fixed"), F.when(t["fixed"], t["stem"]).otherwise(canonical(t["stem"])).alias("term")))
-    terms = F.filter(terms, lambda t: t["fixed"] | ((F.length(t["term"]) >= 2) & ~known(t["term"])))
-    return df.select(*keep, F.inline(terms)).select(*keep, "pos", "term")
+    known = lambda x: F.col(x).isin(*STOPWORDS) if remove_stopwords else F.lit(False)
+    words = _once(df, normalize(F.col(text)), "norm", *keep).select(*keep, F.posexplode(F.split("norm", "[^a-z0-9]+")).alias("pos", "raw"))
+    words = words.filter((F.col("raw") != "") & ~known("raw"))
+    fixed = F.col("raw").rlike("^[0-9]+$") | F.col("raw").isin(*ROMAN_NUMERALS)
+    stems = _once(words, F.struct(fixed.alias("fixed"), F.when(fixed, F.col("raw")).otherwise(strip_clitic(F.col("raw"))).alias("stem")), "s", *keep, "pos")
+    terms = _once(stems, F.struct(F.col("s.fixed"), F.when(F.col("s.fixed"), F.col("s.stem")).otherwise(canonical(F.col("s.stem"))).alias("term")), "t", *keep, "pos")
+    return terms.select(*keep, "pos", F.col("t.fixed").alias("fixed"), F.col("t.term").alias("term")).filter(F.col("fixed") | ((F.length("term") >= 2) & ~known("term"))).drop("fixed")
 
 
 def content_terms(df: DataFrame, text: str, *keep: str) -> DataFrame:
@@ -89,3 +114,8 @@ def truncate_words(text: Column, limit: int) -> Column:
     """At most ``limit`` characters, cut at a word and marked, if longer."""
     cut = F.regexp_replace(F.substring(text, 1, limit), " [^ ]*$", "")
     return F.when(F.length(text) > limit, F.concat(cut, F.lit(" …"))).otherwise(text)
+
+
+def half_even(value: Column, digits: int) -> Column:
+    """Rounded by its exact binary value, halves to even: 2.675 is a little less than it seems and gives 2.67."""
+    return F.replace(F.format_number(value, digits), F.lit(","), F.lit("")).cast("double")

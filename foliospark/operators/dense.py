@@ -7,8 +7,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-QUERY_BLOCK = 4096
-"""Query vectors that are sent to the executors at once."""
+QUERY_BLOCK = 256
+"""Query vectors that are multiplied with a batch at once, and that a broadcast holds."""
+VECTOR_ROWS = 1_000
+"""Vectors of a batch; a task holds ``QUERY_BLOCK * VECTOR_ROWS`` scores."""
 
 
 def unit(vector: Column) -> Column:
@@ -22,16 +24,26 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
 
 
-def scores(questions: DataFrame, vectors: DataFrame, top: int | None, q_id: str = "q_id", v_id: str = "vec_id", q_vec: str = "q_vec", v_vec: str = "embedding", exclude_self: bool = False) -> DataFrame:
-    """``(q_id, vec_id, dense_score)``: the exact ``top`` of each question.
+def _matrix(column: pa.Array) -> np.ndarray:
+    """A list column as unit rows; all lists must have one length."""
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(float)
+    x = flat.reshape(len(column), -1)
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+
+
+def scores(questions: DataFrame, vectors: DataFrame, top: int | None, q_id: str = "q_id", v_id: str = "vec_id", q_vec: str = "q_vec", v_vec: str = "embedding", exclude_self: bool = False, allowed: DataFrame | None = None) -> DataFrame:
+    """``(q_id, vec_id, dense_score)``: the exact ``top`` of each question, of ``allowed`` vectors only.
 
     Questions are a stated query set.  They are sent in blocks of bounded size
     and multiplied with each batch of vectors as matrices; a task keeps only
-    its ``top`` for each question, so what is shuffled is small.
+    its ``top`` for each question by score and id, so what is shuffled is small.
+    A filter applies before the search, so a rare document gets its hits.
     """
     spark = vectors.sparkSession
     asked = questions.select(F.col(q_id).cast("long").alias("q"), F.col(q_vec).cast("array<double>").alias("v")).filter("v is not null")
-    parts, block = [], []
+    rows = vectors.select(F.col(v_id).cast("long").alias("v_id"), F.col(v_vec).alias("v")).filter("v is not null")
+    if allowed is not None:
+        rows = rows.join(allowed.select(F.col(allowed.columns[0]).cast("long").alias("v_id")), "v_id", "left_semi")
 
     def add(block):
         sent = spark.sparkContext.broadcast((np.array([r["q"] for r in block], np.int64), np.array([r["v"] for r in block], float)))
@@ -39,33 +51,31 @@ def scores(questions: DataFrame, vectors: DataFrame, top: int | None, q_id: str
         def run(batches):
             ids, q = sent.value
             q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-            for b in batches:
-                if not b.num_rows:
-                    continue
-                own = b.column(0).to_numpy(zero_copy_only=False)
-                x = np.array(b.column(1).to_pylist(), float)
-                x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-                s = np.round(q @ x.T, 6)
-                if exclude_self:
-                    s = np.where(ids[:, None] == own[None, :], -np.inf, s)
-                k = min(top or len(own), len(own))
-                # Everything that ties with the k-th stays; the window after it breaks ties by id.
-                least = np.partition(s, len(own) - k, axis=1)[:, len(own) - k]
-                row, col = np.nonzero((s >= least[:, None]) & np.isfinite(s))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(own[col]), pa.array(s[row, col])], ["q", "v", "s"])
-
-        return vectors.select(F.col(v_id).cast("long"), F.col(v_vec)).filter(F.col(v_vec).isNotNull()).mapInArrow(run, "q long, v long, s double")
-
+            for batch in batches:
+                for at in range(0, batch.num_rows, VECTOR_ROWS):
+                    b = batch.slice(at, VECTOR_ROWS)
+                    own = b.column(0).to_numpy(zero_copy_only=False)
+                    order = np.argsort(own, kind="stable")
+                    own = own[order]
+                    s = np.round(q @ _matrix(b.column(1))[order].T, 6)
+                    if exclude_self:
+                        s = np.where(ids[:, None] == own[None, :], -np.inf, s)
+                    # Columns ascend by id, so a stable sort breaks ties by id.
+                    best = np.argsort(-s, axis=1, kind="stable")[:, : min(top or len(own), len(own))]
+                    s = np.take_along_axis(s, best, axis=1)
+                    keep = np.isfinite(s)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, keep.sum(axis=1))), pa.array(own[best[keep]]), pa.array(s[keep])], ["q", "v", "s"])
+
+        return rows.mapInArrow(run, "q long, v long, s double")
+
+    out, block = None, []
     for r in asked.orderBy("q").toLocalIterator():
         block.append(r)
         if len(block) == QUERY_BLOCK:
-            parts.append(add(block))
+            out = add(block) if out is None else out.union(add(block))
             block = []
-    if block:
-        parts.append(add(block))
-    out = parts[0] if parts else spark.createDataFrame([], "q long, v long, s double")
-    for p in parts[1:]:
-        out = out.union(p)
+    if block or out is None:
+        out = (add(block) if out is None else out.union(add(block))) if block else spark.createDataFrame([], "q long, v long, s double")
     return out.select(F.col("q").alias(q_id), F.col("v").alias(v_id), F.col("s").alias("dense_score"))
 
 
@@ -74,6 +84,11 @@ def top_k(scored: DataFrame, n: int, q_id: str = "q_id", v_id: str = "vec_id") -
     return scored.withColumn("dense_rank", F.row_number().over(order).cast("long")).filter(F.col("dense_rank") <= n)
 
 
+def normalized(vectors: DataFrame, v_id: str = "vec_id", v_vec: str = "embedding") -> DataFrame:
+    """The vector table of an index: ids and unit vectors in single precision; rows without a vector are an error later on."""
+    return vectors.select(v_id, unit(F.col(v_vec)).cast("array<float>").alias(v_vec))
+
+
 def threshold_search(scored: DataFrame, n: int, threshold: float, q_id: str = "q_id", v_id: str = "vec_id") -> DataFrame:
     """Ranks are given before the threshold, as a caller sees them."""
     return top_k(scored, n, q_id, v_id).filter(F.col("dense_score") >= threshold)

@@ -10,6 +10,19 @@ from pyspark.sql import functions as F
 from ..functions.constants import RetrievalConfig
 
 
+def allowed_documents(docs: DataFrame, cfg: RetrievalConfig, d_id: str = "doc_id", document: str = "source_document") -> DataFrame | None:
+    """Ids of the documents that the filter of ``cfg`` names, or None for no restriction.
+
+    No filter, and a filter that names every document, restrict nothing.
+    """
+    if not cfg.document_filter:
+        return None
+    chosen = F.col(document).isin(*cfg.document_filter)
+    if docs.filter(~F.coalesce(chosen, F.lit(False))).isEmpty():
+        return None
+    return docs.filter(chosen).select(d_id)
+
+
 def reciprocal_rank(ranked: dict[str, DataFrame], weights: dict[str, float] | None = None, rrf_k: int = 60, q_id: str = "q_id", d_id: str = "doc_id") -> DataFrame:
     """Sum of ``weight / (k + rank)`` over any number of lists ``(q, d, rank)``."""
     weights = weights or {}

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.constants import PRESETS, RetrievalConfig
 from ..functions.text import tokens
 from ..operators import answers, dense, fusion, lexical
+from ..storage import once
 from . import duck
 
 # Benchmark ids lie in the range of vector ids, so a vector stands in for its
@@ -21,35 +22,44 @@ def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def stored_index(spark: SparkSession, sf: str) -> lexical.LexicalIndex:
+    """The index of the documents table: built once an application, then read by every query."""
+    return once(spark, f"{sf}/documents.parquet", "lexical", lambda: lexical.build_stored(_table(spark, sf, "documents")))
+
+
 def token_stream(spark, sf):
     return tokens(_table(spark, sf, "documents"), "text", "doc_id").groupBy("doc_id", "term").agg(F.count("*").alias("n"), F.min("pos").cast("long").alias("first_pos"))
 
 
 def term_frequency(spark, sf):
-    return lexical.term_frequency(_table(spark, sf, "documents"))
+    return stored_index(spark, sf).tf
 
 
 def doc_length(spark, sf):
-    return lexical.build(_table(spark, sf, "documents")).lengths
+    return stored_index(spark, sf).lengths
 
 
 def doc_frequency(spark, sf):
-    return lexical.build(_table(spark, sf, "documents")).df
+    return stored_index(spark, sf).df
 
 
 def corpus_stats(spark, sf):
-    index = lexical.build(_table(spark, sf, "documents"))
+    index = stored_index(spark, sf)
     vocabulary = index.df.agg(F.count("*").alias("vocabulary"))
     return index.corpus.crossJoin(F.broadcast(vocabulary)).select("n", F.round("avgdl", 6).alias("avgdl"), "vocabulary")
 
 
 def idf_table(spark, sf):
-    return lexical.idf_table(lexical.build(_table(spark, sf, "documents"))).select("term", "df", F.round("idf", 6).alias("idf"))
+    return lexical.idf_table(stored_index(spark, sf)).select("term", "df", F.round("idf", 6).alias("idf"))
+
+
+def _hits(spark, sf):
+    return lexical.bm25(_table(spark, sf, "benchmark"), stored_index(spark, sf))
 
 
-def _hits(spark, sf, docs=None):
-    docs = _table(spark, sf, "documents")
-    return lexical.bm25(_table(spark, sf, "benchmark"), lexical.build(docs))
+def _found(spark, sf, n):
+    """The ``n`` best documents of each item with their matched terms."""
+    return lexical.search(_table(spark, sf, "benchmark"), stored_index(spark, sf), n)
 
 
 def bm25_topk(spark, sf):
@@ -61,7 +71,7 @@ def lexical_coverage(spark, sf):
 
 
 def matched_terms(spark, sf):
-    return lexical.top_hits(_hits(spark, sf), 5).select("item_id", "doc_id", F.array_join("matched_terms", " ").alias("terms"), F.size("matched_terms").cast("long").alias("n_terms"))
+    return _found(spark, sf, 5).select("item_id", "doc_id", F.array_join("matched_terms", " ").alias("terms"), F.size("matched_terms").cast("long").alias("n_terms"))
 
 
 def _questions(spark, sf):
@@ -91,7 +101,7 @@ def dense_score_lookup(spark, sf):
 
 def _lists(spark, sf):
     d = _dense(spark, sf).withColumnRenamed("vec_id", "doc_id")
-    lx = lexical.top_hits(_hits(spark, sf), 20).withColumnRenamed("item_id", "q_id")
+    lx = _found(spark, sf, 20).withColumnRenamed("item_id", "q_id")
     return d, lx
 
 
@@ -117,8 +127,9 @@ def _candidates(spark, sf):
     d, lx = _lists(spark, sf)
     top = fusion.fused_top(fusion.candidates(d, lx, CONFIG), CONFIG.fusion_candidates)
     exact = dense.lookup(top.select("q_id", F.col("doc_id").alias("vec_id")), _questions(spark, sf).select("q_id", "q_vec"), _table(spark, sf, "embeddings")).select("q_id", F.col("vec_id").alias("doc_id"), F.col("dense_score").alias("exact"))
-    all_hits = _hits(spark, sf).select(F.col("item_id").alias("q_id"), "doc_id", F.col("coverage").alias("full"))
-    out = top.join(exact, ["q_id", "doc_id"]).join(all_hits, ["q_id", "doc_id"], "left")
+    wanting = top.filter("coverage is null").select(F.col("q_id").alias("item_id"), "doc_id")
+    covered = lexical.coverage(_table(spark, sf, "benchmark"), stored_index(spark, sf), wanting).select(F.col("item_id").alias("q_id"), "doc_id", F.col("coverage").alias("full"))
+    out = top.join(exact, ["q_id", "doc_id"]).join(covered, ["q_id", "doc_id"], "left")
     return out.withColumn("dense_score", F.coalesce("dense_score", "exact")).withColumn("coverage", F.coalesce("coverage", "full", F.lit(0.0))).drop("exact", "full")
 
 
@@ -131,10 +142,19 @@ def relevance_gate(spark, sf):
     return fusion.gate(_questions(spark, sf), _candidates(spark, sf), CONFIG)
 
 
+def _allowed(spark, sf):
+    """Documents of the chosen sources; null where all sources are chosen, which is no filter."""
+    docs = _table(spark, sf, "documents").select("doc_id", F.col("source").alias("source_document"))
+    return fusion.allowed_documents(docs, RetrievalConfig(document_filter=SOURCES))
+
+
 def document_filter_topk(spark, sf):
-    docs = _table(spark, sf, "documents")
-    allowed = docs.filter(F.col("source").isin(*SOURCES)).select("doc_id")
-    return lexical.top_hits(_hits(spark, sf).join(allowed, "doc_id", "left_semi"), 10).select("item_id", "doc_id", "score", "lexical_rank")
+    return lexical.search(_table(spark, sf, "benchmark"), stored_index(spark, sf), 10, allowed=_allowed(spark, sf)).select("item_id", "doc_id", "score", "lexical_rank")
+
+
+def document_filter_dense(spark, sf):
+    scored = dense.scores(_questions(spark, sf), _table(spark, sf, "embeddings"), 10, exclude_self=True, allowed=_allowed(spark, sf))
+    return dense.top_k(scored, 10)
 
 
 def ablation_presets(spark, sf):
@@ -181,7 +201,7 @@ def preset_metrics(spark, sf):
     return F.broadcast(names).join(found, "preset", "left").crossJoin(F.broadcast(total)).select("preset", "n_questions", zero("n_answered"), zero("n_contexts"), zero("n_hit"), F.round(F.coalesce(F.col("rr") / F.col("n_questions"), F.lit(0.0)), 6).alias("mrr"))
 
 
-QUERIES = {f.__name__: f for f in (token_stream, term_frequency, doc_length, doc_frequency, corpus_stats, idf_table, bm25_topk, lexical_coverage, matched_terms, dense_topk, dense_threshold_search, dense_score_lookup, rrf_fusion, rrf_weighted, dense_only_fusion, candidate_profile, relevance_gate, document_filter_topk, ablation_presets, preset_metrics)}
+QUERIES = {f.__name__: f for f in (token_stream, term_frequency, doc_length, doc_frequency, corpus_stats, idf_table, bm25_topk, lexical_coverage, matched_terms, dense_topk, dense_threshold_search, dense_score_lookup, rrf_fusion, rrf_weighted, dense_only_fusion, candidate_profile, relevance_gate, document_filter_topk, document_filter_dense, ablation_presets, preset_metrics)}
 
 _TOP = "top AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS lexical_rank FROM hits)"
 _DENSE = f"""ds AS (
@@ -231,6 +251,11 @@ ORACLE_SQL = {
                CASE WHEN n IS NULL THEN 'no_candidates' WHEN NOT (ds >= 35e-2 OR lp) THEN 'below_relevance_gate' ELSE '' END AS refusal_reason
         FROM (SELECT item_id FROM benchmark JOIN embeddings ON vec_id = item_id) q LEFT JOIN g ON g.q_id = q.item_id""",
     "document_filter_topk": f"WITH {duck.bm25()}, sel AS (SELECT h.*, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS lexical_rank FROM hits h SEMI JOIN (SELECT doc_id FROM documents WHERE source IN {duck.listed(SOURCES)}) a USING (doc_id)) SELECT item_id, doc_id, score, lexical_rank FROM sel WHERE lexical_rank <= 10",
+    "document_filter_dense": f"""WITH ds AS (
+            SELECT a.vec_id AS q_id, b.vec_id, {duck.UNIT_DOT} AS dense_score
+            FROM embeddings a JOIN benchmark ON item_id = a.vec_id JOIN embeddings b ON a.vec_id <> b.vec_id SEMI JOIN (SELECT doc_id FROM documents WHERE source IN {duck.listed(SOURCES)}) s ON s.doc_id = b.vec_id),
+        r AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY dense_score DESC, vec_id) AS dense_rank FROM ds)
+        SELECT q_id, vec_id, dense_score, dense_rank FROM r WHERE dense_rank <= 10""",
     "ablation_presets": f"""WITH {_CANDIDATES},
         runs AS (SELECT 'dense' AS preset, q_id, doc_id FROM d WHERE dense_rank <= 4 UNION ALL SELECT 'hybrid', q_id, doc_id FROM ranked WHERE fusion_rank <= 4),
         names AS (SELECT * FROM (VALUES ('dense', false, false), ('hybrid', true, false), ('hybrid_rerank', true, true)) t(preset, use_hybrid, use_rerank))

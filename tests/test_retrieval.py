@@ -17,7 +17,7 @@ def test_corpus_counts_empty_documents(spark):
 
 def test_bm25_against_the_formula(spark):
     q = spark.createDataFrame([(7, "ipk ipk sks")], "item_id long, text string")
-    rows = {r["doc_id"]: r for r in lexical.bm25(q, index(spark)).collect()}
+    rows = {r["doc_id"]: r for r in lexical.search(q, index(spark), 9).collect()}
     avgdl, idf = 11 / 4, lambda df: math.log(1 + (4 - df + 0.5) / (df + 0.5))
     part = lambda df, dl: idf(df) * 2.5 / (1 + 1.5 * (0.25 + 0.75 * dl / avgdl))
     assert set(rows) == {0, 1}
@@ -29,7 +29,7 @@ def test_bm25_against_the_formula(spark):
 def test_coverage_of_unknown_terms(spark):
     q = spark.createDataFrame([(7, "ipk kosakata"), (8, "yang")], "item_id long, text string")
     pairs = spark.createDataFrame([(7, 0), (8, 0)], "item_id long, doc_id long")
-    rows = {r["item_id"]: r["coverage"] for r in lexical.coverage(q, None, index(spark), pairs).collect()}
+    rows = {r["item_id"]: r["coverage"] for r in lexical.coverage(q, index(spark), pairs).collect()}
     assert 0 < rows[7] < 0.5 and rows[8] == 0.0
 
 
