@@ -248,17 +248,42 @@ def rerank_prompts(cands: DataFrame, q_id: str = "q_id", query: str = "query", t
     return grouped.select(q_id, F.concat(F.lit("Pertanyaan: "), "query", F.lit("\n\nKandidat:\n"), F.array_join(F.transform("rows", lambda r: r["s"]), "\n\n")).alias("prompt"))
 
 
-def answer_prompts(contexts: DataFrame, q_id: str = "q_id") -> DataFrame:
-    """One answer prompt for each question: numbered contexts, the question, distinct citation lines.
+def answer_prompts(contexts: DataFrame, q_id: str = "q_id", histories: DataFrame | None = None) -> DataFrame:
+    """One answer prompt for each question: numbered contexts, history, the question, distinct citation lines.
 
-    ``contexts(q_id, query, final_rank, document_label, page_label, section_title, text)``.
+    ``contexts(q_id, query, final_rank, document_label, page_label, section_title, text)``;
+    ``histories(q_id, history)`` has the messages before it, of which the last few are quoted.
     """
     source = F.concat_ws(", ", "document_label", F.concat(F.lit("Halaman "), "page_label"), F.when(F.col("section_title") != "", F.col("section_title")))
-    block = F.concat(F.lit("[Konteks "), F.col("final_rank").cast("string"), F.lit(" | "), source, F.lit("]\n"), "text")
+    block = F.concat(F.lit("[Konteks "), F.col("final_rank").cast("string"), F.lit(" | "), source, F.lit("]\n"), F.coalesce("text", F.lit("")))
     grouped = contexts.groupBy(q_id).agg(F.first("query").alias("query"), F.array_sort(F.collect_list(F.struct("final_rank", block.alias("b"), source.alias("s")))).alias("rows"))
     body = F.array_join(F.transform("rows", lambda r: r["b"]), "\n\n---\n\n")
     cites = F.array_join(F.array_distinct(F.transform("rows", lambda r: F.concat(F.lit("- "), r["s"]))), "\n")
-    return grouped.select(q_id, F.concat(F.lit("Konteks:\n"), body, F.lit("\n\nPertanyaan: "), "query", F.lit("\n\nSitasi yang boleh dipakai:\n"), cites).alias("prompt"))
+    if histories is not None:
+        grouped = grouped.join(histories.select(q_id, "history"), q_id, "left")
+        recent = F.slice("history", F.greatest(F.lit(1), F.size("history") - C.HISTORY_MESSAGES + 1), F.lit(C.HISTORY_MESSAGES))
+        said = F.array_join(F.transform(recent, lambda m: F.concat(F.when(m["role"] == "user", "Pengguna: ").otherwise("Asisten: "), F.coalesce(m["text"], F.lit("")))), "\n")
+        past = F.when(F.coalesce(F.size("history"), F.lit(0)) > 0, F.concat(F.lit("\n\nRiwayat percakapan terkini:\n"), said)).otherwise("")
+    else:
+        past = F.lit("")
+    return grouped.select(q_id, F.concat(F.lit("Konteks:\n"), body, past, F.lit("\n\nPertanyaan: "), F.coalesce("query", F.lit("")), F.lit("\n\nSitasi yang boleh dipakai:\n"), cites).alias("prompt"))
+
+
+def judge_prompts(contexts: DataFrame, generated: DataFrame, q_id: str = "q_id") -> DataFrame:
+    """One prompt for each answer that a judge can compare with its numbered, truncated sources.
+
+    ``contexts(q_id, final_rank, page_label, text)``, ``generated(q_id, query, answer)``.
+    """
+    block = F.concat(F.lit("[Sumber "), F.col("final_rank").cast("string"), F.lit(" | Halaman "), "page_label", F.lit("]\n"), truncate_words(strip(F.coalesce("text", F.lit(""))), C.JUDGE_CONTEXT))
+    rows = contexts.groupBy(q_id).agg(F.array_sort(F.collect_list(F.struct("final_rank", block.alias("b")))).alias("rows"))
+    sources = F.array_join(F.transform("rows", lambda r: r["b"]), "\n\n")
+    asked = generated.filter(F.coalesce("answer", F.lit("")) != "").join(rows, q_id)
+    return asked.select(q_id, F.concat(F.lit("Pertanyaan: "), F.coalesce("query", F.lit("")), F.lit("\n\nSumber:\n"), sources, F.lit("\n\nJawaban yang dinilai:\n"), "answer", F.lit("\n\nBalas hanya dengan JSON.")).alias("prompt"))
+
+
+def is_grounded(score: Column) -> Column:
+    """A judged answer of at least the pass mark; without a score it is not."""
+    return F.coalesce(score >= C.JUDGE_PASS, F.lit(False))
 
 
 def no_context_answer() -> str:
@@ -266,6 +291,18 @@ def no_context_answer() -> str:
     return "Maaf, informasi mengenai hal tersebut tidak ditemukan dalam dokumen yang tersedia."
 
 
+def unverified_answer() -> str:
+    """What stands in for an answer that fails its checks."""
+    return "Maaf, jawaban yang dapat diverifikasi belum tersedia. Silakan coba lagi nanti."
+
+
+def cited_contexts(contexts: DataFrame, pages: str = "page_numbers", cited: str = "cited_pages") -> DataFrame:
+    """Contexts that share a page with the citations, their pages cut to those; all of them where nothing is cited."""
+    none = F.size(cited) == 0
+    kept = contexts.filter(none | F.arrays_overlap(pages, cited))
+    return kept.withColumn(pages, F.when(none, F.col(pages)).otherwise(F.array_intersect(pages, cited)))
+
+
 def source_cards(contexts: DataFrame, q_id: str = "q_id") -> DataFrame:
     """By question and document: union of pages, best section and score, first-seen order.
 

@@ -204,7 +204,7 @@ def _values(rows, columns: str) -> str:
 _REFUSED = " OR ".join(f"contains(lower(answer), '{p}')" for p in answers.REFUSALS)
 _MARKS = "|".join(answers.REFERENTIAL)
 _W = r"[\p{L}\p{N}_]"
-_NEEDS = rf"h AND trim(q) <> '' AND (len(string_split_regex(trim(regexp_replace(q, '\s+', ' ', 'g')), ' ')) <= 4 OR regexp_matches(lower(q), '{_W}{{3,}}nya([^\p{{L}}\p{{N}}_]|$)') OR regexp_matches(lower(q), '(^|[^\p{{L}}\p{{N}}_])({_MARKS})([^\p{{L}}\p{{N}}_]|$)'))"
+NEEDS_REWRITE = rf"h AND trim(q) <> '' AND (len(string_split_regex(trim(regexp_replace(q, '\s+', ' ', 'g')), ' ')) <= 4 OR regexp_matches(lower(q), '{_W}{{3,}}nya([^\p{{L}}\p{{N}}_]|$)') OR regexp_matches(lower(q), '(^|[^\p{{L}}\p{{N}}_])({_MARKS})([^\p{{L}}\p{{N}}_]|$)'))"
 _RESULTS = """r AS (SELECT CASE WHEN doc_id % 2 = 0 THEN 'dense' ELSE 'hybrid' END AS preset, quality = 1 AS inside, toxic = 1 AS refused, doc_id AS d, CAST(n_chars AS DOUBLE) AS latency FROM documents JOIN labels USING (doc_id))"""
 
 
@@ -220,7 +220,7 @@ ORACLE_SQL = {
     "answer_diagnosis": "SELECT CAST(id AS BIGINT) AS id, code FROM " + _values([(a[0], a[6]) for a in ANSWERS], "id, code"),
     "strip_sources": "SELECT CAST(id AS BIGINT) AS id, answer FROM " + _values([(a[0], a[2]) for a in SOURCED], "id, answer"),
     "refusal_detect": f"SELECT id, coalesce({_REFUSED}, false) AS refused FROM (SELECT conv_id * 1000 + turn AS id, text AS answer FROM conversations UNION ALL SELECT -id, answer FROM {_values([(a[0], a[1]) for a in ANSWERS], 'id, answer')})",
-    "rewrite_needed": f"""SELECT id, coalesce({_NEEDS}, false) AS needs_rewrite FROM (
+    "rewrite_needed": f"""SELECT id, coalesce({NEEDS_REWRITE}, false) AS needs_rewrite FROM (
         SELECT conv_id * 1000 + turn AS id, role, text AS q, coalesce(bool_or(role = 'assistant') OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS h FROM conversations
         UNION ALL SELECT -id, 'user', q, h FROM {_values([t[:3] for t in TALK], "id, q, h")}) WHERE role = 'user'""",
     "history_window": """SELECT conv_id, turn, count(*) OVER w AS n_history, coalesce(first_value(turn) OVER w, -1) AS first_turn,

@@ -62,3 +62,32 @@ def bm25(questions: str = "benchmark", q_key: str = "item_id", table: str = "doc
 
 
 UNIT_DOT = "round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6)"
+
+# White space of any kind, as Java and Python have it.
+SPACE = r"[\t\n\x0B\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+
+
+def strip(x: str) -> str:
+    return f"regexp_replace({x}, '^{SPACE}+|{SPACE}+$', '', 'g')"
+
+
+def words(x: str) -> str:
+    return f"list_filter(string_split_regex(lower({x}), '{SPACE}+'), lambda w: w <> '')"
+
+
+def truncated(x: str, limit: int) -> str:
+    return f"(CASE WHEN length({x}) > {limit} THEN regexp_replace(left({x}, {limit}), ' [^ ]*$', '') || ' …' ELSE {x} END)"
+
+
+def cited(x: str) -> str:
+    """Sorted distinct cited pages: runs of numbers, folded one after the other as structs of one type."""
+    sep = r"\s*(?:,|dan|s\.?d\.?|[-–—])\s*"
+    runs = f"regexp_extract_all(coalesce({x}, ''), '(?i)halaman\\s*:?\\s*(\\d{{1,4}}(?:{sep}\\d{{1,4}})*)', 1)"
+    numbers = "list_transform(regexp_extract_all(run, '\\d{1,4}'), lambda s: s::INT)"
+    marks = "list_transform(string_split_regex(run, '\\d{1,4}'), lambda s: regexp_matches(s, '[-–—]'))"
+    steps = f"list_transform({numbers}, lambda n, i: {{'stop': false, 'at': n, 'pages': [n], 'dash': i > 1 AND ({marks})[i]}})"
+    bad = "(b.dash AND (b.at <= a.at OR b.at - a.at > 40))"
+    stop = f"(a.stop OR {bad})"
+    more = "(CASE WHEN b.dash THEN range(a.at, b.at + 1)::INT[] ELSE [b.at] END)"
+    fold = f"lambda a, b: {{'stop': {stop}, 'at': CASE WHEN {stop} THEN a.at ELSE b.at END, 'pages': CASE WHEN {stop} THEN a.pages ELSE a.pages || {more} END, 'dash': false}}"
+    return f"list_sort(list_distinct(flatten(list_transform({runs}, lambda run: list_reduce({steps}, {fold}).pages))))"

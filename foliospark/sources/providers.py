@@ -179,3 +179,85 @@ def complete(df: DataFrame, prompt: str, provider: Chat, system: str = "", json_
 
     done = df.withColumn("__reply", replies(F.col(prompt)))
     return done.withColumn("reply", F.col("__reply.text")).withColumn("reply_error", F.col("__reply.error")).drop("__reply")
+
+
+def health(provider: Chat, token: str = "foliospark-probe-91c4") -> bool:
+    """Whether a provider follows a prompt: its reply must hold a token that only the prompt names."""
+    try:
+        return token in provider(f"Balas tepat dengan token {token}, tanpa kata lain.")
+    except Exception:  # a probe reports, it does not raise
+        return False
+
+
+# ---- Deterministic providers for runs without a network ---------------------
+#
+# Each reads the prompt it is given and nothing else, so a run exercises prompt
+# assembly and reply parsing.  Some replies are unusable on purpose, by the
+# number of words of the question, so every branch behind a provider is taken.
+
+
+def _words(text: str) -> list[str]:
+    return text.lower().split()
+
+
+@dataclass
+class OfflineRewriter:
+    """Puts the last thing the user said before the question."""
+
+    def __call__(self, prompt: str, system: str = "", json_mode: bool = False) -> str:
+        past, _, question = prompt.rpartition("\n\nPertanyaan terakhir: ")
+        said = [line.removeprefix("Pengguna: ") for line in past.split("\n") if line.startswith("Pengguna: ")]
+        return f"{said[-1] if said else ''} {question}"
+
+
+@dataclass
+class OfflineReranker:
+    """Ten times the share of the question's words that a snippet holds; a question of 11, 22, … words gets no scores."""
+
+    def __call__(self, prompt: str, system: str = "", json_mode: bool = False) -> str:
+        question, _, listed = prompt.removeprefix("Pertanyaan: ").partition("\n\nKandidat:\n")
+        asked = set(_words(question))
+        if len(_words(question)) % 11 == 0:
+            return "maaf"
+        rows = []
+        for line in listed.split("\n\n"):
+            number, _, snippet = line.removeprefix("[").partition("] ")
+            held = len(asked & set(_words(snippet)))
+            rows.append({"id": int(number), "score": 1000 * held // max(1, len(asked)) / 100})
+        return json.dumps(rows)
+
+
+@dataclass
+class OfflineAnswerer:
+    """Quotes the first words of the first context and cites its page.
+
+    By the number of words of the question the call fails (13, 26, …), the
+    citation is missing (5, 10, …) or lies outside the contexts (7, 14, …).
+    """
+
+    def __call__(self, prompt: str, system: str = "", json_mode: bool = False) -> str:
+        body, _, rest = prompt.removeprefix("Konteks:\n").rpartition("\n\nPertanyaan: ")
+        n = len(_words(rest.rpartition("\n\nSitasi yang boleh dipakai:\n")[0]))
+        head, _, text = body.partition("]\n")
+        page = int(head.partition("Halaman ")[2].partition(",")[0].partition("-")[0])
+        if n % 13 == 0:
+            raise ProviderError("HTTP 500: upstream")
+        quote = " ".join(text.partition("\n\n---\n\n")[0].partition("\n\nRiwayat percakapan terkini:\n")[0].split()[:8])
+        if n % 5 == 0:
+            return quote
+        return f"{quote} (Halaman {page + 5000 if n % 7 == 0 else page}).\nSumber: Halaman {page}"
+
+
+@dataclass
+class OfflineJudge:
+    """Ten times the share of the answer's words that the sources hold; an answer of 6, 12, … words gets no verdict."""
+
+    def __call__(self, prompt: str, system: str = "", json_mode: bool = False) -> str:
+        head, _, tail = prompt.rpartition("\n\nJawaban yang dinilai:\n")
+        answer = _words(tail.removesuffix("\n\nBalas hanya dengan JSON."))
+        if len(answer) % 6 == 0:
+            return "rusak"
+        sources = set(_words(head.partition("\n\nSumber:\n")[2]))
+        missing = [w for w in dict.fromkeys(answer) if w not in sources]
+        n = len(set(answer))
+        return json.dumps({"score": 10 * (n - len(missing)) // max(1, n), "unsupported_claims": missing[:1]})
