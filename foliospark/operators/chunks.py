@@ -1,22 +1,27 @@
 """Paragraph blocks and page-accurate chunks.
 
 Headings, paragraph starts and statistics are column expressions.  The heading
-stack and the packing of blocks are ordered folds over one document, which SQL
-cannot express; they are pure functions over a document's lines and run once
-for each document in an Arrow-batched grouped map.
+stack and the packing of blocks are ordered folds over one document.  They are
+generators over a document's lines: sorted lines stream through an Arrow map that
+holds one chunk's blocks at a time, so a document of any length needs constant
+memory.
 """
 
 from __future__ import annotations
 
 import re
 import statistics
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import chain, groupby
+from operator import itemgetter
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
+from ..storage import written
 
 # Heading patterns as (level, structural, pattern), tried in order.
 HEADINGS = (
@@ -26,6 +31,7 @@ HEADINGS = (
     (2, False, r"^\d+\.\d+(?:\.\d+)?\s+\S"),
     (2, False, r"^[A-Z]\.\s+[A-Z]"),
 )
+# All-caps lines, table headers, cut titles, bullets and sentence ends.
 ALL_CAPS = r"^[A-Z][A-Z\s\-–—/&(),.']{5,}$"
 TABLE_HEAD = r"(?i)^NO\.?\s"
 CUT_TITLE = r"[/\-–—,]\s*$"
@@ -123,33 +129,41 @@ def heading_of(line: str) -> tuple[int, bool] | None:
     return (0, False) if caps and not _HEAD_RE.match(line) and not _CUT_RE.search(line) else None
 
 
-def blocks_of(lines: list[tuple[int, str]]) -> list[Block]:
-    """Paragraphs and headings in order, each with the heading path above it."""
-    long = [len(t) for _, t in lines if len(t) > C.SHORT_LINE_OVER]
-    limit = statistics.median(long) * C.SHORT_LINE_SHARE if long else C.SHORT_LINE_DEFAULT
-    out: list[Block] = []
+def stream_blocks(lines: Iterable[tuple[int, str]], limit: float) -> Iterator[Block]:
+    """Paragraphs and headings in order, each with the heading path above it.
+
+    A block leaves when the next one begins: until then a structural heading may
+    still take its title from the following line.
+    """
     path: tuple[str, ...] = ()
-    open_block: Block | None = None  # the paragraph that takes further lines
-    split_title: Block | None = None  # a structural heading whose title may go on
+    held: Block | None = None  # the block that has not left yet
+    paragraph = title = False  # whether it takes further lines, or a title
     for page, line in lines:
         found = heading_of(line)
         if found is None:
-            last = open_block.lines[-1][1] if open_block else None
+            last = held.lines[-1][1] if paragraph else None
             if last is None or _BULLET_RE.match(line) or _END_RE.search(last) or len(last) < limit:
-                open_block = Block([], path)
-                out.append(open_block)
-            open_block.lines.append((page, line))
-            split_title = None
-        elif split_title and not found[1] and path and _CAPS_RE.match(line):
+                if held:
+                    yield held
+                held, paragraph, title = Block([], path), True, False
+            held.lines.append((page, line))
+        elif title and not found[1] and path and _CAPS_RE.match(line):
             path = (*path[:-1], f"{path[-1]} {line}")
-            split_title.lines.append((page, line))
-            split_title.path, split_title = path, None
+            held.lines.append((page, line))
+            held.path, title = path, False
         else:
+            if held:
+                yield held
             path = (*path[: found[0]], line)
-            out.append(Block([(page, line)], path))
-            split_title = out[-1] if found[1] else None
-            open_block = None
-    return out
+            held, paragraph, title = Block([(page, line)], path), False, found[1]
+    if held:
+        yield held
+
+
+def blocks_of(lines: list[tuple[int, str]]) -> list[Block]:
+    """All blocks of a document at hand, with its own limit for short lines."""
+    long = [len(t) for _, t in lines if len(t) > C.SHORT_LINE_OVER]
+    return list(stream_blocks(lines, statistics.median(long) * C.SHORT_LINE_SHARE if long else C.SHORT_LINE_DEFAULT))
 
 
 def split_line(line: tuple[int, str], size: int) -> list[tuple[int, str]]:
@@ -199,69 +213,102 @@ def carried(blocks: list[Block], overlap: int, max_pages: int) -> list[Block]:
     return out
 
 
-def pack(blocks: list[Block], size: int = C.CHUNK_SIZE, overlap: int = C.CHUNK_OVERLAP, max_pages: int = C.MAX_PAGES, strict_page_cap: bool = False) -> list[dict]:
-    """Chunks in order.  Size and page caps are soft: carried blocks count, joiners do not."""
-    out: list[dict] = []
-    now: list[Block] = []
+def _chunk(blocks: list[Block]) -> Iterator[dict]:
+    text = "\n\n".join(b.text for b in blocks if b.text.strip()).strip()
+    if text:
+        yield {"text": text, "pages": sorted(set().union(*(b.pages for b in blocks))), "path": list(blocks[0].path)}
 
-    def close() -> None:
-        text = "\n\n".join(b.text for b in now if b.text.strip()).strip()
-        if text:
-            out.append({"text": text, "pages": sorted(set().union(*(b.pages for b in now))), "path": list(now[0].path)})
 
+def stream_chunks(blocks: Iterable[Block], size: int = C.CHUNK_SIZE, overlap: int = C.CHUNK_OVERLAP, max_pages: int = C.MAX_PAGES, strict_page_cap: bool = False) -> Iterator[dict]:
+    """Chunks in order.  Size and page caps are soft: carried blocks count, joiners do not."""
+    now: list[Block] = []
     for block in blocks:
         n = len(block.text)
         if n > size:
-            close()
-            for now in split_block(block, size):
-                now = [now]
-                close()
+            yield from _chunk(now)
+            for part in split_block(block, size):
+                yield from _chunk([part])
             now = []
             continue
         if now:
             held = sum(len(b.text) for b in now)
             if held + n > size or _span([*now, block]) > max_pages:
-                close()
+                yield from _chunk(now)
                 now = carried(now, overlap, max_pages)
                 while strict_page_cap and now and _span([*now, block]) > max_pages:
                     del now[0]
             elif block.path != now[0].path and held >= C.SMALL_MERGE * size:
-                close()
+                yield from _chunk(now)
                 now = []
         now = [*now, block]
-    close()
-    return out
+    yield from _chunk(now)
 
 
-CHUNK = "source_document string, local_no long, text string, page_numbers array<long>, section_title string, heading_path array<string>"
+def pack(blocks: list[Block], size: int = C.CHUNK_SIZE, overlap: int = C.CHUNK_OVERLAP, max_pages: int = C.MAX_PAGES, strict_page_cap: bool = False) -> list[dict]:
+    """All chunks of the blocks at hand."""
+    return list(stream_chunks(blocks, size, overlap, max_pages, strict_page_cap))
 
 
-def _chunk_document(size: int, overlap: int, max_pages: int, strict: bool):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["page", "line_no"])
-        made = pack(blocks_of(list(zip(pdf["page"].tolist(), pdf["line"].tolist()))), size, overlap, max_pages, strict)
-        rows = [(pdf["source_document"].iloc[0], i, c["text"], c["pages"], c["path"][-1] if c["path"] else "", c["path"]) for i, c in enumerate(made)]
-        return pd.DataFrame(rows, columns=["source_document", "local_no", "text", "page_numbers", "section_title", "heading_path"])
+CHUNK = "source_document string, local_no long, text string, page_numbers array<long>, section_title string, heading_path array<string>"
+_KINDS = [pa.string(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.string(), pa.list_(pa.string())]
+_NAMES = ["source_document", "local_no", "text", "page_numbers", "section_title", "heading_path"]
+OUT_ROWS = 500
+
+
+def _fold(size: int, overlap: int, max_pages: int, strict: bool):
+    """Lines sorted by document, page and line in; chunks out, a few at a time."""
+
+    def batch(rows):
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(_KINDS)], _NAMES)
+
+    def run(batches):
+        lines = (row for b in batches for row in zip(*(b.column(i).to_pylist() for i in range(4))))
+        rows: list[tuple] = []
+        for source, document in groupby(lines, key=itemgetter(0)):
+            first = next(document)
+            numbered = ((page, line) for _, page, line, _ in chain([first], document))
+            for i, c in enumerate(stream_chunks(stream_blocks(numbered, first[3]), size, overlap, max_pages, strict)):
+                rows.append((source, i, c["text"], c["pages"], c["path"][-1] if c["path"] else "", c["path"]))
+                if len(rows) == OUT_ROWS:
+                    yield batch(rows)
+                    rows = []
+        yield batch(rows)
 
     return run
 
 
+def offsets(counts: DataFrame, key: str, n: str = "n") -> DataFrame:
+    """``(key, before)``: the sum of ``n`` over all smaller keys, without a window over all rows.
+
+    Keys are dealt out in ranges; the driver adds up one sum a range, and a
+    window runs inside each.
+    """
+    dealt = written(counts.select(key, n).repartitionByRange(key).withColumn("__range", F.spark_partition_id()), "ranges")
+    sums = {r["__range"]: r["s"] for r in dealt.groupBy("__range").agg(F.sum(n).alias("s")).collect()}
+    total, starts = 0, []
+    for part in range(max(sums, default=-1) + 1):
+        starts.append(total)
+        total += sums.get(part, 0)
+    base = F.element_at(F.split(F.lit(",".join(map(str, starts)) or "0"), ",").cast("array<long>"), F.col("__range") + 1)
+    inside = Window.partitionBy("__range").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    return dealt.select(key, (base + F.coalesce(F.sum(n).over(inside), F.lit(0))).alias("before"))
+
+
 def chunk_lines(lines: DataFrame, size: int = C.CHUNK_SIZE, overlap: int = C.CHUNK_OVERLAP, min_size: int = C.MIN_CHUNK, max_pages: int = C.MAX_PAGES, drop_noise: bool = True, strict_page_cap: bool = False) -> DataFrame:
     """Chunks of ``lines``, filtered and numbered from 0 in document order.
 
-    A document is one group, which is the unit of citation; the fold is linear
-    in its lines.  Numbers come from counts by document and prefix sums, so no
-    window spans the corpus.
+    A document is the unit of citation and is folded by one task, whose memory
+    does not grow with it.  Numbers come from counts by document and prefix sums.
     """
-    packed = lines.select("source_document", "page", "line_no", "line").groupBy("source_document").applyInPandas(_chunk_document(size, overlap, max_pages, strict_page_cap), CHUNK)
-    kept = packed.filter(F.length("text") >= min_size)
+    limited = lines.select("source_document", "page", "line_no", "line").join(short_line_limit(lines), "source_document")
+    dealt = limited.repartition("source_document").sortWithinPartitions("source_document", "page", "line_no").select("source_document", "page", "line", "short_limit")
+    kept = dealt.mapInArrow(_fold(size, overlap, max_pages, strict_page_cap), CHUNK).filter(F.length("text") >= min_size)
     if drop_noise:
         kept = kept.filter(~looks_like_noise(F.col("text")))
+    kept = written(kept, "chunks")
     local = F.row_number().over(Window.partitionBy("source_document").orderBy("local_no")) - 1
-    kept = kept.withColumn("local_no", local.cast("long"))
-    per_doc = kept.groupBy("source_document").agg(F.count("*").alias("n"))
-    before = per_doc.select("source_document", F.coalesce(F.sum("n").over(Window.orderBy("source_document").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    return kept.join(before, "source_document").select((F.col("before") + F.col("local_no")).alias("chunk_index"), "source_document", "text", "page_numbers", "section_title", "heading_path")
+    before = offsets(kept.groupBy("source_document").agg(F.count("*").alias("n")), "source_document")
+    return kept.withColumn("local_no", local.cast("long")).join(before, "source_document").select((F.col("before") + F.col("local_no")).alias("chunk_index"), "source_document", "text", "page_numbers", "section_title", "heading_path")
 
 
 def with_labels(chunks: DataFrame) -> DataFrame:
@@ -289,6 +336,33 @@ def document_pages(chunks: DataFrame) -> DataFrame:
     return chunks.select("source_document", "chunk_index", F.explode("page_numbers").alias("p")).groupBy("source_document").agg(F.countDistinct("chunk_index").alias("n_chunks"), F.countDistinct("p").alias("document_pages"))
 
 
+def source_documents(chunks: DataFrame) -> DataFrame:
+    """The distinct documents by name, blanks left out."""
+    return chunks.select("source_document").filter(F.trim("source_document") != "").distinct().orderBy("source_document")
+
+
+def sections(chunks: DataFrame) -> DataFrame:
+    """The distinct section titles by name, blanks left out."""
+    return chunks.select("section_title").filter(F.col("section_title") != "").distinct().orderBy("section_title")
+
+
+def chunk_statistics(chunks: DataFrame) -> DataFrame:
+    """One row: sizes with whole averages, spans, and chunks of one page and under a heading.  ``chunks`` are labelled."""
+    span = F.size("page_numbers")
+    whole = lambda c: F.floor(F.sum(c) / F.count("*")).cast("long")
+    return chunks.agg(
+        F.count("*").alias("n_chunks"), F.min("char_count").alias("min_chars"), F.max("char_count").alias("max_chars"), whole("char_count").alias("avg_chars"), F.min("estimated_tokens").alias("min_tokens"), F.max("estimated_tokens").alias("max_tokens"),
+        whole("estimated_tokens").alias("avg_tokens"), F.max(span).cast("long").alias("max_pages"), F.round(F.avg(span.cast("double")), 2).alias("avg_pages"), F.count_if(span == 1).alias("one_page"), F.count_if(F.size("heading_path") > 0).alias("with_heading"),
+    )
+
+
+def explore(chunks: DataFrame, term: str | None = None, limit: int = 50) -> DataFrame:
+    """The first chunks by number whose text or section holds ``term``, taken literally and in any case."""
+    held = F.lower(F.concat_ws(" ", "text", F.coalesce("section_title", F.lit(""))))
+    found = chunks.filter(F.contains(held, F.lit(term.lower()))) if term else chunks
+    return found.orderBy("chunk_index").limit(limit)
+
+
 def page_ranges(df: DataFrame, key: str, pages: str) -> DataFrame:
     """``(key, label)`` such as ``39–40, 48``; ``-`` without pages."""
     rows = df.select(key, F.explode_outer(F.array_distinct(pages)).alias("p"))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as C
 from ..operators import chunks, lines
+from ..storage import once, written
 
 FIXTURE_LINES = (
     "12", "Halaman 7", "hal. 3", "- 14 -", "xiv", "civil", "Halaman depan", "2024 10", "(cid:12)(cid:7)", "see (cid:3) here", "BAB IV KURIKULUM", "Bagian 2 Umum", "LAMPIRAN A", "Pasal 12 Masa studi",
@@ -94,11 +95,34 @@ def paragraph_blocks(spark, sf):
 
 
 def _chunks(spark, sf):
-    return chunks.chunk_lines(_lines(spark, sf))
+    """Labelled chunks of the whole table, folded once an application."""
+    return once(spark, f"{sf}/documents.parquet", "chunks", lambda: written(chunks.with_labels(chunks.chunk_lines(_lines(spark, sf))), "labelled"))
+
+
+def _digest(column: str):
+    return F.md5(F.col(column).cast("binary"))
 
 
 def chunk_documents(spark, sf):
-    return chunks.with_labels(_chunks(spark, sf)).select("chunk_index", "source_document", "page_label", "char_count", "estimated_tokens", F.array_join(F.col("page_numbers").cast("array<string>"), ",").alias("pages"), "section_title", F.md5(F.col("text").cast("binary")).alias("digest"))
+    pages = F.array_join(F.col("page_numbers").cast("array<string>"), ",")
+    return _chunks(spark, sf).select("chunk_index", "source_document", "page_label", "page_start", "page_end", "char_count", "estimated_tokens", pages.alias("pages"), "section_title", "heading_path_label", "document_label", _digest("text").alias("digest"), _digest("embed_text").alias("embed_digest"), _digest("index_text").alias("index_digest"))
+
+
+def chunk_stats(spark, sf):
+    return chunks.chunk_statistics(_chunks(spark, sf))
+
+
+def source_documents(spark, sf):
+    return chunks.source_documents(_chunks(spark, sf))
+
+
+def chunk_sections(spark, sf):
+    return chunks.sections(_chunks(spark, sf))
+
+
+def explorer_search(spark, sf):
+    """The first fifty chunks that hold a term with a sign that a pattern would read otherwise."""
+    return chunks.explore(_chunks(spark, sf), "a.").select("chunk_index", "source_document", "page_label")
 
 
 def chunk_noise(spark, sf):
@@ -120,7 +144,7 @@ def page_ranges(spark, sf):
     return chunks.page_ranges(short, "source_document", "pages")
 
 
-QUERIES = {f.__name__: f for f in (line_explode, short_lines, page_number_lines, glyph_lines, gibberish_lines, header_footer_templates, line_filter_report, noisy_pages, clean_pages, short_line_limit, heading_detection, document_page_numbers, document_glyph_lines, document_headings, paragraph_blocks, chunk_documents, chunk_noise, corpus_summary, build_stats, page_ranges)}
+QUERIES = {f.__name__: f for f in (line_explode, short_lines, page_number_lines, glyph_lines, gibberish_lines, header_footer_templates, line_filter_report, noisy_pages, clean_pages, short_line_limit, heading_detection, document_page_numbers, document_glyph_lines, document_headings, paragraph_blocks, chunk_documents, chunk_stats, source_documents, chunk_sections, explorer_search, chunk_noise, corpus_summary, build_stats, page_ranges)}
 
 _SPACE = r"[\t\n\x0B\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 _LINES = rf"""pg AS (SELECT source AS source_document, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS page, coalesce(text, '') AS text FROM documents),
@@ -193,6 +217,82 @@ ORACLE_SQL = {
 }
 
 
+_LEVEL = rf"""CASE WHEN NOT ({_FITS}) THEN NULL WHEN regexp_matches(line, '^(?:BAB|Bab|BAGIAN|Bagian)\s+[IVXLCDM\d]+\b') OR regexp_matches(line, '^(?:LAMPIRAN|Lampiran)\b') THEN 0
+             WHEN regexp_matches(line, '^(?:PASAL|Pasal)\s+\d+\b') THEN 1 WHEN regexp_matches(line, '^\d+\.\d+(?:\.\d+)?\s+\S') OR regexp_matches(line, '^[A-Z]\.\s+[A-Z]') THEN 2 WHEN {_CAPS} THEN 0 END"""
+_STRUCTURAL = rf"(regexp_matches(line, '^(?:BAB|Bab|BAGIAN|Bagian)\s+[IVXLCDM\d]+\b') OR regexp_matches(line, '^(?:LAMPIRAN|Lampiran)\b'))"
+_BULLET = r"'^(?:[-•*▪o]\s+|\(?\d{1,2}[.)]\s+|[a-z][.)]\s+)'"
+_CONTINUES = "(f.title AND NOT h.structural AND len(f.path) > 0 AND h.caps)"
+
+
+def _joined(partition: str) -> str:
+    """Pieces of re-joined lines: a hyphen before a lower-case start glues.  Needs ``line`` and ``i``."""
+    nxt, prv = (f"{f}(line) OVER (PARTITION BY {partition} ORDER BY i)" for f in ("lead", "lag"))
+    glues = lambda a, b: f"coalesce({a} LIKE '%-' AND lower(left({b}, 1)) = left({b}, 1) AND upper(left({b}, 1)) <> left({b}, 1), false)"
+    return f"CASE WHEN {prv} IS NULL OR {glues(prv, 'line')} THEN '' ELSE ' ' END || CASE WHEN {glues('line', nxt)} THEN left(line, length(line) - 1) ELSE line END"
+
+
+# The folds as recursive queries: one step a line for blocks, one a block for chunks, one a unit for the parts of long blocks.
+_CHUNKS = rf"""{_LINES},
+        lm AS (SELECT source_document AS src, coalesce(median(CASE WHEN length(line) > {C.SHORT_LINE_OVER} THEN length(line) END) * 6e-1, 40e0) AS lim FROM li GROUP BY ALL),
+        hl AS (
+            SELECT src, page, line, lim, {_LEVEL} AS level, {_STRUCTURAL} AS structural, regexp_matches(line, '^[A-Z][A-Z\s\-–—/&(),.'']{{5,}}$') AS caps,
+                   row_number() OVER (PARTITION BY src ORDER BY page, line_no) AS i, dense_rank() OVER (PARTITION BY src ORDER BY page) AS pr
+            FROM li JOIN lm ON src = source_document),
+        fb AS (
+            SELECT src, i, CAST(1 AS BIGINT) AS b, CASE WHEN level IS NULL THEN []::VARCHAR[] ELSE [line] END AS path, CASE WHEN level IS NULL THEN line END AS last, level IS NOT NULL AND structural AS title FROM hl WHERE i = 1
+            UNION ALL
+            SELECT h.src, h.i, f.b + CASE WHEN h.level IS NULL THEN CAST(f.last IS NULL OR regexp_matches(h.line, {_BULLET}) OR regexp_matches(f.last, '[.!?:;]\s*$') OR length(f.last) < h.lim AS BIGINT) WHEN {_CONTINUES} THEN 0 ELSE 1 END,
+                   CASE WHEN h.level IS NULL THEN f.path WHEN {_CONTINUES} THEN list_concat(f.path[1:len(f.path) - 1], [f.path[len(f.path)] || ' ' || h.line]) ELSE list_concat(f.path[1:h.level], [h.line]) END,
+                   CASE WHEN h.level IS NULL THEN h.line END, h.level IS NOT NULL AND NOT {_CONTINUES} AND h.structural
+            FROM fb f JOIN hl h ON h.src = f.src AND h.i = f.i + 1),
+        bli AS (SELECT fb.src, fb.i, b, path, line, page, pr FROM fb JOIN hl ON hl.src = fb.src AND hl.i = fb.i),
+        blk AS (
+            SELECT src, b, string_agg(piece, '' ORDER BY i) AS txt, arg_max(path, i) AS path, min(pr) AS p1, max(pr) AS p2 FROM (SELECT *, {_joined("src, b")} AS piece FROM bli) GROUP BY src, b),
+        bs AS (SELECT *, length(txt) AS n, sum(length(txt)) OVER (PARTITION BY src ORDER BY b) - length(txt) AS s0, lag(p2) OVER (PARTITION BY src ORDER BY b) AS p2_before FROM blk),
+        bx AS (
+            SELECT x.*, coalesce((SELECT min(c.b) FROM bs c WHERE c.src = x.src AND c.b <= x.b AND x.s0 - c.s0 <= {C.CHUNK_OVERLAP}), x.b) AS c0,
+                   coalesce((SELECT min(c.b) FROM bs c WHERE c.src = x.src AND c.b < x.b AND c.p1 >= x.p2_before - {C.MAX_PAGES - 2}), x.b) AS c1 FROM bs x),
+        pk AS (
+            SELECT src, CAST(0 AS BIGINT) AS b, CAST(NULL AS BIGINT) AS a, CAST(NULL AS BIGINT) AS ea FROM bx GROUP BY src
+            UNION ALL
+            SELECT p.src, x.b,
+                   CASE WHEN x.n > {C.CHUNK_SIZE} THEN NULL WHEN p.a IS NULL THEN x.b WHEN x.s0 - y.s0 + x.n > {C.CHUNK_SIZE} OR x.p2 - y.p1 + 1 > {C.MAX_PAGES} THEN greatest(p.a + 1, x.c0, x.c1)
+                        WHEN x.path <> y.path AND x.s0 - y.s0 >= {C.SMALL_MERGE} * {C.CHUNK_SIZE} THEN x.b ELSE p.a END,
+                   CASE WHEN p.a IS NOT NULL AND (x.n > {C.CHUNK_SIZE} OR x.s0 - y.s0 + x.n > {C.CHUNK_SIZE} OR x.p2 - y.p1 + 1 > {C.MAX_PAGES} OR (x.path <> y.path AND x.s0 - y.s0 >= {C.SMALL_MERGE} * {C.CHUNK_SIZE})) THEN p.a END
+            FROM pk p JOIN bx x ON x.src = p.src AND x.b = p.b + 1 LEFT JOIN bx y ON y.src = p.src AND y.b = p.a),
+        em AS (
+            SELECT src, b AS step, ea AS first_b, b - 1 AS last_b FROM pk WHERE ea IS NOT NULL
+            UNION ALL SELECT src, b + 1, a, b FROM pk WHERE a IS NOT NULL AND (src, b) IN (SELECT src, max(b) FROM bx GROUP BY src)),
+        un AS (
+            SELECT src, b, i, page, path, unnest(CASE WHEN length(line) + 1 > {C.CHUNK_SIZE} THEN string_split(regexp_replace(line, '([.!?;]){_SPACE}+', '\1' || chr(1), 'g'), chr(1)) ELSE [line] END) AS line, length(line) + 1 > {C.CHUNK_SIZE} AS cut,
+                   unnest(range(1, 1 + CASE WHEN length(line) + 1 > {C.CHUNK_SIZE} THEN len(string_split(regexp_replace(line, '([.!?;]){_SPACE}+', '\1' || chr(1), 'g'), chr(1))) ELSE 1 END)) AS k
+            FROM (SELECT bli.src, bli.b, bli.i, bli.page, bx.path, bli.line FROM bli JOIN bx ON bx.src = bli.src AND bx.b = bli.b AND bx.n > {C.CHUNK_SIZE})),
+        uj AS (SELECT *, row_number() OVER (PARTITION BY src, b ORDER BY i, k) AS j FROM un),
+        sp AS (
+            SELECT src, b, j, CAST(1 AS BIGINT) AS g, length(line) + CASE WHEN cut THEN 0 ELSE 1 END AS held, cut FROM uj WHERE j = 1
+            UNION ALL
+            SELECT u.src, u.b, u.j, s.g + CASE WHEN u.cut <> s.cut OR (u.cut AND u.k = 1) OR s.held + length(u.line) + 1 > {C.CHUNK_SIZE} THEN 1 ELSE 0 END,
+                   CASE WHEN u.cut <> s.cut OR (u.cut AND u.k = 1) OR s.held + length(u.line) + 1 > {C.CHUNK_SIZE} THEN length(u.line) + CASE WHEN u.cut THEN 0 ELSE 1 END ELSE s.held + length(u.line) + 1 END, u.cut
+            FROM sp s JOIN uj u ON u.src = s.src AND u.b = s.b AND u.j = s.j + 1),
+        ug AS (SELECT uj.src, uj.b, g, uj.j AS i, uj.line, uj.page, uj.path, uj.cut FROM sp JOIN uj ON uj.src = sp.src AND uj.b = sp.b AND uj.j = sp.j),
+        up AS (SELECT *, {_joined("src, b, g")} AS piece FROM ug),
+        pt AS (
+            SELECT src, b, g, any_value(path) AS path, CASE WHEN bool_or(cut) THEN string_agg(line, ' ' ORDER BY i) ELSE string_agg(piece, '' ORDER BY i) END AS txt, list_sort(list(DISTINCT page)) AS pages FROM up GROUP BY src, b, g),
+        raw_chunk AS (
+            SELECT em.src, step, CAST(0 AS BIGINT) AS part, any_value(CASE WHEN bx.b = first_b THEN bx.path END) AS path, string_agg(bx.txt, chr(10) || chr(10) ORDER BY bx.b) AS txt,
+                   (SELECT list_sort(list(DISTINCT page)) FROM bli WHERE bli.src = em.src AND bli.b BETWEEN first_b AND last_b) AS pages
+            FROM em JOIN bx ON bx.src = em.src AND bx.b BETWEEN first_b AND last_b GROUP BY em.src, step, first_b, last_b
+            UNION ALL SELECT src, b, g, path, txt, pages FROM pt),
+        ch AS (
+            SELECT row_number() OVER (ORDER BY src, step, part) - 1 AS chunk_index, src AS source_document, path, txt AS text, pages, length(txt) AS char_count, CASE WHEN len(path) > 0 THEN path[len(path)] ELSE '' END AS section_title
+            FROM raw_chunk WHERE length(txt) >= {C.MIN_CHUNK} AND NOT {{noise}})"""
+_NOISE_OF = f"""(len(regexp_extract_all(lower(txt), '[a-z]+')) = 0 OR (len(list_filter(regexp_extract_all(lower(txt), '[a-z]+'), lambda x: x IN {C.STOPWORDS})) <= {C.NOISE_STOPWORDS} * len(regexp_extract_all(lower(txt), '[a-z]+'))
+            AND length(regexp_replace(txt, '[^0-9]', '', 'g')) < {C.NOISE_DIGITS} * length(txt) AND NOT regexp_matches(txt, '[.:;?!]')))"""
+_CHUNKS = "WITH RECURSIVE " + _CHUNKS.replace("{noise}", _NOISE_OF)
+_LABEL = "CASE WHEN len(pages) = 0 THEN '-' WHEN list_min(pages) = list_max(pages) THEN CAST(list_min(pages) AS VARCHAR) ELSE list_min(pages) || '-' || list_max(pages) END"
+_PATH = "CASE WHEN len(path) > 0 THEN array_to_string(path, ' > ') || {} || text ELSE text END"
+
+
 def _over_lines(name: str, where: str) -> str:
     """The fixture's rule over every line of the table, where it applies."""
     rule = ORACLE_SQL[name].replace(_VALUES, _LINES).replace("CAST(n AS BIGINT) AS n", "source_document, page, line_no").removesuffix("fx") + "li"
@@ -200,6 +300,16 @@ def _over_lines(name: str, where: str) -> str:
 
 
 ORACLE_SQL |= {
+    "chunk_documents": f"""{_CHUNKS} SELECT chunk_index, source_document, {_LABEL} AS page_label, list_min(pages) AS page_start, list_max(pages) AS page_end, char_count, char_count // 4 AS estimated_tokens, array_to_string(pages, ',') AS pages, section_title,
+        array_to_string(path, ' › ') AS heading_path_label, regexp_replace(source_document, '\\.[^.]*$', '') AS document_label, md5(text) AS digest, md5({_PATH.format("chr(10) || chr(10)")}) AS embed_digest, md5({_PATH.format("chr(10)")}) AS index_digest FROM ch""",
+    "chunk_stats": f"""{_CHUNKS} SELECT count(*) AS n_chunks, min(char_count) AS min_chars, max(char_count) AS max_chars, CAST(sum(char_count) // count(*) AS BIGINT) AS avg_chars, min(char_count // 4) AS min_tokens, max(char_count // 4) AS max_tokens,
+        CAST(sum(char_count // 4) // count(*) AS BIGINT) AS avg_tokens, max(len(pages)) AS max_pages, round(avg(len(pages)), 2) AS avg_pages, count(*) FILTER (len(pages) = 1) AS one_page, count(*) FILTER (len(path) > 0) AS with_heading FROM ch""",
+    "corpus_summary": f"""{_CHUNKS}, pp AS (SELECT unnest(pages) AS p FROM ch)
+        SELECT count(*) AS n_chunks, count(DISTINCT source_document) AS n_documents, max(len(pages)) AS max_span, round(avg(len(pages)), 2) AS avg_span, (SELECT count(DISTINCT p) FROM pp) AS distinct_page_numbers, (SELECT min(p) FROM pp) AS page_min, (SELECT max(p) FROM pp) AS page_max FROM ch""",
+    "build_stats": f"{_CHUNKS}, pp AS (SELECT source_document, chunk_index, unnest(pages) AS p FROM ch) SELECT source_document, count(DISTINCT chunk_index) AS n_chunks, count(DISTINCT p) AS document_pages FROM pp GROUP BY ALL",
+    "source_documents": f"{_CHUNKS} SELECT DISTINCT source_document FROM ch WHERE trim(source_document) <> ''",
+    "chunk_sections": f"{_CHUNKS} SELECT DISTINCT section_title FROM ch WHERE section_title <> ''",
+    "explorer_search": f"{_CHUNKS} SELECT chunk_index, source_document, {_LABEL} AS page_label FROM ch WHERE contains(lower(text || ' ' || section_title), 'a.') ORDER BY chunk_index LIMIT 50",
     "document_page_numbers": f"WITH {_LINES} SELECT source_document, page, line_no, line FROM li WHERE {_PAGE_NUMBER}",
     "document_glyph_lines": rf"WITH {_LINES} SELECT source_document, page, line_no, line FROM li WHERE regexp_matches(line, '\(cid:\d+\)')",
     "document_headings": _over_lines("heading_detection", "level IS NOT NULL"),
