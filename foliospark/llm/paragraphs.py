@@ -1,8 +1,8 @@
 """Substring deduplication: paragraph MinHash bands, exact Jaccard, components.
 
-Paragraphs are lines of at least ``min_words`` words; longer lines are cut at
-content-defined words, so that a passage inside a long line still meets its
-copies.  Equal paragraphs are collapsed by their hash first.  Distinct ones
+Paragraphs are lines of at least ``min_words`` words; lines of over ``LONG_WORDS``
+are cut at content-defined words.  Passages inside lines or across them are the
+matter of ``passages.py``, which bands every window of words.  Equal paragraphs are collapsed by their hash first.  Distinct ones
 get MinHash values of their five-word shingles, grouped in bands that are
 tuned for a given recall at the threshold.  The members of a bucket are joined
 in one place by a prefix filter, exact Jaccard similarity and a union-find, which
@@ -15,28 +15,32 @@ Defined cases: null and empty texts and lines under ``min_words`` have no
 paragraphs; a line repeated within one document only is not a class; a null id
 is a document of its own kind and comes last when the first occurrence is
 chosen; repeated rows count as one document; an empty table gives an empty
-result; extra columns are ignored.
+result; a very long line is cut into many paragraphs; ties cannot arise, as a place
+holds id, text and number; rows of one id with different texts are told apart by a
+hash of the text; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
-import re
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Bloom, arrow_map, slices, written
+from .common import Bloom, arrow_map, fresh, slices, written
 from .components import connected_components
+from .passages import Stream
 
 SHINGLE = 5
 SIMILARITY = 0.8
 MIN_WORDS = 50
 LONG_WORDS = 240
+MARK_EVERY = 32
+"""A line of over LONG_WORDS words may be cut after one word of so many."""
 BLOCK, PROBES = 16_384, 65_536
-_WORD = re.compile(r"\S+")
+STREAM_CHARS = 1 << 20
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -53,45 +57,32 @@ def tune(threshold: float = SIMILARITY, recall: float = 0.999, low: float = 0.3,
     return min(found)[1:]
 
 
-def paragraphs_of(text: str | None, min_words: int = MIN_WORDS, long_words: int = LONG_WORDS) -> list[tuple[int, int, list[bytes]]]:
-    """(start, end, lower-cased words) of each paragraph, in code points."""
-    out, at = [], 0
-    for line in (text or "").split("\n"):
-        if len(line) >= 2 * min_words - 1:
-            words = line.lower().encode().split()
-            if len(words) > long_words:
-                spans = [m.span() for m in _WORD.finditer(line)]
-                words = [line[a:b].lower().encode() for a, b in spans]
-                first = 0
-                for k in range(len(words)):
-                    size = k + 1 - first
-                    if size >= long_words or size >= min_words and k + min_words < len(words) and _hash(words[k]) % 32 == 0:
-                        out.append((at + spans[first][0], at + spans[k][1], words[first : k + 1]))
-                        first = k + 1
-                if len(words) - first >= min_words:
-                    out.append((at + spans[first][0], at + spans[-1][1], words[first:]))
-            elif len(words) >= min_words:
-                lead = len(line) - len(line.lstrip())
-                out.append((at + lead, at + len(line.rstrip()), words))
-        at += len(line) + 1
-    return out
-
-
-def _hash(word: bytes) -> int:
-    import xxhash
-
-    return xxhash.xxh3_64_intdigest(word)
-
-
-def shingles(words: list[bytes], size: int = SHINGLE) -> np.ndarray:
-    """Distinct shingle hashes; fewer words than a shingle are one shingle."""
-    h = np.fromiter(map(_hash, words), np.uint64, len(words))
-    n = max(1, len(h) - size + 1)
-    total = np.zeros(n, np.uint64)
-    for k in range(min(size, len(h))):
-        total = (total ^ h[k : k + n]) * _P
-        total ^= total >> np.uint64(29)
-    return np.unique(total)
+def cut(words: Stream, min_words: int = MIN_WORDS, long_words: int = LONG_WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """The first word of each paragraph and the one after its last, in order."""
+    line = words.line
+    edges = np.concatenate(([0], np.flatnonzero(line[1:] != line[:-1]) + 1, [len(line)])).astype(np.int64)
+    first, last = edges[:-1], edges[1:]
+    full = last - first >= min_words
+    out = []
+    for at, end in zip(first[full].tolist(), last[full].tolist()):
+        if end - at > long_words:
+            marks = at + 1 + np.flatnonzero(words.hashes[at:end] % np.uint64(MARK_EVERY) == 0)
+            while end - at >= min_words:
+                k = int(np.searchsorted(marks, at + min_words))
+                stop = int(marks[k]) if k < len(marks) and marks[k] <= end - min_words else end
+                stop = min(stop, at + long_words)
+                out.append((at, stop))
+                at = stop
+        else:
+            out.append((at, end))
+    spans = np.array(out, np.int64).reshape(-1, 2)
+    return spans[:, 0], spans[:, 1]
+
+
+def shingle_lists(words: Stream, first: np.ndarray, last: np.ndarray, size: int = SHINGLE) -> list[np.ndarray]:
+    """Distinct shingle hashes of each paragraph; fewer words than a shingle are one shingle."""
+    grams = words.grams(size)
+    return [np.unique(grams[a : b - size + 1]) if b - a >= size else words.between(np.array([a]), np.array([b])) for a, b in zip(first.tolist(), last.tolist())]
 
 
 def signatures(sets: list[np.ndarray], bands: int, rows: int) -> np.ndarray:
@@ -116,26 +107,23 @@ def occurrences(docs: DataFrame, bands: int, rows: int, min_words: int = MIN_WOR
     """One row for each paragraph: place, hash of its words, and band hashes."""
 
     def run(batches):
-        import xxhash
-
         for b in batches:
-            ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for i, j in slices(texts):
-                out: list[list] = [[], [], [], [], [], []]
-                sets = []
-                for k in range(i, j):
-                    for no, (start, end, words) in enumerate(paragraphs_of(texts[k], min_words)):
-                        key = xxhash.xxh3_64_intdigest(b" ".join(words)) >> 1
-                        for o, v in zip(out, (ids[k], no, start, end, len(words), key)):
-                            o.append(v)
-                        sets.append(shingles(words))
-                if not sets:
+            ids, hashes = b.column(0), b.column(2)
+            texts = b.column(1).to_pylist()
+            for i, j in slices(texts, STREAM_CHARS):
+                words = Stream(texts[i:j])
+                first, last = cut(words, min_words)
+                if not len(first):
                     continue
-                sig = signatures(sets, bands, rows).view(np.int64)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * bands), pa.array(sig.ravel()))
-                yield pa.RecordBatch.from_arrays([*(pa.array(o, pa.int64()) for o in out), lists], ["doc_id", "para_no", "span_start", "span_end", "n_words", "key", "bands"])
+                text = words.text[first]
+                number = np.arange(len(text)) - np.searchsorted(text, text)
+                sig = signatures(shingle_lists(words, first, last), bands, rows).view(np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(first) + 1, dtype=np.int32) * bands), pa.array(sig.ravel()))
+                owner = pa.array(text + i)
+                columns = (number, words.starts[first], words.ends[last - 1], last - first, words.between(first, last).view(np.int64))
+                yield pa.RecordBatch.from_arrays([ids.take(owner), hashes.take(owner), *map(pa.array, columns), lists], ["doc_id", "text_hash", "para_no", "span_start", "span_end", "n_words", "key", "bands"])
 
-    return arrow_map(docs, run, "doc_id long, para_no long, span_start long, span_end long, n_words long, key long, bands array<long>")
+    return arrow_map(docs, run, "doc_id long, text_hash long, para_no long, span_start long, span_end long, n_words long, key long, bands array<long>")
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -143,22 +131,23 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, min_words: int = MIN_WORDS)
     bloom = docs.sparkSession.sparkContext.broadcast(Bloom.of(wanted, "key"))
 
     def run(batches):
-        import xxhash
-
         known, sent = bloom.value, set()
         for b in batches:
-            texts = b.column(1).to_pylist()
-            for i, j in slices(texts):
-                found = [w for t in texts[i:j] for _, _, w in paragraphs_of(t, min_words)]
-                keys = np.fromiter((xxhash.xxh3_64_intdigest(b" ".join(w)) >> 1 for w in found), np.int64, len(found))
-                hit = [k for k in np.flatnonzero(known.has(keys)) if keys[k] not in sent] if len(keys) else []
-                first = {int(keys[k]): k for k in hit}
-                sent.update(first)
+            texts = b.column(0).to_pylist()
+            for i, j in slices(texts, STREAM_CHARS):
+                words = Stream(texts[i:j])
+                first, last = cut(words, min_words)
+                keys = words.between(first, last).view(np.int64)
+                maybe = np.flatnonzero(known.has(keys)) if len(keys) else keys
+                new = {int(keys[k]): k for k in maybe if int(keys[k]) not in sent}
+                sent.update(new)
                 if len(sent) > 500_000:
                     sent.clear()
-                yield pa.RecordBatch.from_arrays([pa.array(list(first), pa.int64()), pa.array([shingles(found[k]).view(np.int64) for k in first.values()], pa.list_(pa.int64()))], ["key", "hashes"])
+                at = np.fromiter(new.values(), np.int64, len(new))
+                sets = [x.view(np.int64) for x in shingle_lists(words, first[at], last[at])]
+                yield pa.RecordBatch.from_arrays([pa.array(list(new), pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["key", "hashes"])
 
-    rows = arrow_map(docs, run, "key long, hashes array<long>")
+    rows = arrow_map(docs.select("text"), run, "key long, hashes array<long>")
     return rows.join(wanted, "key", "left_semi").dropDuplicates(["key"])
 
 
@@ -274,26 +263,36 @@ def similar_pairs(distinct: DataFrame, docs: DataFrame, threshold: float = SIMIL
 def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = SIMILARITY, recall: float = 0.999, min_words: int = MIN_WORDS) -> DataFrame:
     """Each paragraph of a class that spans documents: its place, class and whether to keep it."""
     bands, rows = tune(threshold, recall)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("text_hash"))
     found = written(occurrences(texts, bands, rows, min_words), "paragraphs")
-    place = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("para_no").alias("p"))
+    place = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("text_hash").alias("t"), F.col("para_no").alias("p"))
     name = F.coalesce("doc_id", F.lit(-(1 << 62)))
     distinct = written(found.groupBy("key").agg(F.count("*").alias("copies"), F.min(place).alias("first"), F.min(name).alias("lo"), F.max(name).alias("hi"), F.first("bands").alias("bands")), "distinct")
-    member = connected_components(similar_pairs(distinct, texts, threshold, min_words)).withColumnRenamed("node", "key")
+    member = connected_components(similar_pairs(distinct, texts.select("doc_id", "text"), threshold, min_words)).withColumnRenamed("node", "key")
     classed = distinct.drop("bands").join(member, "key", "left").withColumn("component", F.coalesce("component", "key"))
     spanning = classed.groupBy("component").agg(F.min("first").alias("first"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter("lo < hi").drop("lo", "hi")
     keys = classed.select("key", "component").join(spanning, "component").withColumnRenamed("first", "kept")
     out = found.drop("bands").join(keys, "key")
-    keep = (F.col("kept.d").eqNullSafe(F.col("doc_id"))) & (F.col("kept.p") == F.col("para_no"))
-    return out.select("doc_id", "para_no", "span_start", "span_end", "n_words", F.col("component").alias("class_id"), keep.alias("keep"))
+    keep = (F.col("kept.d").eqNullSafe(F.col("doc_id"))) & (F.col("kept.t") == F.col("text_hash")) & (F.col("kept.p") == F.col("para_no"))
+    return out.select("doc_id", "text_hash", "para_no", "span_start", "span_end", "n_words", F.col("component").alias("class_id"), keep.alias("keep"))
 
 
 def remove_repeats(docs: DataFrame, repeats: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the spans that are not kept cut out of their texts."""
-    cut = repeats.filter("not keep").groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("span_start", "span_end"))).alias("__spans")).withColumnRenamed("doc_id", "__id")
+    """``docs`` with the spans that are not kept cut out of their texts.
+
+    A span belongs to the rows of its id, null included, and of its text; other
+    rows of the id stay whole.  Spans may overlap.
+    """
+    spans, the_id, the_hash = (fresh(docs, x) for x in ("spans", "id", "hash"))
+    cut = repeats.filter("not keep").groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set(F.struct("span_start", "span_end"))).alias(spans))
+    cut = cut.withColumnsRenamed({"doc_id": the_id, "text_hash": the_hash})
     text = F.col(text_col)
     zero = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
-    step = lambda acc, s: F.struct(s["span_end"].alias("at"), F.concat(acc["out"], F.substring(text, acc["at"].cast("int") + 1, (s["span_start"] - acc["at"]).cast("int"))).alias("out"))
-    clean = F.aggregate("__spans", zero, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"].cast("int") + 1, F.length(text))))
-    joined = docs.join(cut, docs[id_col] == F.col("__id"), "left")
-    return joined.withColumn("__clean", F.when(F.col("__spans").isNull(), text).otherwise(clean)).select(*[F.col("__clean").alias(c) if c == text_col else docs[c] for c in docs.columns])
+
+    def step(acc, s):
+        part = F.substring(text, acc["at"].cast("int") + 1, F.greatest(F.lit(0), (s["span_start"] - acc["at"]).cast("int")))
+        return F.struct(F.greatest(acc["at"], s["span_end"]).alias("at"), F.concat(acc["out"], part).alias("out"))
+
+    clean = F.aggregate(spans, zero, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"].cast("int") + 1, F.length(text))))
+    joined = docs.join(cut, docs[id_col].cast("long").eqNullSafe(F.col(the_id)) & (F.xxhash64(docs[text_col]) == F.col(the_hash)), "left")
+    return joined.select(*[F.when(F.col(spans).isNull(), text).otherwise(clean).alias(c) if c == text_col else docs[c] for c in docs.columns])
