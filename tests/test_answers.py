@@ -1,3 +1,5 @@
+import hashlib
+
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -56,12 +58,21 @@ def test_files_and_freshness(spark, tmp_path):
     (tmp_path / "a.pdf").write_bytes(b"satu")
     (tmp_path / "b.pdf").write_bytes(b"dua")
     (tmp_path / "c.txt").write_bytes(b"tiga")
-    found = files.discover(spark, [str(tmp_path), str(tmp_path / "a.pdf")])
-    assert sorted(r["name"] for r in found.collect()) == ["a.pdf", "b.pdf"]
+    listed = files.discover(spark, [str(tmp_path / "b.pdf"), str(tmp_path), str(tmp_path / "a.pdf")])
+    assert [(r["ord"], r["name"]) for r in listed.collect()] == [(1, "b.pdf"), (2, "a.pdf")]
+    found = files.fingerprints(spark, listed)
+    streamed = files.fingerprints(spark, listed, whole=0)
+    assert {(r["name"], r["sha256"]) for r in found.collect()} == {(r["name"], r["sha256"]) for r in streamed.collect()} == {("a.pdf", hashlib.sha256(b"satu").hexdigest()), ("b.pdf", hashlib.sha256(b"dua").hexdigest())}
     old = spark.createDataFrame([(r["name"], r["sha256"]) for r in found.collect() if r["name"] == "a.pdf"] + [("z.pdf", "0")], "name string, sha256 string")
     state = files.freshness(old, found)
     assert {r["name"]: r["status"] for r in state.collect()} == {"a.pdf": "unchanged", "b.pdf": "untracked", "z.pdf": "missing"}
     assert files.is_stale(state).first()["is_stale"]
+    record = {"pipeline_version": 3, "source_documents": [{"name": r["name"], "sha256": r["sha256"]} for r in found.collect()]}
+    assert not files.check_freshness(spark, record, found)["is_stale"]
+    older = files.check_freshness(spark, {**record, "pipeline_version": 2}, found)
+    assert older["is_stale"] and "pipeline 2" in older["messages"][0]
+    assert not files.check_freshness(spark, {}, found)["is_stale"]
+    assert files.safe_document_path("a.pdf", str(tmp_path)) and not any(files.safe_document_path(n, str(tmp_path)) for n in ("../a.pdf", "c.txt", "x.pdf", "", "sub/a.pdf"))
     assert files.manifest({"source_pdf": {"name": "a", "sha256": "1"}}) == [("a", "1")] and files.load_manifest("{rusak") == {}
 
 
@@ -78,8 +89,10 @@ def test_index_round_trip(spark, tmp_path):
     info = files.index_info(chunks, spark.createDataFrame([("a.pdf", "1")], "name string, sha256 string"), 8, 1400, 250)
     files.save_index(vectors, chunks, info, str(tmp_path / "idx"))
     files.check_in_sync(spark.read.parquet(str(tmp_path / "idx/vectors")), spark.read.parquet(str(tmp_path / "idx/chunks")))
-    with pytest.raises(Exception):
+    with pytest.raises(FileExistsError):
         files.save_index(vectors, chunks, info, str(tmp_path / "idx"))
+    files.save_index(vectors.limit(1), chunks.limit(1), info, str(tmp_path / "idx"), overwrite=True)
+    assert spark.read.parquet(str(tmp_path / "idx/chunks")).count() == 1
     with pytest.raises(ValueError):
         files.check_in_sync(vectors.limit(1), chunks)
 
