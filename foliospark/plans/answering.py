@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Row, SparkSession, Window
+from pyspark.sql import SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.constants import RetrievalConfig
@@ -12,27 +12,6 @@ from ..streaming import limiter
 from . import duck
 from .retrieval import stored_index
 
-# Answers with the pages of their contexts; the expected values are stated next to them.
-ANSWERS = (
-    (1, "Batas studi 14 semester (Halaman 48).", (48, 49), "48", True, 1.0, ""),
-    (2, "Lihat Halaman 39-41.", (39, 40), "39,40,41", False, 2 / 3, "citation_outside_context"),
-    (3, "Lihat halaman: 39, 40 dan 41.", (39, 40, 41), "39,40,41", True, 1.0, ""),
-    (4, "Halaman 43 — 5. Beban studi", (43,), "43", True, 1.0, ""),
-    (5, "Halaman 39 s.d. 41", (39, 41), "39,41", True, 1.0, ""),
-    (6, "Tanpa sitasi sama sekali", (1,), "", False, 0.0, "missing_page_citation"),
-    (7, "", (1,), "", False, 0.0, "empty_response"),
-    (8, "Halaman 3 – 90", (3,), "3", True, 1.0, ""),
-    (9, "Provider: rate limit tercapai", (1,), "", False, 0.0, "provider_rate_limit"),
-    (10, "api key salah", (1,), "", False, 0.0, "provider_auth"),
-    (11, "Halaman 7. Lalu HALAMAN 9 dan 9.", (7,), "7,9", False, 0.5, "citation_outside_context"),
-    (12, "Maaf, informasi tersebut tidak ditemukan dalam dokumen.", (1,), "", False, 0.0, "missing_page_citation"),
-)
-SOURCED = (
-    (1, "Jawaban.\nSumber: buku, Halaman 4", "Jawaban."),
-    (2, "Satu\n\n\n\nDua", "Satu\n\nDua"),
-    (3, "sumber: tanpa nomor\nisi", "sumber: tanpa nomor\nisi"),
-    (4, "  isi  \n(Sumber: A, halaman 3)\nlagi", "isi  \nlagi"),
-)
 TALK = (
     (1, "Berapa syaratnya?", True, True),
     (2, "Berapa syaratnya?", False, False),
@@ -41,17 +20,18 @@ TALK = (
     (5, "Jelaskan aturan tersebut untuk mahasiswa lintas jalur", True, True),
     (6, "   ", True, False),
 )
+QUOTE = object()
+# Answers in parts: text, the quote, or a number that is added to the document's page.
+FORMS = (
+    (QUOTE, " (Halaman ", 0, ")."), ("Lihat Halaman ", 0, "-", 2, "."), ("Lihat halaman: ", 0, ", ", 1, " dan ", 2, "."), ("Halaman ", 0, " — 5. ", QUOTE), ("Halaman ", 0, " s.d. ", 2), (QUOTE,), ("",), ("Halaman ", 0, " – ", 87),
+    ("Provider: rate limit tercapai ", QUOTE), ("api key salah",), ("Halaman ", 0, ". Lalu HALAMAN ", 2, " dan ", 2, "."), ("Maaf, ", QUOTE, " tidak ditemukan dalam dokumen."), (QUOTE, "\nSumber: buku, Halaman ", 0), ("  Satu ", QUOTE, "\n\n\n\nDua  "),
+    ("sumber: tanpa nomor\n", QUOTE, "\n(Sumber: A, halaman ", 3, ")\nlagi"), ("HALAMAN ", 40, "–", 2, ", ", 7),
+)
+# Replies in parts: text, or the name of a column.
 REPLIES = (
-    (1, '[{"id": 1, "score": 9}, {"id": 2, "score": 3.5}]'),
-    (2, '```json\n[{"id": 1, "score": 15}, {"id": 9, "score": 2}, {"id": 2, "score": -4}]\n```'),
-    (3, 'Hasil: [{"id": "2", "score": "7.5"}, {"id": 1, "score": null}] selesai'),
-    (4, '{"hasil": [{"id": 3, "score": 6}]}'),
-    (5, "tidak ada json"),
-    (6, '[{"id": 1, "score": NaN}, 5, {"id": 2}]'),
-)
-PARSED = ((1, 1, 9.0), (1, 2, 3.5), (2, 1, 10.0), (2, 2, 0.0), (3, 2, 7.5), (4, 3, 6.0))
-INDEXED = (("a.pdf", "11"), ("b.pdf", "22"), ("c.pdf", "33"))
-PRESENT = (("a.pdf", "11"), ("b.pdf", "99"), ("d.pdf", "44"))
+    ('[{"id": 1, "score": ', "a", '}, {"id": 2, "score": ', "b", ".5}]"), ('```json\n[{"id": 1, "score": 1', "a", '}, {"id": 9, "score": 2}, {"id": 2, "score": -', "b", "}]\n```"), ('Hasil: [{"id": "2", "score": "', "a", '"}, {"id": 1, "score": null}] selesai',),
+    ('{"hasil": [{"id": 3, "score": ', "b", "}]}"), ("text",), ('[{"id": 1, "score": NaN}, 5, {"id": 2}]',), ('[{"id": 1, "score": ', "a", '}, {"id": 1, "score": ', "b", "}]"),
+)
 LIMIT, WINDOW = 2, 86_400
 CARD_HITS = 10
 
@@ -60,33 +40,37 @@ def _table(spark: SparkSession, sf: str, name: str):
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def _answers(spark):
-    rows = [(a[0], a[1], list(a[2])) for a in ANSWERS]
-    return spark.createDataFrame(rows, "id long, answer string, context array<int>").withColumn("cited", answers.cited_pages(F.col("answer")))
+def _answers(spark, sf):
+    """Answers built from every document: a quote of it, and citations of its page in all forms that the rules know."""
+    page = (F.pmod("doc_id", F.lit(997)) + 1).cast("int")
+    docs = _table(spark, sf, "documents").select("doc_id", page.alias("p"), F.regexp_replace(F.substring(F.coalesce("text", F.lit("")), 1, 60), "\n", " ").alias("quote"))
+    forms = F.array(*[F.concat(*[F.lit(x) if isinstance(x, str) else (F.col("quote") if x is QUOTE else (F.col("p") + x).cast("string")) for x in form]) for form in FORMS])
+    rows = docs.select("doc_id", "p", F.posexplode(forms).alias("form", "answer"))
+    context = F.array(F.col("p"), F.col("p") + 1)
+    return rows.select("doc_id", F.col("form").cast("long").alias("form"), "answer", context.alias("context"), answers.cited_pages(F.col("answer")).alias("cited"))
 
 
 def cited_pages(spark, sf):
-    return _answers(spark).select("id", F.array_join(F.col("cited").cast("array<string>"), ",").alias("cited"))
+    return _answers(spark, sf).select("doc_id", "form", F.array_join(F.col("cited").cast("array<string>"), ",").alias("cited"))
 
 
 def citation_check(spark, sf):
     c = answers.citation_check(F.col("cited"), F.col("context"))
-    return _answers(spark).select("id", c["citation_valid"].alias("citation_valid"), F.round(c["citation_precision"], 6).alias("citation_precision"))
+    return _answers(spark, sf).select("doc_id", "form", c["has_citation"].alias("has_citation"), F.array_join(c["invalid_pages"].cast("array<string>"), ",").alias("invalid_pages"), c["citation_valid"].alias("citation_valid"), F.round(c["citation_precision"], 6).alias("citation_precision"))
 
 
 def answer_diagnosis(spark, sf):
-    return _answers(spark).select("id", F.coalesce(answers.diagnosis(F.col("answer"), F.col("context")), F.lit("")).alias("code"))
+    return _answers(spark, sf).select("doc_id", "form", F.coalesce(answers.diagnosis(F.col("answer"), F.col("context")), F.lit("")).alias("code"), answers.is_safe(F.col("answer")).alias("is_safe"))
 
 
 def strip_sources(spark, sf):
-    rows = spark.createDataFrame([(i, a) for i, a, _ in SOURCED], "id long, answer string")
-    return rows.select("id", answers.strip_source_lines(F.col("answer")).alias("answer"))
+    return _answers(spark, sf).select("doc_id", "form", answers.strip_source_lines(F.col("answer")).alias("answer"))
 
 
 def refusal_detect(spark, sf):
-    """Refusal phrases over conversation texts and the fixture."""
+    """Refusal phrases over conversation texts and the answers built from documents."""
     talk = _table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("text").alias("answer"))
-    own = spark.createDataFrame([(-a[0], a[1]) for a in ANSWERS], "id long, answer string")
+    own = _answers(spark, sf).select((-1 - F.col("doc_id") * len(FORMS) - F.col("form")).alias("id"), "answer")
     return talk.unionByName(own).select("id", answers.is_refusal(F.col("answer")).alias("refused"))
 
 
@@ -118,30 +102,28 @@ def conversation_answers(spark, sf):
     )
 
 
-def _replies(spark):
-    return spark.createDataFrame(list(REPLIES), "q_id long, reply string")
+def _replies(spark, sf):
+    """Rerank replies built from every turn, well-formed and not, with the number of candidates."""
+    n = F.length(F.coalesce("text", F.lit("")))
+    rows = _table(spark, sf, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("q_id"), F.when(F.col("turn") == 0, 1).otherwise(3).alias("n"), (n % 11).alias("a"), (F.floor(n / 11) % 11).alias("b"), F.coalesce("text", F.lit("")).alias("text"))
+    number = F.pmod("q_id", F.lit(len(REPLIES)))
+    reply = F.coalesce(*[F.when(number == i, F.concat(*[F.col(x) if x in ("a", "b", "text") else F.lit(x) for x in form])) for i, form in enumerate(REPLIES)])
+    return rows.select("q_id", "n", reply.alias("reply"))
 
 
 def rerank_parse(spark, sf):
-    return _replies(spark).select("q_id", F.explode(answers.parse_scores("reply", F.lit(3))).alias("candidate", "score")).select("q_id", F.col("candidate").cast("long").alias("candidate"), "score")
+    return _replies(spark, sf).select("q_id", F.explode(answers.parse_scores("reply", F.lit(3))).alias("candidate", "score")).select("q_id", F.col("candidate").cast("long").alias("candidate"), "score")
 
 
 def rerank_apply(spark, sf):
-    """Three candidates a question, one for question 5; scores from the replies."""
-    rows = [Row(q_id=q, doc_id=10 * q + r, fusion_rank=r) for q in range(1, 8) for r in (1, 2, 3) if q != 5 or r == 1]
-    out = answers.apply_scores(spark.createDataFrame(rows, "q_id long, doc_id long, fusion_rank long"), _replies(spark))
+    """Three candidates a turn, one for the first turn of a conversation; scores from the replies."""
+    replies = _replies(spark, sf)
+    cands = replies.select("q_id", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n").cast("long"))).alias("fusion_rank")).select("q_id", (F.col("q_id") * 10 + F.col("fusion_rank")).alias("doc_id"), "fusion_rank")
+    out = answers.apply_scores(cands, replies.select("q_id", "reply"))
     verdict = fusion.rerank_gate(out, RetrievalConfig())
     return out.join(verdict, "q_id").select("q_id", "doc_id", "rerank_score", "rerank_ok", "rerank_rank", "rerank_pass")
 
 
-def source_cards(spark, sf):
-    """Cards of contexts dealt by id, as the oracle states; ``retrieved_source_cards`` has those of the search."""
-    docs, items = _table(spark, sf, "documents"), _table(spark, sf, "benchmark")
-    ctx = items.join(docs, F.pmod("doc_id", F.lit(40)) == F.pmod("item_id", F.lit(40))).select(F.col("item_id").alias("q_id"), F.col("doc_id").alias("final_rank"), F.col("source").alias("source_document"), F.array(F.pmod("doc_id", F.lit(7))).alias("page_numbers"), F.col("lang").alias("section_title"), (F.col("n_chars") / 1000.0).alias("score"))
-    cards = answers.source_cards(ctx)
-    return cards.select("q_id", "card_no", "source_document", F.array_join(F.col("pages").cast("array<string>"), ",").alias("pages"), "section_title", "score")
-
-
 def retrieved_source_cards(spark, sf):
     """Cards of the best BM25 hits of each item over the whole table; a page is a document's rank in its source."""
     docs = _table(spark, sf, "documents")
@@ -177,7 +159,12 @@ def answer_metrics(spark, sf):
 
 
 def index_freshness(spark, sf):
-    return files.freshness(spark.createDataFrame(list(INDEXED), "name string, sha256 string"), spark.createDataFrame(list(PRESENT), "name string, sha256 string"))
+    """An index of every document against files: texts with white space run together, no short ones, and the web pages."""
+    docs = _table(spark, sf, "documents").select(F.concat(F.lit("doc-"), "doc_id").alias("name"), F.coalesce("text", F.lit("")).alias("text"), "n_chars")
+    indexed = docs.select("name", files.fingerprint(F.col("text").cast("binary")).alias("sha256"))
+    now = docs.filter("n_chars >= 50").select("name", files.fingerprint(F.regexp_replace("text", "[ \n]+", " ").cast("binary")).alias("sha256"))
+    pages = _table(spark, sf, "pages").select(F.concat(F.lit("page-"), "page_id").alias("name"), files.fingerprint(F.coalesce("html", F.lit("")).cast("binary")).alias("sha256"))
+    return files.freshness(indexed, now.unionByName(pages))
 
 
 def index_stale(spark, sf):
@@ -188,7 +175,7 @@ def rate_limit(spark, sf):
     return limiter.rate_limit(_table(spark, sf, "events"), LIMIT, WINDOW)
 
 
-QUERIES = {f.__name__: f for f in (cited_pages, citation_check, answer_diagnosis, strip_sources, refusal_detect, rewrite_needed, history_window, conversation_answers, rerank_parse, rerank_apply, source_cards, retrieved_source_cards, retrieval_metrics, answer_metrics, index_freshness, index_stale, rate_limit)}
+QUERIES = {f.__name__: f for f in (cited_pages, citation_check, answer_diagnosis, strip_sources, refusal_detect, rewrite_needed, history_window, conversation_answers, rerank_parse, rerank_apply, retrieved_source_cards, retrieval_metrics, answer_metrics, index_freshness, index_stale, rate_limit)}
 
 
 def _q(value) -> str:
@@ -212,30 +199,62 @@ def _share(a: str, b: str) -> str:
     return f"round(CASE WHEN count(*) FILTER ({b}) > 0 THEN count(*) FILTER (({a}) AND ({b})) / count(*) FILTER ({b})::DOUBLE ELSE 0e0 END, 6)"
 
 
+def _text_of(form, replies: bool = False) -> str:
+    part = lambda x: "quote" if x is QUOTE else (x if replies and x in ("a", "b", "text") else _q(x)) if isinstance(x, str) else f"(p + {x})"
+    return "concat(" + ", ".join(map(part, form)) + ")"
+
+
+_ANSWERS = f"""dq AS (SELECT doc_id, doc_id % 997 + 1 AS p, replace(left(coalesce(text, ''), 60), chr(10), ' ') AS quote FROM documents),
+        an AS ({" UNION ALL ".join(f"SELECT doc_id, CAST({i} AS BIGINT) AS form, {_text_of(f)} AS answer, [CAST(p AS INT), CAST(p + 1 AS INT)] AS ctx FROM dq" for i, f in enumerate(FORMS))})"""
+_CITED = duck.cited("answer")
+_ERROR = " OR ".join(f"contains(lower(answer), '{m}')" for m in answers.ERROR_MARKS)
+_CODES = " ".join(f"WHEN ({_ERROR}) AND ({' OR '.join(f"contains(lower(answer), '{w}')" for w in ws)}) THEN '{code}'" for code, ws in answers.ERROR_CODES)
+_PAGE = r"(?i)\bhalaman\s*:?\s*\d{1,4}\b"
+# The list in a reply: the text between the first and the last bracket, if it is JSON; the last score of a candidate counts.
+_PARSED = f"""rp AS (
+            SELECT conv_id * 100 + turn AS q_id, CASE WHEN turn = 0 THEN 1 ELSE 3 END AS n, CASE (conv_id * 100 + turn) % {len(REPLIES)} {" ".join(f"WHEN {i} THEN {_text_of(f, True)}" for i, f in enumerate(REPLIES))} END AS reply
+            FROM (SELECT *, length(coalesce(text, '')) % 11 AS a, length(coalesce(text, '')) // 11 % 11 AS b FROM (SELECT conv_id, turn, coalesce(text, '') AS text FROM conversations))),
+        es AS (SELECT q_id, unnest(json_extract(j, '$[*]')) AS e, unnest(range(len(json_extract(j, '$[*]')))) AS k FROM (SELECT q_id, TRY_CAST(nullif(regexp_extract(reply, '\\[.*\\]', 0, 's'), '') AS JSON) AS j FROM rp) WHERE j IS NOT NULL),
+        sc AS (SELECT q_id, k, TRY_CAST(e ->> '$.id' AS BIGINT) AS c, TRY_CAST(e ->> '$.score' AS DOUBLE) AS s FROM es WHERE json_type(e) = 'OBJECT'),
+        p AS (SELECT q_id, c, arg_max(greatest(0e0, least(10e0, s)), k) AS s FROM sc WHERE c BETWEEN 1 AND 3 AND s IS NOT NULL AND NOT isnan(s) GROUP BY q_id, c)"""
+_FRESH = """fr AS (
+            SELECT coalesce(a.name, b.name) AS name, CASE WHEN a.name IS NULL THEN 'untracked' WHEN b.name IS NULL THEN 'missing' WHEN a.s <> b.s THEN 'changed' ELSE 'unchanged' END AS status
+            FROM (SELECT 'doc-' || doc_id AS name, sha256(coalesce(text, '')) AS s FROM documents) a
+            FULL JOIN (SELECT 'doc-' || doc_id AS name, sha256(regexp_replace(coalesce(text, ''), '[ \n]+', ' ', 'g')) AS s FROM documents WHERE n_chars >= 50
+                       UNION ALL SELECT 'page-' || page_id, sha256(coalesce(html, '')) FROM pages) b ON a.name = b.name)"""
 _OK = "d % 13 <> 0"
 _ANSWERED = f"{_OK} AND inside AND NOT refused"
 ORACLE_SQL = {
-    "cited_pages": "SELECT CAST(id AS BIGINT) AS id, cited FROM " + _values([(a[0], a[3]) for a in ANSWERS], "id, cited"),
-    "citation_check": "SELECT CAST(id AS BIGINT) AS id, citation_valid, round(CAST(p AS DOUBLE), 6) AS citation_precision FROM " + _values([(a[0], a[4], a[5]) for a in ANSWERS], "id, citation_valid, p"),
-    "answer_diagnosis": "SELECT CAST(id AS BIGINT) AS id, code FROM " + _values([(a[0], a[6]) for a in ANSWERS], "id, code"),
-    "strip_sources": "SELECT CAST(id AS BIGINT) AS id, answer FROM " + _values([(a[0], a[2]) for a in SOURCED], "id, answer"),
-    "refusal_detect": f"SELECT id, coalesce({_REFUSED}, false) AS refused FROM (SELECT conv_id * 1000 + turn AS id, text AS answer FROM conversations UNION ALL SELECT -id, answer FROM {_values([(a[0], a[1]) for a in ANSWERS], 'id, answer')})",
+    "cited_pages": f"WITH {_ANSWERS} SELECT doc_id, form, array_to_string({_CITED}, ',') AS cited FROM an",
+    "citation_check": f"""WITH {_ANSWERS}, c AS (SELECT doc_id, form, ctx, {_CITED} AS cites FROM an), k AS (SELECT *, list_filter(cites, lambda p: NOT list_contains(ctx, p)) AS bad FROM c)
+        SELECT doc_id, form, len(cites) > 0 AS has_citation, array_to_string(bad, ',') AS invalid_pages, len(cites) > 0 AND len(bad) = 0 AS citation_valid, round(CASE WHEN len(cites) > 0 THEN (len(cites) - len(bad)) / len(cites)::DOUBLE ELSE 0e0 END, 6) AS citation_precision FROM k""",
+    "answer_diagnosis": f"""WITH {_ANSWERS}
+        SELECT doc_id, form, CASE WHEN {duck.strip("answer")} = '' THEN 'empty_response' {_CODES} WHEN {_ERROR} THEN 'provider_error' WHEN NOT regexp_matches(answer, '{_PAGE}') THEN 'missing_page_citation'
+               WHEN len(list_filter({_CITED}, lambda p: NOT list_contains(ctx, p))) > 0 THEN 'citation_outside_context' ELSE '' END AS code, {duck.strip("answer")} <> '' AND NOT ({_ERROR}) AND regexp_matches(answer, '{_PAGE}') AS is_safe FROM an""",
+    "strip_sources": f"""WITH {_ANSWERS} SELECT doc_id, form, {duck.strip("regexp_replace(array_to_string(list_filter(string_split(answer, chr(10)), lambda x: NOT (contains(lower(x), 'sumber:') AND contains(lower(x), 'halaman'))), chr(10)), '\\n{3,}', chr(10) || chr(10), 'g')")} AS answer FROM an""",
+    "refusal_detect": f"WITH {_ANSWERS} SELECT id, coalesce({_REFUSED}, false) AS refused FROM (SELECT conv_id * 1000 + turn AS id, text AS answer FROM conversations UNION ALL SELECT -1 - doc_id * {len(FORMS)} - form, answer FROM an)",
+    "conversation_answers": f"""WITH t AS (
+            SELECT conv_id, turn, role, text AS answer, coalesce(list(CAST(turn AS INT)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING), []) AS ctx FROM conversations),
+        c AS (SELECT *, {_CITED} AS cites, TRY_CAST(nullif(regexp_extract(coalesce(answer, ''), '\\[.*\\]', 0, 's'), '') AS JSON) AS j FROM t WHERE role = 'assistant'),
+        k AS (SELECT *, list_filter(cites, lambda p: NOT list_contains(ctx, p)) AS bad,
+                     list_filter(json_extract(j, '$[*]'), lambda e: json_type(e) = 'OBJECT' AND TRY_CAST(e ->> '$.id' AS BIGINT) BETWEEN 1 AND 20 AND NOT isnan(coalesce(TRY_CAST(e ->> '$.score' AS DOUBLE), 'nan'::DOUBLE))) AS es FROM c)
+        SELECT conv_id, turn, array_to_string(cites, ',') AS cited, len(cites) > 0 AND len(bad) = 0 AS citation_valid, round(CASE WHEN len(cites) > 0 THEN (len(cites) - len(bad)) / len(cites)::DOUBLE ELSE 0e0 END, 6) AS citation_precision,
+               CASE WHEN {duck.strip("coalesce(answer, '')")} = '' THEN 'empty_response' {_CODES} WHEN {_ERROR} THEN 'provider_error' WHEN NOT regexp_matches(answer, '{_PAGE}') THEN 'missing_page_citation' WHEN len(bad) > 0 THEN 'citation_outside_context' ELSE '' END AS code,
+               {duck.strip("regexp_replace(array_to_string(list_filter(string_split(answer, chr(10)), lambda x: NOT (contains(lower(x), 'sumber:') AND contains(lower(x), 'halaman'))), chr(10)), '\\n{3,}', chr(10) || chr(10), 'g')")} AS answer,
+               CAST(coalesce(len(list_distinct(list_transform(es, lambda e: TRY_CAST(e ->> '$.id' AS BIGINT)))), 0) AS BIGINT) AS n_scores FROM k""",
     "rewrite_needed": f"""SELECT id, coalesce({NEEDS_REWRITE}, false) AS needs_rewrite FROM (
         SELECT conv_id * 1000 + turn AS id, role, text AS q, coalesce(bool_or(role = 'assistant') OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS h FROM conversations
         UNION ALL SELECT -id, 'user', q, h FROM {_values([t[:3] for t in TALK], "id, q, h")}) WHERE role = 'user'""",
     "history_window": """SELECT conv_id, turn, count(*) OVER w AS n_history, coalesce(first_value(turn) OVER w, -1) AS first_turn,
         coalesce(bool_or(role = 'assistant') OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS has_assistant
         FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING)""",
-    "rerank_parse": "SELECT CAST(q AS BIGINT) AS q_id, CAST(c AS BIGINT) AS candidate, CAST(s AS DOUBLE) AS score FROM " + _values(PARSED, "q, c, s"),
-    "rerank_apply": f"""WITH p AS (SELECT * FROM {_values(PARSED, "q, c, s")}),
-        c AS (SELECT q, r FROM range(1, 8) a(q), range(1, 4) b(r) WHERE q <> 5 OR r = 1),
-        j AS (SELECT c.q, c.r, c.q = 5 OR EXISTS (SELECT 1 FROM p WHERE p.q = c.q) AS ok, p.s FROM c LEFT JOIN p ON p.q = c.q AND p.c = c.r),
-        k AS (SELECT q, r, ok, CASE WHEN q <> 5 AND ok THEN coalesce(CAST(s AS DOUBLE), 0e0) END AS s FROM j),
-        g AS (SELECT q, CASE WHEN bool_and(ok) AND count(*) > 1 THEN bool_or(coalesce(s, 0) >= 4) END AS pass FROM k GROUP BY q)
-        SELECT k.q AS q_id, 10 * k.q + r AS doc_id, s AS rerank_score, ok AS rerank_ok, row_number() OVER (PARTITION BY k.q ORDER BY s DESC NULLS LAST, r) AS rerank_rank, pass AS rerank_pass FROM k JOIN g ON g.q = k.q""",
-    "source_cards": """WITH c AS (SELECT item_id AS q_id, doc_id AS rk, source, doc_id % 7 AS pg, lang, n_chars / 1e3 AS score FROM benchmark JOIN documents ON doc_id % 40 = item_id % 40),
-        g AS (SELECT q_id, source, list_sort(list(DISTINCT pg)) AS pages, arg_max(lang, struct_pack(s := score, r := -rk)) AS section_title, max(score) AS score, min(rk) AS seen FROM c GROUP BY ALL)
-        SELECT q_id, row_number() OVER (PARTITION BY q_id ORDER BY seen) AS card_no, source AS source_document, array_to_string(pages, ',') AS pages, section_title, round(score, 4) AS score FROM g""",
+    "rerank_parse": f"WITH {_PARSED} SELECT q_id, c AS candidate, s AS score FROM p",
+    "rerank_apply": f"""WITH {_PARSED},
+        c AS (SELECT q_id, n, unnest(range(1, n + 1)) AS r FROM rp),
+        j AS (SELECT c.q_id, c.n, r, c.n = 1 OR EXISTS (SELECT 1 FROM p WHERE p.q_id = c.q_id AND p.c <= c.n) AS ok, s FROM c LEFT JOIN p ON p.q_id = c.q_id AND p.c = c.r),
+        k AS (SELECT q_id, r, ok, CASE WHEN n > 1 AND ok THEN coalesce(s, 0e0) END AS s FROM j),
+        g AS (SELECT q_id, CASE WHEN bool_and(ok) AND count(*) > 1 THEN bool_or(coalesce(s, 0) >= 4) END AS pass FROM k GROUP BY q_id)
+        SELECT k.q_id, 10 * k.q_id + r AS doc_id, s AS rerank_score, ok AS rerank_ok, row_number() OVER (PARTITION BY k.q_id ORDER BY s DESC NULLS LAST, r) AS rerank_rank, pass AS rerank_pass FROM k JOIN g ON g.q_id = k.q_id""",
     "retrieved_source_cards": f"""WITH {duck.bm25()},
         top AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rk FROM hits),
         pg AS (SELECT doc_id, source, lang, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS pg FROM documents),
@@ -252,9 +271,8 @@ ORACLE_SQL = {
         round(coalesce(avg((d % 8) / 8e0) FILTER ({_ANSWERED} AND d % 8 <> 0), 0e0), 6) AS avg_citation_precision, round(avg(latency), 6) AS avg_latency_ms, {_share("d % 11 >= 7", _ANSWERED + " AND d % 9 <> 0")} AS groundedness_rate,
         {_share("d % 8 <> 0", _ANSWERED)} AS citation_presence, {_share("d % 8 > 2", _ANSWERED)} AS citation_validity, {_share("d % 3 = 1", _ANSWERED)} AS cites_expected_page, {_share("refused", _OK + " AND NOT inside")} AS refusal_accuracy_e2e, {_share("refused", _OK + " AND inside")} AS false_refusal_e2e
         FROM r GROUP BY preset""",
-    "index_freshness": f"""SELECT coalesce(a.name, b.name) AS name, CASE WHEN a.name IS NULL THEN 'untracked' WHEN b.name IS NULL THEN 'missing' WHEN a.s <> b.s THEN 'changed' ELSE 'unchanged' END AS status
-        FROM (SELECT * FROM {_values(INDEXED, "name, s")}) a FULL JOIN (SELECT * FROM {_values(PRESENT, "name, s")}) b ON a.name = b.name""",
-    "index_stale": "SELECT CAST(1 AS BIGINT) AS n_changed, CAST(1 AS BIGINT) AS n_missing, CAST(1 AS BIGINT) AS n_untracked, true AS is_stale",
+    "index_freshness": f"WITH {_FRESH} SELECT name, status FROM fr",
+    "index_stale": f"WITH {_FRESH} SELECT count(*) FILTER (status = 'changed') AS n_changed, count(*) FILTER (status = 'missing') AS n_missing, count(*) FILTER (status = 'untracked') AS n_untracked, count(*) FILTER (status IN ('changed', 'untracked')) > 0 AS is_stale FROM fr",
     "rate_limit": f"""WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) / 1e6 AS now, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
         s AS (
             SELECT user_id, event_id, k, now AS start, CAST(1 AS BIGINT) AS used, true AS allowed, CAST(0 AS BIGINT) AS retry_after FROM e WHERE k = 1

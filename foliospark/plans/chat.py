@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 
 from ..functions.constants import JUDGE_CONTEXT
-from ..operators import answers, evaluate, pipeline
+from ..operators import answers, evaluate, fusion, pipeline
 from ..sources import providers
 from ..storage import once, written
 from ..streaming import limiter
@@ -114,6 +114,12 @@ def cited_source_cards(spark, sf):
     return cards.select("q_id", "card_no", "source_document", _text(F.col("pages")).alias("pages"), "section_title", "score")
 
 
+def source_cards(spark, sf):
+    """Cards of all contexts, before any answer."""
+    rows = outcome(spark, sf).contexts.withColumn("score", fusion.display_score(F.col("rerank_score"), F.col("dense_score")))
+    return answers.source_cards(rows).select("q_id", "card_no", "source_document", _text(F.col("pages")).alias("pages"), "section_title", "score")
+
+
 def chat_turns(spark, sf):
     """Every user turn, under a limit of questions a conversation."""
     asked = _asked(spark, sf).filter(F.col("q_id") >= TALK)
@@ -170,7 +176,7 @@ def evaluate_answers(spark, sf):
     return _rounded(evaluate.answer_metrics(rows).drop("avg_latency_ms"))
 
 
-QUERIES = {f.__name__: f for f in (rewritten_queries, retrieve, final_contexts, debug_candidates, generated_answers, guarded_answers, cited_source_cards, chat_turns, score_questions, evaluate_presets, preset_comparison, score_answers, evaluate_answers)}
+QUERIES = {f.__name__: f for f in (rewritten_queries, retrieve, final_contexts, debug_candidates, generated_answers, guarded_answers, source_cards, cited_source_cards, chat_turns, score_questions, evaluate_presets, preset_comparison, score_answers, evaluate_answers)}
 
 # ---- The same rules in SQL --------------------------------------------------
 
@@ -319,6 +325,9 @@ ORACLE_SQL = {
         FROM cand c LEFT JOIN rr r ON r.q_id = c.q_id AND r.doc_id = c.doc_id LEFT JOIN ctx x ON x.q_id = c.q_id AND x.doc_id = c.doc_id""",
     "generated_answers": f"WITH {_GENERATED} SELECT q_id, refused, coalesce(answer, '') AS answer, error AS generation_error, {_JOINED.format('context_pages')} AS context_pages FROM ans",
     "guarded_answers": f"WITH {_GUARDED} SELECT q_id, diagnosis, display, {_JOINED.format('cites')} AS cited_pages FROM gd",
+    "source_cards": f"""WITH {_OUTCOME}
+        SELECT q_id, row_number() OVER (PARTITION BY q_id ORDER BY min(final_rank)) AS card_no, source AS source_document, array_to_string(list_sort(list(DISTINCT page)), ',') AS pages,
+               arg_max(lang, struct_pack(s := coalesce(rs / 10, dense_score), r := -final_rank)) AS section_title, round(max(coalesce(rs / 10, dense_score)), 4) AS score FROM ctx GROUP BY q_id, source""",
     "cited_source_cards": f"WITH {_GUARDED} SELECT q_id, card_no, source AS source_document, {_JOINED.format('pages')} AS pages, section_title, score FROM card",
     "chat_turns": f"""WITH {_GUARDED},
         nc AS (SELECT q_id, count(*) AS n FROM card GROUP BY q_id),

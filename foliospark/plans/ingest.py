@@ -2,12 +2,14 @@
 
 The documents table stands in for page text: a source is a document and its
 rows, in id order, are the pages.  ``page_number_lines``, ``glyph_lines`` and
-``heading_detection`` show their rules on literal fixtures, as their oracles do;
-the ``document_`` queries run the same rules over every line of the table.
+``heading_detection`` put every line into all forms that their rules know; the
+``document_`` queries run the same rules over the lines as they are.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
@@ -15,14 +17,18 @@ from ..functions import constants as C
 from ..operators import chunks, lines
 from ..storage import once, written
 
-FIXTURE_LINES = (
-    "12", "Halaman 7", "hal. 3", "- 14 -", "xiv", "civil", "Halaman depan", "2024 10", "(cid:12)(cid:7)", "see (cid:3) here", "BAB IV KURIKULUM", "Bagian 2 Umum", "LAMPIRAN A", "Pasal 12 Masa studi",
-    "3.2 Beban belajar", "3.2.1 Rincian", "A. Ketentuan", "a. ketentuan", "SISTEM PENILAIAN", "XYZQ).", "NO. NAMA MATERI", "JUDUL TERPOTONG /", "KODE 12 ANGKA", "AB", "PENDAHULUAN (UMUM)", "Kalimat biasa saja.",
-)
+# Lines made of a line's begin, its page and its number, in every form that the rules know.
+NUMBERED = ("{page}", "Halaman {page}", "hal. {no}", "- {page} -", "{roman}", "{roman}ab", "{begin} {page}", "(cid:{page}){begin}", "Halaman {begin}", "{begin}")
+HEADED = ("BAB {page} {begin}", "Bagian {page} {begin}", "LAMPIRAN {begin}", "Pasal {page} {begin}", "{page}.{no} {begin}", "{page}.{no}.1 {begin}", "A. {caps}", "a. {begin}", "{caps}", "NO. {caps}", "{caps} /", "KODE {page} {caps}", "({caps}", "{begin}")
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
 
 
-def _fixture(spark: SparkSession):
-    return spark.createDataFrame(list(enumerate(FIXTURE_LINES)), "n long, line string")
+def _forms(spark, sf, forms):
+    """Every line of the table in each of ``forms``."""
+    begin = F.substring("line", 1, 40)
+    parts = {"page": F.col("page").cast("string"), "no": F.col("line_no").cast("string"), "begin": begin, "caps": F.translate(begin, LETTERS, LETTERS.upper()), "roman": F.substring(F.lit("mdclxvi"), F.lit(1), F.pmod("page", F.lit(7)).cast("int") + 1)}
+    made = lambda form: F.concat(*[parts[x[1:-1]] if x.startswith("{") else F.lit(x) for x in re.split(r"(\{\w+\})", form) if x])
+    return _lines(spark, sf).select("source_document", "page", "line_no", F.posexplode(F.array(*map(made, forms))).alias("form", "line")).withColumn("form", F.col("form").cast("long"))
 
 
 def _lines(spark, sf):
@@ -39,11 +45,11 @@ def short_lines(spark, sf):
 
 
 def page_number_lines(spark, sf):
-    return _fixture(spark).select("n", "line", lines.is_page_number(F.col("line")).alias("is_page_number"))
+    return _forms(spark, sf, NUMBERED).select("source_document", "page", "line_no", "form", lines.is_page_number(F.col("line")).alias("is_page_number"))
 
 
 def glyph_lines(spark, sf):
-    return _fixture(spark).select("n", F.col("line").rlike(lines.GLYPH).alias("is_glyph"))
+    return _forms(spark, sf, NUMBERED).select("source_document", "page", "line_no", "form", F.col("line").rlike(lines.GLYPH).alias("is_glyph"))
 
 
 def gibberish_lines(spark, sf):
@@ -73,7 +79,7 @@ def short_line_limit(spark, sf):
 
 def heading_detection(spark, sf):
     level, structural = chunks.heading(F.col("line"))
-    return _fixture(spark).select("n", "line", level.cast("long").alias("level"), structural.alias("structural"))
+    return _forms(spark, sf, HEADED).select("source_document", "page", "line_no", "form", level.cast("long").alias("level"), structural.alias("structural"))
 
 
 def document_page_numbers(spark, sf):
@@ -151,7 +157,13 @@ _LINES = rf"""pg AS (SELECT source AS source_document, row_number() OVER (PARTIT
         parts AS (SELECT source_document, page, string_split(text, chr(10)) AS p FROM pg),
         raw AS (SELECT source_document, page, unnest(p) AS r, unnest(range(len(p))) AS line_no FROM parts),
         li AS (SELECT source_document, page, line_no, regexp_replace(r, '^{_SPACE}+|{_SPACE}+$', '', 'g') AS line FROM raw WHERE regexp_replace(r, '^{_SPACE}+|{_SPACE}+$', '', 'g') <> '')"""
-_VALUES = "fx AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{x}')" for i, x in enumerate(FIXTURE_LINES)) + ") t(n, line))"
+_PARTS = {"page": "CAST(page AS VARCHAR)", "no": "CAST(line_no AS VARCHAR)", "begin": "left(line, 40)", "caps": f"translate(left(line, 40), '{LETTERS}', '{LETTERS.upper()}')", "roman": "left('mdclxvi', page % 7 + 1)"}
+
+
+def _fx(forms) -> str:
+    """A CTE ``fx`` of every line in each form."""
+    made = lambda form: " || ".join(_PARTS[x[1:-1]] if x.startswith("{") else f"'{x}'" for x in re.split(r"(\{\w+\})", form) if x)
+    return "fx AS (" + " UNION ALL ".join(f"SELECT source_document, page, line_no, CAST({i} AS BIGINT) AS form, {made(f)} AS line FROM li" for i, f in enumerate(forms)) + ")"
 
 
 def _run(word: str) -> str:
@@ -189,19 +201,14 @@ _FITS = f"length(line) BETWEEN 3 AND {C.HEADING_LENGTH}"
 ORACLE_SQL = {
     "line_explode": f"WITH {_LINES} SELECT source_document, page, count(*) AS n_lines, CAST(sum(length(line)) AS BIGINT) AS n_chars FROM li GROUP BY ALL",
     "short_lines": f"WITH {_LINES} SELECT source_document, page, line_no, line, {_ALNUM} AS n_alnum FROM li WHERE {_ALNUM} < {C.MIN_ALNUM}",
-    "page_number_lines": f"WITH {_VALUES} SELECT CAST(n AS BIGINT) AS n, line, {_PAGE_NUMBER} AS is_page_number FROM fx",
-    "glyph_lines": rf"WITH {_VALUES} SELECT CAST(n AS BIGINT) AS n, regexp_matches(line, '\(cid:\d+\)') AS is_glyph FROM fx",
+    "page_number_lines": f"WITH {_LINES}, {_fx(NUMBERED)} SELECT source_document, page, line_no, form, {_PAGE_NUMBER} AS is_page_number FROM fx",
+    "glyph_lines": rf"WITH {_LINES}, {_fx(NUMBERED)} SELECT source_document, page, line_no, form, regexp_matches(line, '\(cid:\d+\)') AS is_glyph FROM fx",
     "gibberish_lines": f"WITH {_LINES} SELECT source_document, page, line_no, line FROM li WHERE {_GIBBERISH}",
     "header_footer_templates": f"WITH {_LINES}, {_TEMPLATES} SELECT source_document, template, n FROM tp",
     "line_filter_report": f"WITH {_LINES}, {_REASONS} SELECT source_document, coalesce(drop_reason, 'kept') AS reason, count(*) AS n_lines FROM dr GROUP BY ALL",
     "noisy_pages": f"WITH {_LINES}, {_REASONS} SELECT source_document, page, count(*) AS n_lines, count(drop_reason) AS n_dropped FROM dr GROUP BY ALL HAVING count(*) >= {C.NOISY_LINES} AND count(drop_reason) >= {C.NOISY_SHARE} * count(*)",
     "clean_pages": f"WITH {_LINES}, {_REASONS} SELECT source_document, page, length(string_agg(norm, chr(10) ORDER BY line_no)) AS n_chars, md5(string_agg(norm, chr(10) ORDER BY line_no)) AS digest FROM dr WHERE drop_reason IS NULL GROUP BY ALL",
     "short_line_limit": f"WITH {_LINES} SELECT source_document, round(coalesce(median(CASE WHEN length(line) > {C.SHORT_LINE_OVER} THEN length(line) END) * 6e-1, 40e0), 6) AS short_limit FROM li GROUP BY ALL",
-    "heading_detection": rf"""WITH {_VALUES} SELECT CAST(n AS BIGINT) AS n, line,
-        CAST(CASE WHEN NOT ({_FITS}) THEN NULL WHEN regexp_matches(line, '^(?:BAB|Bab|BAGIAN|Bagian)\s+[IVXLCDM\d]+\b') OR regexp_matches(line, '^(?:LAMPIRAN|Lampiran)\b') THEN 0
-             WHEN regexp_matches(line, '^(?:PASAL|Pasal)\s+\d+\b') THEN 1 WHEN regexp_matches(line, '^\d+\.\d+(?:\.\d+)?\s+\S') OR regexp_matches(line, '^[A-Z]\.\s+[A-Z]') THEN 2 WHEN {_CAPS} THEN 0 END AS BIGINT) AS level,
-        CASE WHEN NOT ({_FITS}) THEN NULL WHEN regexp_matches(line, '^(?:BAB|Bab|BAGIAN|Bagian)\s+[IVXLCDM\d]+\b') OR regexp_matches(line, '^(?:LAMPIRAN|Lampiran)\b') THEN true
-             WHEN regexp_matches(line, '^(?:PASAL|Pasal)\s+\d+\b') OR regexp_matches(line, '^\d+\.\d+(?:\.\d+)?\s+\S') OR regexp_matches(line, '^[A-Z]\.\s+[A-Z]') OR ({_CAPS}) THEN false END AS structural FROM fx""",
     "paragraph_blocks": rf"""WITH {_LINES},
         sl AS (SELECT source_document, coalesce(median(CASE WHEN length(line) > {C.SHORT_LINE_OVER} THEN length(line) END) * 6e-1, 40e0) AS lim FROM li GROUP BY ALL),
         pv AS (SELECT li.*, lim, lag(line) OVER (PARTITION BY li.source_document ORDER BY page, line_no) AS prev FROM li JOIN sl USING (source_document)),
@@ -293,12 +300,6 @@ _LABEL = "CASE WHEN len(pages) = 0 THEN '-' WHEN list_min(pages) = list_max(page
 _PATH = "CASE WHEN len(path) > 0 THEN array_to_string(path, ' > ') || {} || text ELSE text END"
 
 
-def _over_lines(name: str, where: str) -> str:
-    """The fixture's rule over every line of the table, where it applies."""
-    rule = ORACLE_SQL[name].replace(_VALUES, _LINES).replace("CAST(n AS BIGINT) AS n", "source_document, page, line_no").removesuffix("fx") + "li"
-    return f"SELECT * FROM ({rule}) WHERE {where}"
-
-
 ORACLE_SQL |= {
     "chunk_documents": f"""{_CHUNKS} SELECT chunk_index, source_document, {_LABEL} AS page_label, list_min(pages) AS page_start, list_max(pages) AS page_end, char_count, char_count // 4 AS estimated_tokens, array_to_string(pages, ',') AS pages, section_title,
         array_to_string(path, ' › ') AS heading_path_label, regexp_replace(source_document, '\\.[^.]*$', '') AS document_label, md5(text) AS digest, md5({_PATH.format("chr(10) || chr(10)")}) AS embed_digest, md5({_PATH.format("chr(10)")}) AS index_digest FROM ch""",
@@ -312,5 +313,6 @@ ORACLE_SQL |= {
     "explorer_search": f"{_CHUNKS} SELECT chunk_index, source_document, {_LABEL} AS page_label FROM ch WHERE contains(lower(text || ' ' || section_title), 'a.') ORDER BY chunk_index LIMIT 50",
     "document_page_numbers": f"WITH {_LINES} SELECT source_document, page, line_no, line FROM li WHERE {_PAGE_NUMBER}",
     "document_glyph_lines": rf"WITH {_LINES} SELECT source_document, page, line_no, line FROM li WHERE regexp_matches(line, '\(cid:\d+\)')",
-    "document_headings": _over_lines("heading_detection", "level IS NOT NULL"),
+    "heading_detection": f"WITH {_LINES}, {_fx(HEADED)} SELECT source_document, page, line_no, form, CAST({_LEVEL} AS BIGINT) AS level, CASE WHEN ({_LEVEL}) IS NOT NULL THEN {_STRUCTURAL} END AS structural FROM fx",
+    "document_headings": f"WITH {_LINES} SELECT * FROM (SELECT source_document, page, line_no, line, CAST({_LEVEL} AS BIGINT) AS level, {_STRUCTURAL} AS structural FROM li) WHERE level IS NOT NULL",
 }

@@ -1,7 +1,6 @@
-"""Queries that run the rules of the fixtures over whole tables."""
+"""Queries that run the line and answer rules over whole tables."""
 
 from foliospark.plans import QUERIES
-from foliospark.plans.ingest import FIXTURE_LINES
 
 
 def docs(spark, tmp_path, texts):
@@ -10,14 +9,19 @@ def docs(spark, tmp_path, texts):
     return str(tmp_path)
 
 
+PAGE_NUMBERS = ("31", "Halaman 2", "hal. 9", "- 60 -", "xvii", "mild")
+GLYPHS = ("(cid:8)(cid:1)", "lihat (cid:5) itu")
+HEADINGS = {"BAB II PERALATAN": (0, True), "Bagian 6 Gudang": (0, True), "LAMPIRAN C": (0, True), "Pasal 3 Jam buka": (1, False), "5.1 Alur kerja": (2, False), "5.1.4 Rinci": (2, False), "D. Aturan": (2, False), "TATA TERTIB": (0, False), "RUANG (BARAT)": (0, False)}
+PLAIN = ("Halaman muka", "1998 07", "d. aturan", "QWZR).", "NO. NAMA ALAT", "TERPOTONG /", "RUANG 7 TIMUR", "QA", "Baris biasa saja.")
+
+
 def test_line_rules_over_documents(spark, tmp_path):
-    sf = docs(spark, tmp_path, ["\n".join(FIXTURE_LINES), "isi biasa", "BAB V PENUTUP\nisi"])
-    found = QUERIES["document_headings"](spark, sf).collect()
-    want = {(1, r["n"], r["level"], r["structural"]) for r in QUERIES["heading_detection"](spark, sf).collect() if r["level"] is not None}
-    assert {(r["page"], r["line_no"], r["level"], r["structural"]) for r in found} == want | {(3, 0, 0, True)}
-    for whole, fixture, flag in (("document_page_numbers", "page_number_lines", "is_page_number"), ("document_glyph_lines", "glyph_lines", "is_glyph")):
-        want = {r["n"] for r in QUERIES[fixture](spark, sf).collect() if r[flag]}
-        assert {r["line_no"] for r in QUERIES[whole](spark, sf).collect()} == want and want
+    every = [*PAGE_NUMBERS, *GLYPHS, *HEADINGS, *PLAIN]
+    sf = docs(spark, tmp_path, ["\n".join(every), "isi biasa", "BAB V PENUTUP\nisi"])
+    found = {(r["page"], r["line"]): (r["level"], r["structural"]) for r in QUERIES["document_headings"](spark, sf).collect()}
+    assert found == {(1, line): v for line, v in HEADINGS.items()} | {(3, "BAB V PENUTUP"): (0, True)}
+    assert {r["line"] for r in QUERIES["document_page_numbers"](spark, sf).collect()} == set(PAGE_NUMBERS)
+    assert {r["line"] for r in QUERIES["document_glyph_lines"](spark, sf).collect()} == set(GLYPHS)
 
 
 def test_answer_rules_over_conversations(spark, tmp_path):
