@@ -18,6 +18,10 @@ import re
 import sys
 from array import array
 
+import numpy as np
+
+from .common import slices
+
 # Characters on which lower-casing, NFC and the character classes of Python
 # and of the library agree: ASCII with ordinary white space, and Latin letters
 # with diacritics except the dotted capital I.
@@ -25,6 +29,8 @@ _OTHER = re.compile(r"[^\t\n\v\f\r\x20-\x7eÀ-įı-ſ]+")
 _PRETOKENS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 _WORKER: dict = {}
 LONGEST = 64
+CHUNK = 1_000
+SLICE = 1 << 19
 
 
 def plain(text: str) -> bool:
@@ -51,7 +57,7 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path)
         self.counts, self.known, self.cap = counts, known or {}, cap
-        self.words, self.pieces = {}, {}
+        self.words, self.pieces = {}, dict(self.known)
         self.old_words, self.old_pieces = {}, {}
 
     @classmethod
@@ -70,47 +76,67 @@ class Encoder:
             packed.byteswap()
         return packed.tobytes()
 
-    def _learn(self, missing: list[str]) -> dict:
+    def _library(self, new: list[str]) -> list:
+        """Values of pre-tokens, a thousand of which are encoded as one text: white space keeps them apart."""
+        out = []
+        for at in range(0, len(new), CHUNK):
+            part = new[at : at + CHUNK]
+            e = self.library.encode(" ".join(part), add_special_tokens=False)
+            word = np.array(e.word_ids, np.int64)
+            ends = np.flatnonzero(np.append(word[1:] != word[:-1], True)) + 1
+            if len(word) and len(ends) == len(part):
+                starts = np.append(0, ends[:-1])
+                if self.counts:
+                    out += (ends - starts).tolist()
+                else:
+                    packed = np.array(e.ids, "<u4").tobytes()
+                    out += [packed[a:b] for a, b in zip((4 * starts).tolist(), (4 * ends).tolist())]
+            else:
+                out += [self._value(e.ids) for e in self.library.encode_batch_fast(part, add_special_tokens=False)]
+        return out
+
+    def _learn(self, missing: set[str]) -> dict:
         """Values of ``missing`` words; those worth keeping are cached."""
-        known, pieces, old = self.known, self.pieces, self.old_pieces
+        pieces, old = self.pieces, self.old_pieces
         split = [(w, (w,) if w.isalpha() else _PRETOKENS.findall(w)) for w in missing]
-        values, new = {}, []
-        for p in {p for _, ps in split for p in ps}:
-            if p in known:
-                values[p] = known[p]
-            elif p in pieces:
-                values[p] = pieces[p]
-            elif p in old:
-                values[p] = pieces[p] = old[p]
-            else:
-                new.append(p)
-        if new:
-            for p, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False)):
-                values[p] = self._value(e.ids)
-                if len(p) <= LONGEST:
-                    pieces[p] = values[p]
+        need = {p for _, ps in split for p in ps}
+        if old:
+            pieces.update((p, old[p]) for p in need if p not in pieces and p in old)
+        new = [p for p in need if p not in pieces]
+        values = dict(zip(new, self._library(new)))
+        long = {p: v for p, v in values.items() if len(p) > LONGEST}
+        pieces.update((p, v) for p, v in values.items() if p not in long) if long else pieces.update(values)
+        at = (lambda p: long[p] if p in long else pieces[p]) if long else pieces.__getitem__
         join = sum if self.counts else b"".join
-        found = {w: values[ps[0]] if len(ps) == 1 else join([values[p] for p in ps]) for w, ps in split}
+        found = {w: at(ps[0]) if len(ps) == 1 else join(map(at, ps)) for w, ps in split}
         self.words.update((w, v) for w, v in found.items() if len(w) <= LONGEST)
         return found
 
     def encode(self, texts: list[str | None]) -> list:
-        """One value for each text; ``None`` counts as the empty text."""
+        """One value for each text; ``None`` counts as the empty text.
+
+        Texts of about ``SLICE`` characters at a time are quickest: the words
+        just split are still at hand when they are looked up.
+        """
+        out: list = []
+        for i, j in slices(texts, SLICE):
+            out += self._encode(texts[i:j])
+        return out
+
+    def _encode(self, texts: list[str | None]) -> list:
         if len(self.words) >= self.cap:
             self.old_words, self.words = self.words, {}
-        if len(self.pieces) >= self.cap:
-            self.old_pieces, self.pieces = self.pieces, {}
+        if len(self.pieces) >= self.cap + len(self.known):
+            self.old_pieces, self.pieces = self.pieces, dict(self.known)
         split = [(t or "").lower().split() if not t or plain(t) else None for t in texts]
-        words, old = self.words, self.old_words
-        missing = []
-        for w in set().union(*(s for s in split if s)):
-            if w not in words:
-                if w in old:
-                    words[w] = old[w]
-                else:
-                    missing.append(w)
-        learned = self._learn(missing)
-        long = {w: v for w, v in learned.items() if len(w) > LONGEST}
+        words = self.words
+        missing, found = set().union(*(s for s in split if s)).difference(words), {}
+        if missing:
+            if self.old_words:
+                found = {w: self.old_words[w] for w in missing if w in self.old_words}
+                words.update(found)
+            found = self._learn(missing.difference(found))
+        long = {w: v for w, v in found.items() if len(w) > LONGEST}
         get, join = words.__getitem__, sum if self.counts else b"".join
         if long:
             get = lambda w: words[w] if w in words else long[w]
