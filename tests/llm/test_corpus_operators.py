@@ -60,17 +60,36 @@ def test_media_round_trip(spark):
     texts = ODD + [shared + f" tail {i}" for i in range(6)] + [f"head {i} " + shared for i in range(6)] + [" ".join(words(rng, 2000)) for _ in range(8)]
     got = {r["doc_id"]: r for r in media.media_features(frame(spark, texts)).collect()}
     assert len(got) == len(texts)
+    # Brute force: a chunk is in the store if it occurs more than once in the corpus, in one payload or several.
+    every = [d for t in texts for d, _ in media.chunks(media.payload(t)[0])]
+    often = {d for d in every if every.count(d) > 1}
     for i, t in enumerate(texts):
         raw = (t or "").encode()
         data = raw + b"\xff" * ((-len(raw) % 576) or (0 if raw else 576))
         r = got[i]
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-32:]))
-        stored = media.store(media.chunks(data))
+        parts = media.chunks(data)
+        stored = media.store(parts, [d in often for d, _ in parts])
         assert (r["media_bytes"], r["media_sha256"]) == (len(stored), hashlib.sha256(stored).hexdigest())
-    assert got[6]["feature"] == got[7]["feature"]
+    assert got[6]["feature"] == got[7]["feature"] and got[6]["media_bytes"] < 2000 < got[6]["payload_bytes"]
     assert media.media_features(frame(spark, texts).limit(0)).count() == 0
 
 
+def test_stored_media(spark):
+    """What is stored shrinks with repeated payloads, and a lost or damaged chunk is an error."""
+    rng = random.Random(4)
+    text = " ".join(words(rng, 9000))
+    once, often = (media.store_payloads(frame(spark, [text + f" {i}" for i in range(n)])) for n in (1, 40))
+    size = lambda s: s[0].agg(F.sum(F.octet_length("container"))).first()[0] + (s[1].agg(F.sum(F.octet_length("chunk"))).first()[0] or 0)
+    assert size(often) < 40 * size(once) / 5 and often[1].count() > 5
+    assert media.read_payloads(*often).count() == 40
+    lost = often[1].orderBy("digest").first()["digest"]
+    with pytest.raises(Exception, match="is not in the store"):
+        media.read_payloads(often[0], often[1].filter(F.col("digest") != F.lit(lost))).collect()
+    with pytest.raises(Exception, match="does not match its digest"):
+        media.read_payloads(often[0], often[1].withColumn("chunk", F.when(F.col("digest") == F.lit(lost), F.expr("concat(X'00', substring(chunk, 2))")).otherwise(F.col("chunk")))).collect()
+
+
 def test_media_repeated_rows_and_null_ids(spark):
     got = media.media_features(frame(spark, ["same", "same", "same"], [None, 1, 1])).collect()
     assert len(got) == 3 and len({r["media_sha256"] for r in got}) == 1
@@ -160,7 +179,29 @@ def test_near_duplicates_of_nothing_and_nulls(spark):
     got = {(r["doc_id"], r["component_id"]) for r in simhash.near_duplicates(docs).collect()}
     assert got == {(None, 5), (5, 5), (None, None)}
     kept = simhash.keep_representatives(docs)
-    assert kept.columns == docs.columns and sorted(str(r["doc_id"]) for r in kept.collect()) == ["5", "None", "None"]
+    assert kept.columns == docs.columns and sorted(str(r["doc_id"]) for r in kept.collect()) == ["5", "None"]
+
+
+def test_representatives_are_rows_not_ids(spark):
+    """Repeated and null ids, equal rows and clashing column names: one row of each component, none lost."""
+    rng = random.Random(14)
+    a, b, c = (" ".join(words(rng, 60, 5000)) for _ in range(3))
+    rows = [(1, a), (1, b), (1, a), (None, b), (None, c), (None, c), (4, a)]
+    docs = spark.createDataFrame([(i, t, "x", "y") for i, t in rows], "doc_id long, text string, __key1 string, __kept string")
+    kept = simhash.keep_representatives(docs)
+    assert kept.columns == docs.columns and sorted(map(str, kept.select("doc_id", "text").collect())) == sorted(map(str, spark.createDataFrame([(1, a), (1, b), (None, c)], "doc_id long, text string").collect()))
+
+
+def test_removal_is_by_row(spark):
+    """A repeat leaves the rows that hold it, null ids included; other rows of the id stay whole."""
+    rng = random.Random(15)
+    p, own = " ".join(words(rng, 60, 5000)), " ".join(words(rng, 80, 5000))
+    docs = spark.createDataFrame([(2, p, "x"), (3, "head " + p, "x"), (3, own, "x"), (None, "tail\n" + p, "x"), (4, None, "x")], "doc_id long, text string, __spans string")
+    exact = queries.passages.repeated_passages(docs)
+    # As a whole line, the paragraph after "head" is a near copy; as a passage, only the copy goes.
+    for found, left in ((exact, "head"), (paragraphs.repeated_paragraphs(docs).select(exact.columns).unionByName(exact), "")):
+        got = {(r["doc_id"], r["text"]) for r in paragraphs.remove_repeats(docs, found).collect()}
+        assert {(d, (t or "").strip()) for d, t in got} == {(2, p), (3, left), (3, own), (None, "tail"), (4, "")}
 
 
 def test_components_of_chains_and_hubs(spark):
@@ -173,8 +214,15 @@ def test_components_of_chains_and_hubs(spark):
 # ---- paragraphs -------------------------------------------------------------
 
 
+def shingle_set(tokens):
+    """Five-word shingles as strings."""
+    return frozenset(" ".join(tokens[i : i + 5]) for i in range(max(1, len(tokens) - 4)))
+
+
 def brute_repeats(texts, min_words):
-    rows = [(d, n, frozenset(paragraphs.shingles(w).tolist())) for d, t in enumerate(texts) for n, (_, _, w) in enumerate(paragraphs.paragraphs_of(t, min_words))]
+    """Whole lines only: none of the texts here has a longer one."""
+    lines = [(d, [x.lower().split() for x in (t or "").split("\n")]) for d, t in enumerate(texts)]
+    rows = [(d, n, shingle_set(w)) for d, ls in lines for n, w in enumerate([w for w in ls if len(w) >= min_words])]
     pairs = [(i, j) for i, j in itertools.combinations(range(len(rows)), 2) if len(rows[i][2] & rows[j][2]) >= 0.8 * len(rows[i][2] | rows[j][2])]
     comp = brute_components(pairs, range(len(rows)))
     groups = {}
@@ -219,7 +267,10 @@ def test_local_links_of_variants():
         w = list(base)
         for k in range(rng.randrange(5)):
             w[rng.randrange(70)] = f"e{i}_{k}"
-        sets.append(paragraphs.shingles([x.encode() for x in w]))
+        sets.append(w)
+    texts = paragraphs.Stream([" ".join(w) for w in sets])
+    sets = paragraphs.shingle_lists(texts, *paragraphs.cut(texts))
+    assert [len(s) for s in sets] == [66] * 120
     keys = np.arange(500, 620)
     pairs = [(500 + i, 500 + j) for i, j in itertools.combinations(range(120), 2) if len(set(sets[i]) & set(sets[j])) >= 0.8 * len(set(sets[i]) | set(sets[j]))]
     want = brute_components(pairs, keys.tolist())
@@ -239,7 +290,13 @@ def test_tuned_bands_and_long_lines():
     rng = random.Random(8)
     shared = words(rng, 400, 5000)
     a, b = (" ".join(words(rng, n, 5000) + shared) for n in (33, 71))
-    cut = lambda t: {" ".join(map(bytes.decode, w)) for _, _, w in paragraphs.paragraphs_of(t)}
+
+    def cut(text):
+        words = paragraphs.Stream([text])
+        first, last = paragraphs.cut(words)
+        assert (last - first >= 50).all() and (last - first <= paragraphs.LONG_WORDS).all()
+        return {" ".join(text.split()[i:j]) for i, j in zip(first, last)}
+
     assert cut(a) & cut(b)
 
 
@@ -279,6 +336,21 @@ def test_attachments_in_frames(spark):
     assert r["formatted"] == "<|im_start|>user\n<|image_0|>hi<|im_end|>\n" and r["tokens"] == 512 and r["refs"] == ["a.png"]
 
 
+def test_parts_and_loss_spans_read_back_from_frames(spark):
+    """Every part comes back from the formatted turn and its attachments; the loss span is the content."""
+    rows = [
+        (1, 0, "user", [("text", "see <|image_0|> \\", None, None), ("image", None, "a.png", 2), ("audio", None, "b.wav", 1), ("image", None, "c.png", 1)]),
+        (1, 1, "assistant", [("text", "done <|im_end|>", None, None), ("document", None, "d.pdf", 3)]),
+        (None, 0, "ro\nle", []),
+    ]
+    df = spark.createDataFrame(rows, f"conv_id long, turn long, role string, parts array<struct<{chat.PART.replace(' ', ':').replace(',:', ', ')}>>").withColumn("text", F.lit(None).cast("string")).withColumn("attachments", F.lit("clash"))
+    turns = chat.format_turns(df, parts="parts")
+    back = {(r["conv_id"], r["turn"]): (r["role"], [tuple(p) for p in r["parts"]]) for r in chat.restore_parts(turns).collect()}
+    assert back == {(c, t): (role, parts) for c, t, role, parts in rows}
+    spans = {r["role"]: r["formatted"][r["loss_start"] : r["loss_end"]] if r["loss_start"] is not None else None for r in turns.collect()}
+    assert spans == {"user": None, "assistant": chat.escape("done <|im_end|>") + "<|document_0|>", "ro\nle": None}
+
+
 # ---- WARC -------------------------------------------------------------------
 
 
@@ -302,10 +374,25 @@ def test_audit_finds_exactly_the_damage(spark):
 def test_audit_of_lost_and_empty_replicas(spark):
     pages = spark.createDataFrame([(i, "u", "h") for i in range(50)], "page_id long, url string, html string")
     lost = warc.audit(pages, pages.filter("page_id <> 20"), file_records=64).collect()
-    assert {r["page_id"] for r in lost if r["corrupt"]} == set(range(20, 50))
+    assert {r["page_id"] for r in lost if r["corrupt"]} == {20}
     assert all(r["corrupt"] for r in warc.audit(pages, pages.limit(0)).collect()) and warc.audit(pages.limit(0), pages).count() == 0
 
 
+def test_damage_at_rest(spark):
+    """Bytes overwritten in a stored replica: the record is found by its place, and only it."""
+    pages = spark.createDataFrame([(i, "ü", "h" * (i % 7)) for i in range(400)] + [(None, "u", "é")] * 3, "page_id long, url string, html string")
+    shape = warc.geometry(pages, 64)
+    primary = warc.write_replica(pages, shape)
+    assert all(bytes(r["raw"])[r["body_at"] : -4].decode() == {i: "h" * (i % 7) for i in range(400)}.get(r["page_id"], "é") for r in primary.collect())
+    got = warc.compare(primary, queries.damaged_at_rest(primary), shape).collect()
+    assert {(r["page_id"], r["copies"], r["replica_copies"]) for r in got if r["corrupt"]} == {(i, 1, 1) for i in range(0, 400, 97) if i % 7}
+    assert len(got) == 401 and not [r for r in warc.compare(primary, primary, shape).collect() if r["corrupt"]]
+    # The audit descends into the branches that differ only.
+    trees = [warc.tree(warc.records(x), shape[0]) for x in (primary, queries.damaged_at_rest(primary))]
+    bad = {r["node"] for r in warc.descend(*trees).collect()}
+    assert bad == {r["node"] for r in primary.filter("page_id % 97 = 0 and page_id % 7 > 0").collect()}
+
+
 # ---- pipeline ---------------------------------------------------------------
 
 

@@ -85,6 +85,54 @@ def test_packing_edges(spark, library):
     check_packing(rows, texts, library, 4096)
 
 
+def test_equal_rows_spread_over_salts(spark, library, monkeypatch):
+    """Equal rows are packed each for itself and dealt out by row number; fill is near the bound of the lengths."""
+    monkeypatch.setattr(packing, "ROWS_PER_SALT", 50)
+    same = spark.createDataFrame([(7, "copy " * 40)] * 600 + [(7, "x " * 200)] * 300, "doc_id long, text string")
+    rows = packing.pack(same, tokenizer_path(), capacity=512, grid=4).collect()
+    lengths = sorted(r["length"] for r in rows)
+    assert len(rows) == 900 and lengths == [41] * 600 + [201] * 300
+    sequences = {}
+    for r in rows:
+        sequences.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for parts in sequences.values():
+        assert [o for o, _ in sorted(parts)] == [sum(n for _, n in sorted(parts)[:i]) for i in range(len(parts))] and sum(n for _, n in parts) <= 512
+    # 512 holds two long rows and two short ones, or twelve short ones: 150 sequences take the long rows and 300 short ones, 25 the rest.
+    assert len(sequences) <= 150 + 25 + 2
+    cut = packing.pieces(same, tokenizer_path(), 512).withColumn("salt", F.pmod(F.xxhash64("row_no"), F.lit(12)))
+    assert max(r["count"] for r in cut.groupBy("length", "salt").count().collect()) < 100
+
+
+def brute_bins(sizes, capacity):
+    """Least number of bins, by trying every assignment of the items in turn."""
+    best = len(sizes)
+
+    def place(i, rooms):
+        nonlocal best
+        if len(rooms) >= best:
+            return
+        if i == len(sizes):
+            best = len(rooms)
+            return
+        for k in range(len(rooms)):
+            if rooms[k] >= sizes[i] and rooms[k] not in rooms[:k]:
+                place(i + 1, [*rooms[:k], rooms[k] - sizes[i], *rooms[k + 1 :]])
+        place(i + 1, [*rooms, capacity - sizes[i]])
+
+    place(0, [])
+    return best
+
+
+def test_patterns_are_near_the_least_number():
+    import random
+
+    rng = random.Random(17)
+    for _ in range(25):
+        sizes = sorted((rng.randrange(2, 16) for _ in range(rng.randrange(1, 10))), reverse=True)
+        histogram = {s: sizes.count(s) for s in sizes}
+        assert sum(n for _, n in packing.plan(histogram, 16)) <= brute_bins(sizes, 16) + 1
+
+
 def test_patterns_cover_the_histogram():
     histogram = {7: 31, 3: 5, 11: 2, 16: 4, 1: 9}
     plan = packing.plan(histogram, 16)
@@ -123,6 +171,43 @@ def test_toxicity_held_out(spark):
     assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [i for i in range(200) if i % 4]
 
 
+def naive_evidence(text, lexicon, exceptions):
+    """Every entry sought at every place, without an automaton."""
+    import math
+
+    folded = toxicity.fold(text or "")
+    at = lambda e: [i for i in range(len(folded)) if folded.startswith(e, i)]
+    safe = [(i, i + len(toxicity.fold(p)) - 1) for p in exceptions for i in at(toxicity.fold(p))]
+    best = {}
+    for entry, weight in lexicon.items():
+        for i in at(entry):
+            if not any(a <= i and i + len(entry) - 1 <= b for a, b in safe):
+                best[i] = max(weight, best.get(i, 0.0))
+    return sum(best.values()) / (1 + math.log2(1 + len(folded) / 2000)) if best else 0.0
+
+
+def test_evidence_equals_naive_matching():
+    import random
+
+    rng = random.Random(23)
+    lexicon = {" trash ": 2.0, " tra": 1.0, " idio": 3.0, " moron ": 1.5, " sc": 0.5}
+    lexicon = {toxicity.fold(e).rstrip() + (" " if e.endswith(" ") else ""): w for e, w in lexicon.items()}
+    exceptions = ("trash can", "the trash can of", "idiot proof")
+    machine = toxicity.automaton(lexicon, exceptions)
+    vocabulary = ["trash", "can", "the", "of", "IDIOT", "1diot", "proof", "moron", "tra", "scum", "m0ron", "x"]
+    for _ in range(300):
+        text = " ".join(rng.choices(vocabulary, k=rng.randrange(0, 30)))
+        assert toxicity.evidence(text, machine) == pytest.approx(naive_evidence(text, lexicon, exceptions)), text
+
+
+def test_many_exceptions_are_quick():
+    import time
+
+    machine = toxicity.automaton({toxicity.fold("trash"): 5.0}, ("trash can",))
+    began = time.perf_counter()
+    assert toxicity.evidence("trash can trash " * 60_000, machine) > 0 and time.perf_counter() - began < 5
+
+
 def test_folding_and_exceptions():
     assert toxicity.fold("M0R0N, trаsh!") == toxicity.fold("moron trash")
     machine = toxicity.automaton({toxicity.fold("trash"): 5.0})
@@ -181,6 +266,42 @@ def test_markov_tells_random_from_words(spark):
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
 
 
+def test_samples_are_rows(spark):
+    """Equal rows are sampled like others: some are in the sample, whatever their text hashes to."""
+    for text in ("password=Zk9qX2vLr8Tb and documentation", "token=aaaabbbb1234 other_identifier"):
+        docs = spark.createDataFrame([(1, text)] * 4000, "doc_id long, text string").repartition(4)
+        assert {r["random"] for r in secrets.samples_from(docs, sample_rows=100).collect()} == {0, 1}
+
+
+def brute_ratio(token, table):
+    n = len(secrets.ALPHABET)
+    return sum(table[secrets.ALPHABET.index(a) * n + secrets.ALPHABET.index(b)] for a, b in zip(token, token[1:])) / (len(token) - 1)
+
+
+def test_added_spans_equal_brute_force(spark):
+    import random
+
+    rng = random.Random(6)
+    random_of = lambda k: "".join(rng.choices(secrets.ALPHABET[:62], k=k))
+    names = ["documentation", "understanding", "configuration", "environment", "processing", "identifier"]
+    rows = [(random_of(24), 1) for _ in range(200)] + [(f"{a}_{b}", 0) for a in names for b in names]
+    table = secrets.train(spark.createDataFrame(rows, "sample string, random int"))
+    tokens = [random_of(rng.randrange(16, 40)) if rng.random() < 0.5 else "_".join(rng.choices(names, k=2)) + str(rng.randrange(10)) for _ in range(200)]
+    got = {r["doc_id"]: r["spans"] for r in secrets.scan(frame(spark, [f"see {t} here" for t in tokens]), table).collect()}
+    mixed = lambda t: re.search("[0-9]", t) and re.search("[A-Za-z]", t)
+    assert got == {i: f"markov:4:{4 + len(t)}" if mixed(t) and brute_ratio(t, table) > secrets.THRESHOLD else "" for i, t in enumerate(tokens)}
+    # Precision and recall of the added spans on labelled tokens.
+    random_tokens = {i for i, t in enumerate(tokens) if not t.startswith(tuple(names))}
+    found = {i for i, s in got.items() if s}
+    assert len(found & random_tokens) >= 0.95 * len(random_tokens) and len(found - random_tokens) <= 0.02 * len(tokens)
+
+
+def test_redaction_of_clashing_columns(spark):
+    docs = frame(spark, SECRETS).withColumn("__spans", F.lit("a")).withColumn("__clean", F.lit("b")).withColumn("__Assign", F.lit("c"))
+    got = secrets.redact(docs, secrets.train(secrets.samples_from(docs)))
+    assert got.columns == docs.columns and {(r["__spans"], r["__clean"], r["__Assign"]) for r in got.collect()} == {("a", "b", "c")}
+
+
 def test_redaction(spark):
     docs = frame(spark, SECRETS)
     table = secrets.train(secrets.samples_from(docs))
@@ -227,6 +348,33 @@ def test_contamination_equals_brute_force(spark, monkeypatch, block):
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {i for i, r in got.items() if not r["contaminated"]}
 
 
+def test_contamination_keeps_rows_of_one_id_apart(spark, monkeypatch):
+    """Rows that share an id, in segments and item blocks of their own."""
+    monkeypatch.setattr(decontaminate.item_blocks, "__defaults__", (5,))
+    docs = spark.createDataFrame([(5, "alpha beta"), (5, "gamma zeta"), (5, "gamma zeta")], "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame([(1, "alpha beta"), (2, "other words")], "item_id long, text string")
+    got = sorted((r["n_hit"], r["contaminated"]) for r in decontaminate.contamination(docs, bench).collect())
+    assert got == [(0, False), (0, False), (2, True)]
+    assert [r["text"] for r in decontaminate.remove_contaminated(docs, bench).collect()] == ["gamma zeta"] * 2
+
+
+def brute_proximity(text, terms, span):
+    w = (text or "").lower().split()
+    found = [(b - a, a, b) for a in range(len(w)) for b in range(a, min(len(w), a + span)) if set(terms) <= set(w[a : b + 1])]
+    return min(found, default=None) and min(found)[0]
+
+
+def test_proximity_equals_brute_force(spark):
+    import random
+
+    rng = random.Random(3)
+    texts = [" ".join(rng.choices("abcdefgh", k=rng.randrange(0, 40))) for _ in range(60)] + [None, ""]
+    index = decontaminate.build_index(frame(spark, texts))
+    for terms, span in ((["a", "b"], 3), (["a", "b", "c"], 6), (["h"], 1)):
+        got = {r["doc_id"]: r["last"] - r["first"] for r in decontaminate.search_proximity(index, [("q", terms)], span).collect()}
+        assert got == {i: n for i, t in enumerate(texts) if (n := brute_proximity(t, terms, span)) is not None}
+
+
 def test_contamination_of_nothing(spark):
     texts, items = contamination_case()
     bench = spark.createDataFrame(items, "item_id long, text string")
