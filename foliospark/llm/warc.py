@@ -14,8 +14,7 @@ path.  In the nodes that differ, records are joined by name.  A record that is
 damaged, lost or added therefore concerns itself only; what lies behind it in the
 file keeps its node, its offsets there and its hash.
 
-Equal records are stored once with their number of copies.  Everything is
-expressed in DataFrame functions.
+Equal records are stored once with their number of copies.
 
 Defined cases: null url or html count as empty; null ids are records like
 others; repeated rows are one record with a count, which its node covers; one id
@@ -26,14 +25,18 @@ ignored.
 
 from __future__ import annotations
 
+import hashlib
+from collections import Counter
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import arrow_map, written
 
 FANOUT = 16
 FILE_RECORDS = 2_048
-"""Records of one WARC file, about; a file is a whole branch of the tree."""
+"""Records of one WARC file, about; a file is a range of nodes."""
 
 CRLF = "\r\n"
 
@@ -56,19 +59,40 @@ def levels_for(most: int) -> int:
 
 
 def geometry(pages: DataFrame, file_records: int = FILE_RECORDS) -> tuple[int, int]:
-    """Levels above the nodes, and how many of them a file spans; nodes hold ``FANOUT`` rows at most on average."""
-    levels = max(0, levels_for(pages.count()) - 1)
-    return levels, min(levels, max(0, levels_for(file_records) - 1))
+    """Levels above the nodes, and nodes of a file; nodes hold ``FANOUT`` rows at most on average."""
+    n = pages.count()
+    levels = max(0, levels_for(n) - 1)
+    return levels, max(1, FANOUT**levels * file_records // max(1, n))
+
+
+def _named(batches):
+    """Records with their digest; a task sends the bytes of equal records once, and counts the others."""
+    seen: Counter = Counter()
+    for b in batches:
+        names = [hashlib.sha256(x.as_py()).hexdigest() for x in b.column(1)]
+        first = dict(zip(reversed(names), range(len(names) - 1, -1, -1)))
+        new = sorted(i for n, i in first.items() if n not in seen)
+        seen.update(names)
+        kept = b.take(pa.array(new, pa.int64()))
+        yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in new], pa.string()), pa.array([1] * len(new), pa.int64()), *kept.columns], ["name", "copies", "page_id", "raw", "body"])
+    again = [(n, k - 1) for n, k in seen.items() if k > 1]
+    none = lambda kind: pa.nulls(len(again), kind)
+    yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in again], pa.string()), pa.array([k for _, k in again], pa.int64()), none(pa.int64()), none(pa.binary()), none(pa.int32())], ["name", "copies", "page_id", "raw", "body"])
 
 
 def write_replica(pages: DataFrame, shape: tuple[int, int], id_col: str = "page_id", url_col: str = "url", body_col: str = "html") -> DataFrame:
-    """The stored files: ``(file, record_no, start, node, name, page_id, copies, body_at, raw)``, sorted by place."""
-    levels, file_levels = shape
+    """The stored files: ``(file, record_no, start, node, name, page_id, copies, body_at, raw)``, sorted by place.
+
+    Record bytes are shuffled once, to their file; equal ones come once from each task.
+    """
+    levels, file_nodes = shape
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), record(F.col(id_col), F.col(url_col), F.col(body_col)).alias("raw"), F.octet_length(F.coalesce(F.col(body_col), F.lit(""))).alias("body"))
-    rows = rows.withColumn("name", F.sha2("raw", 256)).groupBy("name").agg(F.first("page_id").alias("page_id"), F.count("*").alias("copies"), F.first("body").alias("body"), F.first("raw").alias("raw"))
-    size = F.octet_length("raw").cast("long")
+    rows = arrow_map(rows, _named, "name string, copies long, page_id long, raw binary, body int")
     rows = rows.withColumn("node", F.pmod(F.xxhash64("name"), F.lit(FANOUT**levels)).cast("long"))
-    rows = rows.withColumn("file", F.floor(F.col("node") / FANOUT**file_levels).cast("long"))
+    rows = rows.withColumn("file", F.floor(F.col("node") / file_nodes).cast("long")).repartition("file")
+    whole = lambda c: F.first(c, ignorenulls=True).alias(c)
+    rows = rows.groupBy("file", "node", "name").agg(whole("page_id"), F.sum("copies").alias("copies"), whole("body"), whole("raw"))
+    size = F.octet_length("raw").cast("long")
     order = Window.partitionBy("file").orderBy("node", "name")
     start = F.coalesce(F.sum(size).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long")
     # A record ends with its body and two line breaks.
