@@ -6,8 +6,6 @@ extra columns never clash with an operator's own.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,6 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship
+from ..storage import scratch_root, written
+
+__all__ = ["Bloom", "arrow_map", "fresh", "row_keys", "row_sample", "scratch_root", "slices", "table", "written"]
 
 BATCH_ROWS = 1_000
 BATCH_BYTES = 32 << 20
@@ -27,20 +28,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The shared checkpoint folder; one of our own only in local mode, where none is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = spark.sparkContext._jsc.sc().getCheckpointDir()
-        root = root.get() if root.isDefined() else None
-    if not root:
-        if not spark.sparkContext.master.startswith("local["):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = tempfile.mkdtemp(prefix="foliospark-")
-        spark.sparkContext.setCheckpointDir(root)
-    return root
-
-
 def fresh(df: DataFrame, label: str) -> str:
     """A column name that ``df`` does not have, whatever the case of its names."""
     taken, name = {c.lower() for c in df.columns}, f"__{label}"
@@ -64,26 +51,22 @@ def row_keys(df: DataFrame) -> list:
     return [F.xxhash64(*cells, F.lit(seed)) for seed in (1, 2)]
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
+def arrow_map(df: DataFrame, run, schema) -> DataFrame:
+    """``mapInArrow`` over small batches, so a worker holds few texts at a time.
 
-    This cuts the lineage: a lost executor costs a re-read, not a recomputation,
-    and later jobs do not run the plan above again.
+    Where the session has no batch settings of its own, small ones are set;
+    those that a caller has made stay, and their batches are taken in parts.
     """
-    spark = df.sparkSession
-    path = f"{scratch_root(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    ship(df.sparkSession)
+    conf, own = df.sparkSession.conf, df.sparkSession._jsparkSession.sessionState().conf()
+    for key, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        if not own.contains(key):
+            conf.set(key, str(value))
 
+    def parts(batches):
+        return run(b.slice(at, BATCH_ROWS) for b in batches for at in range(0, max(1, b.num_rows), BATCH_ROWS))
 
-def arrow_map(df: DataFrame, run, schema) -> DataFrame:
-    """``mapInArrow`` with small batches, so a worker holds few texts at a time."""
-    ship(df.sparkSession)
-    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
-        conf.set(key, str(BATCH_ROWS))
-        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(parts, schema)
 
 
 def slices(texts: list, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
