@@ -101,3 +101,13 @@ def report(reasons: DataFrame) -> DataFrame:
 def noisy_pages(reasons: DataFrame) -> DataFrame:
     pages = reasons.groupBy("source_document", "page").agg(F.count("*").alias("n_lines"), F.count("drop_reason").alias("n_dropped"))
     return pages.filter((F.col("n_lines") >= C.NOISY_LINES) & (F.col("n_dropped") >= C.NOISY_SHARE * F.col("n_lines")))
+
+
+def most_common_reasons(reasons: DataFrame) -> DataFrame:
+    """Dropped lines of the whole corpus by reason, the most frequent first."""
+    return reasons.filter("drop_reason is not null").groupBy(F.col("drop_reason").alias("reason")).agg(F.count("*").alias("n_lines")).orderBy(F.desc("n_lines"), "reason")
+
+
+def noisiest_pages(reasons: DataFrame, n: int = 6) -> DataFrame:
+    """The noisy pages that lost most lines, the first ``n``."""
+    return noisy_pages(reasons).orderBy(F.desc("n_dropped"), "source_document", "page").limit(n)

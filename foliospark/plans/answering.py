@@ -6,6 +6,7 @@ from pyspark.sql import SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.constants import RetrievalConfig
+from ..functions.text import strip, truncate_words
 from ..operators import answers, evaluate, fusion, lexical
 from ..sources import files
 from ..streaming import limiter
@@ -158,6 +159,26 @@ def answer_metrics(spark, sf):
     return _rounded(evaluate.answer_metrics(_results(spark, sf)))
 
 
+def truncated_texts(spark, sf):
+    """Turns cut at a word to at most 40 characters, as prompts cut theirs."""
+    return _table(spark, sf, "conversations").select("conv_id", "turn", truncate_words(strip(F.coalesce("text", F.lit(""))), 40).alias("text"))
+
+
+def sanitized_rewrites(spark, sf):
+    """Replies of a rewriter built from every turn, good and useless ones, with the turn as the fallback."""
+    text = F.coalesce("text", F.lit(""))
+    forms = F.array(F.concat(F.lit('"'), text, F.lit('"')), F.concat(F.lit("Query: "), text, F.lit("\nlain")), F.concat(F.lit(" \n\n  "), text), F.lit("  \n "), F.repeat(text, 9), F.concat(F.lit("Pertanyaan mandiri - `"), text, F.lit("`")))
+    rows = _table(spark, sf, "conversations").select("conv_id", "turn", text.alias("q"), F.posexplode(forms).alias("form", "raw"))
+    return rows.select("conv_id", "turn", F.col("form").cast("long").alias("form"), answers.sanitize_rewrite(F.col("raw"), F.col("q")).alias("query"))
+
+
+def stage_totals(spark, sf):
+    """Sums of stage timings; a document's numbers stand in for milliseconds."""
+    size = F.coalesce("n_chars", F.lit(0)).cast("double")
+    timings = F.create_map(F.lit("dense_ms"), size / 8, F.lit("lexical_ms"), size / 4, F.lit("fuse_ms"), F.lit(0.5))
+    return _table(spark, sf, "documents").select("doc_id", F.round(evaluate.total_ms(timings), 6).alias("total_ms"))
+
+
 def index_freshness(spark, sf):
     """An index of every document against files: texts with white space run together, no short ones, and the web pages."""
     docs = _table(spark, sf, "documents").select(F.concat(F.lit("doc-"), "doc_id").alias("name"), F.coalesce("text", F.lit("")).alias("text"), "n_chars")
@@ -175,7 +196,7 @@ def rate_limit(spark, sf):
     return limiter.rate_limit(_table(spark, sf, "events"), LIMIT, WINDOW)
 
 
-QUERIES = {f.__name__: f for f in (cited_pages, citation_check, answer_diagnosis, strip_sources, refusal_detect, rewrite_needed, history_window, conversation_answers, rerank_parse, rerank_apply, retrieved_source_cards, retrieval_metrics, answer_metrics, index_freshness, index_stale, rate_limit)}
+QUERIES = {f.__name__: f for f in (cited_pages, citation_check, answer_diagnosis, strip_sources, refusal_detect, rewrite_needed, history_window, conversation_answers, rerank_parse, rerank_apply, retrieved_source_cards, retrieval_metrics, answer_metrics, truncated_texts, sanitized_rewrites, stage_totals, index_freshness, index_stale, rate_limit)}
 
 
 def _q(value) -> str:
@@ -204,6 +225,15 @@ def _text_of(form, replies: bool = False) -> str:
     return "concat(" + ", ".join(map(part, form)) + ")"
 
 
+def sanitized(raw: str, q: str) -> str:
+    """``sanitize_rewrite`` in SQL."""
+    line = f"list_filter(string_split_regex({raw}, '\\r\\n|\\r|\\n'), lambda x: {duck.strip('x')} <> '')[1]"
+    bare = duck.strip(f"regexp_replace({duck.strip(line)}, '^[\"''`]+|[\"''`]+$', '', 'g')")
+    label = r"(?i)^(pertanyaan mandiri|hasil penulisan ulang|query|jawaban)\s*[:\-]\s*"
+    text = duck.strip(f"regexp_replace({bare}, '{label}', '')")
+    return f"CASE WHEN coalesce({text}, '') = '' OR length({text}) > greatest(240, 6 * length({q})) THEN {q} ELSE {text} END"
+
+
 _ANSWERS = f"""dq AS (SELECT doc_id, doc_id % 997 + 1 AS p, replace(left(coalesce(text, ''), 60), chr(10), ' ') AS quote FROM documents),
         an AS ({" UNION ALL ".join(f"SELECT doc_id, CAST({i} AS BIGINT) AS form, {_text_of(f)} AS answer, [CAST(p AS INT), CAST(p + 1 AS INT)] AS ctx FROM dq" for i, f in enumerate(FORMS))})"""
 _CITED = duck.cited("answer")
@@ -271,6 +301,12 @@ ORACLE_SQL = {
         round(coalesce(avg((d % 8) / 8e0) FILTER ({_ANSWERED} AND d % 8 <> 0), 0e0), 6) AS avg_citation_precision, round(avg(latency), 6) AS avg_latency_ms, {_share("d % 11 >= 7", _ANSWERED + " AND d % 9 <> 0")} AS groundedness_rate,
         {_share("d % 8 <> 0", _ANSWERED)} AS citation_presence, {_share("d % 8 > 2", _ANSWERED)} AS citation_validity, {_share("d % 3 = 1", _ANSWERED)} AS cites_expected_page, {_share("refused", _OK + " AND NOT inside")} AS refusal_accuracy_e2e, {_share("refused", _OK + " AND inside")} AS false_refusal_e2e
         FROM r GROUP BY preset""",
+    "truncated_texts": f"SELECT conv_id, turn, {duck.truncated('t', 40)} AS text FROM (SELECT conv_id, turn, {duck.strip("coalesce(text, '')")} AS t FROM conversations)",
+    "sanitized_rewrites": f"""WITH f AS (
+            SELECT conv_id, turn, q, unnest(['"' || q || '"', 'Query: ' || q || chr(10) || 'lain', ' ' || chr(10) || chr(10) || '  ' || q, '  ' || chr(10) || ' ', repeat(q, 9), 'Pertanyaan mandiri - `' || q || '`']) AS raw, unnest(range(6)) AS form
+            FROM (SELECT conv_id, turn, coalesce(text, '') AS q FROM conversations))
+        SELECT conv_id, turn, form, {sanitized("raw", "q")} AS query FROM f""",
+    "stage_totals": "SELECT doc_id, round(coalesce(n_chars, 0) / 8e0 + coalesce(n_chars, 0) / 4e0 + 5e-1, 6) AS total_ms FROM documents",
     "index_freshness": f"WITH {_FRESH} SELECT name, status FROM fr",
     "index_stale": f"WITH {_FRESH} SELECT count(*) FILTER (status = 'changed') AS n_changed, count(*) FILTER (status = 'missing') AS n_missing, count(*) FILTER (status = 'untracked') AS n_untracked, count(*) FILTER (status IN ('changed', 'untracked')) > 0 AS is_stale FROM fr",
     "rate_limit": f"""WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) / 1e6 AS now, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),

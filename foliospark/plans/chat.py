@@ -18,7 +18,7 @@ from ..sources import providers
 from ..storage import once, written
 from ..streaming import limiter
 from . import duck
-from .answering import NEEDS_REWRITE
+from .answering import NEEDS_REWRITE, sanitized
 from .retrieval import CONFIG, stored_index
 
 TALK = 1_000_000
@@ -86,6 +86,36 @@ def rewritten_queries(spark, sf):
     return outcome(spark, sf).verdicts.select("q_id", "effective_query", "was_rewritten")
 
 
+def _prompt(df):
+    """Digest and length of each prompt."""
+    return df.select("q_id", F.md5(F.col("prompt").cast("binary")).alias("digest"), F.length("prompt").cast("long").alias("n_chars"))
+
+
+def rewrite_prompts(spark, sf):
+    rows = _asked(spark, sf).filter("is_conversational")
+    return _prompt(rows.select("q_id", answers.history_prompt(F.col("history"), F.col("query")).alias("prompt")))
+
+
+def rerank_prompts(spark, sf):
+    found = outcome(spark, sf)
+    return _prompt(answers.rerank_prompts(found.candidates.join(found.verdicts.select("q_id", F.col("effective_query").alias("query")), "q_id")))
+
+
+def answer_prompts(spark, sf):
+    found = outcome(spark, sf)
+    contexts = found.contexts.join(found.verdicts.select("q_id", "query"), "q_id").withColumn("document_label", F.col("source_document"))
+    return _prompt(answers.answer_prompts(contexts, histories=_asked(spark, sf).select("q_id", "history")))
+
+
+def judge_prompts(spark, sf):
+    return _prompt(answers.judge_prompts(outcome(spark, sf).contexts, _generated(spark, sf)))
+
+
+def selected_questions(spark, sf):
+    """The first twenty conversational questions."""
+    return evaluate.select_questions(_asked(spark, sf), "out_of_scope", 20, True).select("q_id", "category", "query")
+
+
 def retrieve(spark, sf):
     v = outcome(spark, sf).verdicts
     return v.select("q_id", "n_candidates", "max_dense_score", "max_lexical_coverage", "dense_pass", "lexical_pass", "rerank_pass", "rerank_failed", "refused", "refusal_reason")
@@ -176,25 +206,22 @@ def evaluate_answers(spark, sf):
     return _rounded(evaluate.answer_metrics(rows).drop("avg_latency_ms"))
 
 
-QUERIES = {f.__name__: f for f in (rewritten_queries, retrieve, final_contexts, debug_candidates, generated_answers, guarded_answers, source_cards, cited_source_cards, chat_turns, score_questions, evaluate_presets, preset_comparison, score_answers, evaluate_answers)}
+QUERIES = {f.__name__: f for f in (rewritten_queries, rewrite_prompts, rerank_prompts, answer_prompts, judge_prompts, selected_questions, retrieve, final_contexts, debug_candidates, generated_answers, guarded_answers, source_cards, cited_source_cards, chat_turns, score_questions, evaluate_presets, preset_comparison, score_answers, evaluate_answers)}
 
 # ---- The same rules in SQL --------------------------------------------------
 
 _T = f"(1e0 * {CONFIG.dense_threshold})"
 _LAST_USER = "list_filter(users, lambda u: u IS NOT NULL)[-1]"
 _REPLY = f"coalesce(string_split({duck.truncated(duck.strip(_LAST_USER), 400)}, chr(10))[1], '') || ' ' || q"
-_LINE = f"list_filter(string_split_regex({_REPLY}, '\\r\\n|\\r|\\n'), lambda x: {duck.strip('x')} <> '')[1]"
-_LABEL = r"(?i)^(pertanyaan mandiri|hasil penulisan ulang|query|jawaban)\s*[:\-]\s*"
-_CLEAN = duck.strip(f"""regexp_replace({duck.strip(f"regexp_replace({duck.strip(_LINE)}, '^[\"''`]+|[\"''`]+$', '', 'g')")}, '{_LABEL}', '')""")
 _QS = f"""tk AS (
-            SELECT conv_id * 100 + turn AS place, role, coalesce(text, '') AS q, count(*) OVER w AS n_hist, list(CASE WHEN role = 'user' THEN coalesce(text, '') END) OVER w AS users,
+            SELECT conv_id * 100 + turn AS place, role, coalesce(text, '') AS q, count(*) OVER w AS n_hist, list(CASE WHEN role = 'user' THEN coalesce(text, '') END) OVER w AS users, list({{'r': role, 't': text}}) OVER w AS msgs,
                    coalesce(bool_or(role = 'assistant') OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS h
             FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING)),
-        rw AS (SELECT *, CASE WHEN n_hist > 0 AND {NEEDS_REWRITE} THEN {_CLEAN} END AS clean FROM tk WHERE role = 'user'),
+        rw AS (SELECT *, CASE WHEN n_hist > 0 AND {NEEDS_REWRITE} THEN {sanitized(_REPLY, "q")} ELSE q END AS eff FROM tk WHERE role = 'user'),
         qs AS (
             SELECT q_id, category, q, eff, coalesce({duck.strip('eff')} <> {duck.strip('q')}, false) AS was_rewritten, talk, v FROM (
                 SELECT item_id AS q_id, 'in_scope' AS category, coalesce(text, '') AS q, coalesce(text, '') AS eff, false AS talk, item_id AS v FROM benchmark
-                UNION ALL SELECT {TALK} + place, 'out_of_scope', q, CASE WHEN coalesce(clean, '') = '' OR length(clean) > greatest(240, 6 * length(q)) THEN q ELSE clean END, n_hist > 0, place % {TALK_VECTORS} FROM rw)
+                UNION ALL SELECT {TALK} + place, 'out_of_scope', q, eff, n_hist > 0, place % {TALK_VECTORS} FROM rw)
             JOIN (SELECT vec_id FROM embeddings) e ON e.vec_id = v),
         qt AS (SELECT q_id, eff AS text FROM qs)"""
 _SEARCH = f"""{_QS}, {duck.bm25("qt", "q_id")},
@@ -238,6 +265,8 @@ def _outcome(hybrid: bool = True, rerank: bool = True, s: str = "") -> str:
 
 
 _OUTCOME = f"{_SEARCH}, {_outcome()}"
+_PROMPT = "SELECT q_id, md5(prompt) AS digest, length(prompt) AS n_chars FROM pr"
+_SAID = f"sd AS (SELECT place, q, list_filter(list_transform(msgs, lambda m: CASE WHEN m.r = 'user' THEN 'Pengguna: ' ELSE 'Asisten: ' END || {duck.truncated(duck.strip('m.t'), 400)}), lambda x: x IS NOT NULL) AS said FROM tk WHERE role = 'user' AND n_hist > 0)"
 _JOINED = "array_to_string({}, ',')"
 _MARK = " OR ".join(f"contains(lower(answer), '{m}')" for m in answers.ERROR_MARKS)
 _CODES = " ".join(f"WHEN ({_MARK}) AND ({' OR '.join(f"contains(lower(answer), '{w}')" for w in ws)}) THEN '{code}'" for code, ws in answers.ERROR_CODES)
@@ -316,6 +345,20 @@ _JUDGEABLE = f"{_ANSWERED} AND NOT judge_failed AND score IS NOT NULL"
 
 ORACLE_SQL = {
     "rewritten_queries": f"WITH {_QS} SELECT q_id, eff AS effective_query, was_rewritten FROM qs",
+    "rewrite_prompts": f"WITH {_QS}, {_SAID}, pr AS (SELECT {TALK} + place AS q_id, 'Riwayat percakapan:' || chr(10) || array_to_string(said, chr(10)) || chr(10) || chr(10) || 'Pertanyaan terakhir: ' || q AS prompt FROM sd) {_PROMPT}",
+    "rerank_prompts": f"""WITH {_OUTCOME}, pr AS (
+            SELECT c.q_id, 'Pertanyaan: ' || any_value(eff) || chr(10) || chr(10) || 'Kandidat:' || chr(10) || string_agg('[' || fusion_rank || '] ' || {duck.truncated(duck.strip(f"regexp_replace(body, '{duck.SPACE}+', ' ', 'g')"), 900)}, chr(10) || chr(10) ORDER BY fusion_rank) AS prompt
+            FROM cand c JOIN qs ON qs.q_id = c.q_id GROUP BY c.q_id HAVING count(*) > 1) {_PROMPT}""",
+    "answer_prompts": f"""WITH {_OUTCOME}, {_SAID.replace(duck.truncated(duck.strip("m.t"), 400), "coalesce(m.t, '')")}, s AS (SELECT *, source || ', Halaman ' || page || CASE WHEN lang <> '' THEN ', ' || lang ELSE '' END AS src FROM ctx),
+        b AS (SELECT q_id, string_agg('[Konteks ' || final_rank || ' | ' || src || ']' || chr(10) || body, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY final_rank) AS blocks, list(src ORDER BY final_rank) AS ss FROM s GROUP BY q_id),
+        pr AS (
+            SELECT b.q_id, 'Konteks:' || chr(10) || blocks || CASE WHEN len(said) > 0 THEN chr(10) || chr(10) || 'Riwayat percakapan terkini:' || chr(10) || array_to_string(said, chr(10)) ELSE '' END || chr(10) || chr(10) || 'Pertanyaan: ' || qs.q || chr(10) || chr(10)
+                   || 'Sitasi yang boleh dipakai:' || chr(10) || array_to_string(list_transform(list_filter(ss, lambda x, i: list_position(ss, x) = i), lambda x: '- ' || x), chr(10)) AS prompt
+            FROM b JOIN qs ON qs.q_id = b.q_id LEFT JOIN sd ON {TALK} + sd.place = b.q_id) {_PROMPT}""",
+    "judge_prompts": f"""WITH {_GENERATED}, b AS (
+            SELECT q_id, string_agg('[Sumber ' || final_rank || ' | Halaman ' || page || ']' || chr(10) || {duck.truncated(duck.strip("body"), JUDGE_CONTEXT)}, chr(10) || chr(10) ORDER BY final_rank) AS blocks FROM ctx GROUP BY q_id),
+        pr AS (SELECT q_id, 'Pertanyaan: ' || q || chr(10) || chr(10) || 'Sumber:' || chr(10) || blocks || chr(10) || chr(10) || 'Jawaban yang dinilai:' || chr(10) || answer || chr(10) || chr(10) || 'Balas hanya dengan JSON.' AS prompt FROM ans JOIN b USING (q_id) WHERE coalesce(answer, '') <> '') {_PROMPT}""",
+    "selected_questions": f"WITH {_QS} SELECT q_id, category, q AS query FROM qs WHERE category = 'out_of_scope' AND talk ORDER BY q_id LIMIT 20",
     "retrieve": f"WITH {_OUTCOME} SELECT q_id, n AS n_candidates, top_dense AS max_dense_score, top_coverage AS max_lexical_coverage, dense_pass, lexical_pass, rerank_pass, rerank_failed, refused, reason AS refusal_reason FROM vd",
     "final_contexts": f"WITH {_OUTCOME} SELECT q_id, final_rank, doc_id, source AS source_document, CAST(page AS VARCHAR) AS page_label, fusion_rank, rs AS rerank_score, ok AS rerank_ok FROM ctx",
     "debug_candidates": f"""WITH {_OUTCOME}

@@ -14,7 +14,8 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
-from ..operators import chunks, lines
+from ..operators import chunks, ingestion, lines
+from ..sources import files
 from ..storage import once, written
 
 # Lines made of a line's begin, its page and its number, in every form that the rules know.
@@ -131,6 +132,50 @@ def explorer_search(spark, sf):
     return chunks.explore(_chunks(spark, sf), "a.").select("chunk_index", "source_document", "page_label")
 
 
+def _prepared(spark, sf):
+    """Chunks and records of the cleaned pages; a document's fingerprint is that of its name here."""
+
+    def build():
+        pages = lines.pages_of(spark.read.parquet(f"{sf}/documents.parquet"))
+        names = pages.select(F.col("source_document").alias("name")).distinct()
+        prints = names.select("name", F.lit("").alias("path"), F.length("name").cast("long").alias("length"), F.sha2("name", 256).alias("sha256"))
+        made, records = ingestion.prepare_chunks(pages, prints)
+        return made, written(records, "records")
+
+    return once(spark, sf, "prepared", build)
+
+
+def prepared_chunks(spark, sf):
+    return _prepared(spark, sf)[0].select("chunk_index", "source_document", "page_label", "char_count", _digest("text").alias("digest"))
+
+
+def document_records(spark, sf):
+    dropped = F.array_join(F.array_sort(F.transform(F.map_entries("dropped"), lambda e: F.concat_ws(":", e["key"], e["value"].cast("string")))), ",")
+    return _prepared(spark, sf)[1].withColumn("dropped", dropped)
+
+
+def index_record(spark, sf):
+    made, records = _prepared(spark, sf)
+    info = files.index_info(made, records, 64, C.CHUNK_SIZE, C.CHUNK_OVERLAP)
+    return info.select("pipeline_version", F.size("source_documents").cast("long").alias("n_listed"), "stats.*", F.col("chunking.size").alias("chunk_size"), F.col("chunking.overlap").alias("chunk_overlap"))
+
+
+def drop_reasons(spark, sf):
+    return lines.most_common_reasons(lines.with_reasons(_lines(spark, sf)))
+
+
+def noisiest_pages(spark, sf):
+    return lines.noisiest_pages(lines.with_reasons(_lines(spark, sf)))
+
+
+def table_lines(spark, sf):
+    """The suppliers of each nation as a table of text: some cells are empty, some rows wholly."""
+    rows = spark.read.parquet(f"{sf}/supplier.parquet")
+    cells = F.when(F.col("s_acctbal") < 0, F.array(F.lit(None).cast("string"), F.lit(" "))).otherwise(F.array(F.col("s_name"), F.when(F.col("s_acctbal") > 5000, F.concat(F.lit(" "), F.col("s_suppkey").cast("string")))))
+    tables = rows.groupBy(F.col("s_nationkey").cast("long").alias("nation")).agg(F.array_sort(F.collect_list(F.struct("s_suppkey", cells.alias("cells")))).alias("rows"))
+    return tables.select("nation", files.table_text(F.transform("rows", lambda r: r["cells"])).alias("text"))
+
+
 def chunk_noise(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     return docs.select("doc_id", chunks.looks_like_noise(F.coalesce("text", F.lit(""))).alias("is_noise"))
@@ -150,7 +195,7 @@ def page_ranges(spark, sf):
     return chunks.page_ranges(short, "source_document", "pages")
 
 
-QUERIES = {f.__name__: f for f in (line_explode, short_lines, page_number_lines, glyph_lines, gibberish_lines, header_footer_templates, line_filter_report, noisy_pages, clean_pages, short_line_limit, heading_detection, document_page_numbers, document_glyph_lines, document_headings, paragraph_blocks, chunk_documents, chunk_stats, source_documents, chunk_sections, explorer_search, chunk_noise, corpus_summary, build_stats, page_ranges)}
+QUERIES = {f.__name__: f for f in (line_explode, short_lines, page_number_lines, glyph_lines, gibberish_lines, header_footer_templates, line_filter_report, noisy_pages, clean_pages, short_line_limit, heading_detection, document_page_numbers, document_glyph_lines, document_headings, paragraph_blocks, chunk_documents, chunk_stats, source_documents, chunk_sections, explorer_search, prepared_chunks, document_records, index_record, drop_reasons, noisiest_pages, table_lines, chunk_noise, corpus_summary, build_stats, page_ranges)}
 
 _SPACE = r"[\t\n\x0B\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 _LINES = rf"""pg AS (SELECT source AS source_document, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS page, coalesce(text, '') AS text FROM documents),
@@ -295,7 +340,9 @@ _CHUNKS = rf"""{_LINES},
             FROM raw_chunk WHERE length(txt) >= {C.MIN_CHUNK} AND NOT {{noise}})"""
 _NOISE_OF = f"""(len(regexp_extract_all(lower(txt), '[a-z]+')) = 0 OR (len(list_filter(regexp_extract_all(lower(txt), '[a-z]+'), lambda x: x IN {C.STOPWORDS})) <= {C.NOISE_STOPWORDS} * len(regexp_extract_all(lower(txt), '[a-z]+'))
             AND length(regexp_replace(txt, '[^0-9]', '', 'g')) < {C.NOISE_DIGITS} * length(txt) AND NOT regexp_matches(txt, '[.:;?!]')))"""
-_CHUNKS = "WITH RECURSIVE " + _CHUNKS.replace("{noise}", _NOISE_OF)
+_CHUNKS = _CHUNKS.replace("{noise}", _NOISE_OF)
+_PREPARED = f"WITH RECURSIVE {_LINES}, {_REASONS}, lk AS (SELECT source_document, page, line_no, norm AS line FROM dr WHERE drop_reason IS NULL)" + _CHUNKS.removeprefix(_LINES).replace("FROM li ", "FROM lk ")
+_CHUNKS = "WITH RECURSIVE " + _CHUNKS
 _LABEL = "CASE WHEN len(pages) = 0 THEN '-' WHEN list_min(pages) = list_max(pages) THEN CAST(list_min(pages) AS VARCHAR) ELSE list_min(pages) || '-' || list_max(pages) END"
 _PATH = "CASE WHEN len(path) > 0 THEN array_to_string(path, ' > ') || {} || text ELSE text END"
 
@@ -310,6 +357,19 @@ ORACLE_SQL |= {
     "build_stats": f"{_CHUNKS}, pp AS (SELECT source_document, chunk_index, unnest(pages) AS p FROM ch) SELECT source_document, count(DISTINCT chunk_index) AS n_chunks, count(DISTINCT p) AS document_pages FROM pp GROUP BY ALL",
     "source_documents": f"{_CHUNKS} SELECT DISTINCT source_document FROM ch WHERE trim(source_document) <> ''",
     "chunk_sections": f"{_CHUNKS} SELECT DISTINCT section_title FROM ch WHERE section_title <> ''",
+    "prepared_chunks": f"{_PREPARED} SELECT chunk_index, source_document, {_LABEL} AS page_label, char_count, md5(text) AS digest FROM ch",
+    "document_records": f"""{_PREPARED},
+        n AS (SELECT source_document, count(*) AS chunks FROM ch GROUP BY ALL),
+        l AS (SELECT source_document, count(*) AS lines_raw, count(*) FILTER (drop_reason IS NULL) AS lines_kept, count(DISTINCT page) AS pages_raw, count(DISTINCT page) FILTER (drop_reason IS NULL) AS pages_with_text FROM dr GROUP BY ALL),
+        x AS (SELECT source_document, string_agg(e, ',' ORDER BY e) AS dropped FROM (SELECT source_document, drop_reason || ':' || count(*) AS e FROM dr WHERE drop_reason IS NOT NULL GROUP BY source_document, drop_reason) GROUP BY ALL)
+        SELECT source_document AS name, sha256(source_document) AS sha256, length(source_document) AS size_bytes, pages_with_text, chunks, lines_raw, lines_kept, coalesce(dropped, '') AS dropped, pages_raw - pages_with_text AS pages_empty_after_cleaning
+        FROM n JOIN l USING (source_document) LEFT JOIN x USING (source_document)""",
+    "index_record": f"""{_PREPARED}, pp AS (SELECT DISTINCT source_document, unnest(pages) AS p FROM ch)
+        SELECT {C.PIPELINE_VERSION} AS pipeline_version, count(DISTINCT source_document) AS n_listed, count(DISTINCT source_document) AS total_documents, (SELECT count(*) FROM pp) AS total_pages, count(*) AS total_chunks, count(*) FILTER (len(pages) = 1) AS single_page_chunks, max(len(pages)) AS max_pages_per_chunk,
+               CAST(sum(char_count) // count(*) AS BIGINT) AS avg_chars, {C.CHUNK_SIZE} AS chunk_size, {C.CHUNK_OVERLAP} AS chunk_overlap FROM ch""",
+    "drop_reasons": f"WITH {_LINES}, {_REASONS} SELECT drop_reason AS reason, count(*) AS n_lines FROM dr WHERE drop_reason IS NOT NULL GROUP BY ALL ORDER BY n_lines DESC, reason",
+    "noisiest_pages": f"WITH {_LINES}, {_REASONS} SELECT source_document, page, count(*) AS n_lines, count(drop_reason) AS n_dropped FROM dr GROUP BY ALL HAVING count(*) >= {C.NOISY_LINES} AND count(drop_reason) >= {C.NOISY_SHARE} * count(*) ORDER BY n_dropped DESC, source_document, page LIMIT 6",
+    "table_lines": """SELECT CAST(s_nationkey AS BIGINT) AS nation, coalesce(string_agg(trim(s_name) || ' | ' || CASE WHEN s_acctbal > 5000 THEN CAST(s_suppkey AS VARCHAR) ELSE '' END, chr(10) ORDER BY s_suppkey) FILTER (s_acctbal >= 0), '') AS text FROM supplier GROUP BY ALL""",
     "explorer_search": f"{_CHUNKS} SELECT chunk_index, source_document, {_LABEL} AS page_label FROM ch WHERE contains(lower(text || ' ' || section_title), 'a.') ORDER BY chunk_index LIMIT 50",
     "document_page_numbers": f"WITH {_LINES} SELECT source_document, page, line_no, line FROM li WHERE {_PAGE_NUMBER}",
     "document_glyph_lines": rf"WITH {_LINES} SELECT source_document, page, line_no, line FROM li WHERE regexp_matches(line, '\(cid:\d+\)')",

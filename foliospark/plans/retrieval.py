@@ -99,6 +99,19 @@ def dense_score_lookup(spark, sf):
     return dense.lookup(hits, _questions(spark, sf).select("q_id", "q_vec"), _table(spark, sf, "embeddings"))
 
 
+def vector_index(spark, sf):
+    """Unit vectors as an index stores them: first and last component and the length."""
+    v = dense.normalized(_table(spark, sf, "embeddings"))
+    d = F.col("embedding").cast("array<double>")
+    return v.select("vec_id", F.size(d).cast("long").alias("dimension"), F.round(d[0], 5).alias("first"), F.round(F.element_at(d, -1), 5).alias("last"), F.round(F.sqrt(dense.dot(d, d)), 5).alias("length"))
+
+
+def content_terms(spark, sf):
+    """Distinct terms of each item in the order of their first occurrence."""
+    found = lexical.content_terms(_table(spark, sf, "benchmark"), "text", "item_id").groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("pos", "term"))).alias("t"))
+    return found.select("item_id", F.array_join(F.transform("t", lambda x: x["term"]), " ").alias("terms"))
+
+
 def _lists(spark, sf):
     d = _dense(spark, sf).withColumnRenamed("vec_id", "doc_id")
     lx = _found(spark, sf, 20).withColumnRenamed("item_id", "q_id")
@@ -201,7 +214,7 @@ def preset_metrics(spark, sf):
     return F.broadcast(names).join(found, "preset", "left").crossJoin(F.broadcast(total)).select("preset", "n_questions", zero("n_answered"), zero("n_contexts"), zero("n_hit"), F.round(F.coalesce(F.col("rr") / F.col("n_questions"), F.lit(0.0)), 6).alias("mrr"))
 
 
-QUERIES = {f.__name__: f for f in (token_stream, term_frequency, doc_length, doc_frequency, corpus_stats, idf_table, bm25_topk, lexical_coverage, matched_terms, dense_topk, dense_threshold_search, dense_score_lookup, rrf_fusion, rrf_weighted, dense_only_fusion, candidate_profile, relevance_gate, document_filter_topk, document_filter_dense, ablation_presets, preset_metrics)}
+QUERIES = {f.__name__: f for f in (token_stream, content_terms, vector_index, term_frequency, doc_length, doc_frequency, corpus_stats, idf_table, bm25_topk, lexical_coverage, matched_terms, dense_topk, dense_threshold_search, dense_score_lookup, rrf_fusion, rrf_weighted, dense_only_fusion, candidate_profile, relevance_gate, document_filter_topk, document_filter_dense, ablation_presets, preset_metrics)}
 
 _TOP = "top AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS lexical_rank FROM hits)"
 _DENSE = f"""ds AS (
@@ -227,6 +240,9 @@ _RRF = "WITH {lists} SELECT q_id, doc_id, round(sum(w), 9) AS fusion_score FROM
 
 ORACLE_SQL = {
     "token_stream": f"WITH {duck.tokens('tok', 'documents', 'doc_id')} SELECT doc_id, term, count(*) AS n, min(pos) AS first_pos FROM tok GROUP BY ALL",
+    "content_terms": f"WITH {duck.tokens('tok', 'benchmark', 'item_id')}, f AS (SELECT item_id, term, min(pos) AS pos FROM tok GROUP BY ALL) SELECT item_id, string_agg(term, ' ' ORDER BY pos) AS terms FROM f GROUP BY ALL",
+    "vector_index": """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e, sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))) AS n FROM embeddings)
+        SELECT vec_id, len(e) AS dimension, round(CAST(CAST(e[1] / n AS FLOAT) AS DOUBLE), 5) AS first, round(CAST(CAST(e[len(e)] / n AS FLOAT) AS DOUBLE), 5) AS last, round(n / n, 5) AS length FROM v""",
     "term_frequency": f"WITH {duck.index()} SELECT doc_id, term, tf FROM tf",
     "doc_length": f"WITH {duck.index()} SELECT doc_id, CAST(dl AS BIGINT) AS dl FROM dl",
     "doc_frequency": f"WITH {duck.index()} SELECT term, df FROM df",
