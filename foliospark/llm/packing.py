@@ -27,7 +27,7 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import Encoder
@@ -208,6 +208,23 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[dict[int, int],
     return [({int(sizes[i]): int(p[i]) for i in np.flatnonzero(p)}, n) for p, n in out]
 
 
+def planned(spark: SparkSession, histogram: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
+    """``plan``, run by one worker: it is a task of bounded size, and workers keep matrix products to one thread."""
+
+    def run(batches):
+        given: dict[int, int] = {}
+        for b in batches:
+            given.update(zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
+        rows = [(i, size, k, n) for i, (pattern, n) in enumerate(plan(given, capacity)) for size, k in pattern.items()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(4)], ["pattern", "size", "items", "uses"])
+
+    classes = spark.createDataFrame(sorted(histogram.items()), "size long, n long").coalesce(1)
+    found: dict[int, tuple[dict[int, int], int]] = {}
+    for r in arrow_map(classes, run, "pattern long, size long, items long, uses long").collect():
+        found.setdefault(r["pattern"], ({}, r["uses"]))[0][r["size"]] = r["items"]
+    return [found[i] for i in sorted(found)]
+
+
 def slots(patterns: list[tuple[dict[int, int], int]]) -> dict[int, np.ndarray]:
     """By class: rows (first rank, items in a sequence, first sequence) in rank order."""
     rows: dict[int, list] = {}
@@ -239,7 +256,7 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, grid: int = GRID,
     full = cut.filter(F.col("length") == capacity)
 
     histogram = {r["size"]: r["count"] for r in rest.groupBy("size").count().collect()}
-    patterns = plan(histogram, capacity // grid)
+    patterns = planned(spark, histogram, capacity // grid)
     made = sum(n for _, n in patterns)
     assigned = spark.sparkContext.broadcast(slots(patterns))
 
