@@ -6,7 +6,7 @@ from dataclasses import dataclass, fields, replace
 
 # Function words of Indonesian and English that carry no meaning
 # for retrieval.  Results depend on exactly these lists.
-INDONESIAN_FUNCTION_WORDS = """
+FUNCTION_WORDS = """
 ada adalah adanya agar akan aku akhir akhirnya antar antara apa apabila apakah
 atas atau ataupun bagaimana bagi bahkan bahwa banyak baru begitu belum benar
 berada berapa berikut bersama beserta bila bisa boleh buat bukan cukup dahulu
@@ -22,12 +22,10 @@ selama seluruh semua sendiri seorang seperti sering serta sesuai sesudah
 setelah setiap siapa sini situ suatu sudah supaya tadi tak tanpa tapi telah
 tentang tentu terhadap termasuk tersebut tetap tetapi tiap tidak turut untuk
 walau walaupun yaitu yakni yang
-"""
-ENGLISH_FUNCTION_WORDS = """
 a an and are as at be but by for from has have how in is it its of on or that
 the this to was were what when where which who will with
 """
-STOPWORDS = tuple(dict.fromkeys((INDONESIAN_FUNCTION_WORDS + ENGLISH_FUNCTION_WORDS).split()))
+STOPWORDS = tuple(dict.fromkeys(FUNCTION_WORDS.split()))
 
 # Phrases joined to one token, in the order of replacement.
 PHRASE_ALIASES = (

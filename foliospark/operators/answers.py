@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import constants as C
 from ..functions.text import strip, truncate_words
 
+# The separators and the form of a page citation.
 _SEP = r"\s*(?:,|dan|s\.?d\.?|[-–—])\s*"
 CITATION = rf"(?i)halaman\s*:?\s*(\d{{1,4}}(?:{_SEP}\d{{1,4}})*)"
 # Phrases by which an answer refuses.
@@ -137,6 +138,7 @@ def sanitize_rewrite(raw: Column, fallback: Column) -> Column:
     """First line of a reply without quotes and labels; the fallback if empty or overlong."""
     line = F.try_element_at(F.filter(F.split(F.coalesce(raw, F.lit("")), "\r\n|\r|\n"), lambda x: strip(x) != ""), F.lit(1))
     text = strip(F.regexp_replace(strip(line), "^[\"'`]+|[\"'`]+$", ""))
+    # Labels that a rewriter may put first.
     text = strip(F.regexp_replace(text, r"(?i)^(pertanyaan mandiri|hasil penulisan ulang|query|jawaban)\s*[:\-]\s*", ""))
     most = F.greatest(F.lit(C.REWRITE_FLOOR), F.length(fallback) * C.REWRITE_FACTOR)
     return F.when(F.coalesce(text, F.lit("")) == "", fallback).when(F.length(text) > most, fallback).otherwise(text)

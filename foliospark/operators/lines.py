@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import constants as C
 from ..functions.text import strip
 
+# Glyph codes and page numbers.
 GLYPH = r"\(cid:\d+\)"
 PAGE_NUMBER = (r"^\d{1,4}$", r"(?i)^(halaman|page|hal\.?)\s*\d+$", r"^[-–—]\s*\d+\s*[-–—]$", r"(?i)^[ivxlcdm]{1,7}$")
 
