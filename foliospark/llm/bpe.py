@@ -13,6 +13,7 @@ always equal the library's own.
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import sys
@@ -25,7 +26,7 @@ from .common import slices
 # Characters on which lower-casing, NFC and the character classes of Python
 # and of the library agree: ASCII with ordinary white space, and Latin letters
 # with diacritics except the dotted capital I.
-_OTHER = re.compile(r"[^\t\n\v\f\r\x20-\x7eÀ-įı-ſ]+")
+_OTHER = re.compile(r"[^\t\n\v\f\r\x20-\x7eÀ-įı-ſ]")
 _PRETOKENS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 _WORKER: dict = {}
 LONGEST = 64
@@ -35,7 +36,7 @@ SLICE = 1 << 19
 
 def plain(text: str) -> bool:
     """Whether the cached path gives the library's result for ``text``."""
-    return "<|" not in text and (text.isascii() and text.isprintable() or not _OTHER.search(text))
+    return "<|" not in text and not _OTHER.search(text)
 
 
 def pretokens(text: str) -> list[str]:
@@ -119,8 +120,14 @@ class Encoder:
         just split are still at hand when they are looked up.
         """
         out: list = []
-        for i, j in slices(texts, SLICE):
-            out += self._encode(texts[i:j])
+        collecting = gc.isenabled()
+        gc.disable()  # strings only: nothing here can form a cycle
+        try:
+            for i, j in slices(texts, SLICE):
+                out += self._encode(texts[i:j])
+        finally:
+            if collecting:
+                gc.enable()
         return out
 
     def _encode(self, texts: list[str | None]) -> list:
