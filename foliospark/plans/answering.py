@@ -128,7 +128,7 @@ def rerank_apply(spark, sf):
 def retrieved_source_cards(spark, sf):
     """Cards of the best BM25 hits of each item over the whole table; a page is a document's rank in its source."""
     docs = _table(spark, sf, "documents")
-    hits = lexical.best(_table(spark, sf, "benchmark"), stored_index(spark, sf), CARD_HITS).select(F.col("item_id").alias("q_id"), "doc_id", F.col("lexical_rank").alias("final_rank"), "score")
+    hits = lexical.ranked(_table(spark, sf, "benchmark"), stored_index(spark, sf), CARD_HITS).select(F.col("item_id").alias("q_id"), "doc_id", F.col("lexical_rank").alias("final_rank"), "score")
     rank = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
     pages = docs.select("doc_id", F.col("source").alias("source_document"), F.col("lang").alias("section_title"), F.array(rank.cast("long")).alias("page_numbers"))
     cards = answers.source_cards(hits.join(pages, "doc_id"))
