@@ -49,3 +49,12 @@ def test_presets_share_one_search(spark, monkeypatch):
     monkeypatch.setattr(pipeline, "retrieve", lambda *a, searched=None, **k: searched)
     assert [chat.outcome(spark, "nowhere", name) for name in chat.PRESETS] == ["lists"] * 3
     assert len(calls) == 1
+
+
+def test_rewriting_searches_nothing(spark, monkeypatch):
+    """The rewritten questions come without an outcome and equal those that a search uses."""
+    sf = "/root/testdata/sf0.001"
+    rows = {tuple(r) for r in chat.outcome(spark, sf).verdicts.select("q_id", "effective_query", "was_rewritten").collect()}
+    monkeypatch.setattr(chat, "outcome", lambda *a: (_ for _ in ()).throw(AssertionError("searched")))
+    got = [tuple(r) for r in chat.rewritten_queries(spark, sf).collect()]
+    assert set(got) == rows and len(got) == len(rows) and any(r[2] for r in got)
